@@ -140,8 +140,8 @@ def norm_test(df: DataFrame, idx: str = "line_no") -> DataFrame:
                      F.lit(0.0).alias("weight"), repeated.alias("duplicate"), F.col(idx).alias("line_no"))
 
 
-def encode_record(df: DataFrame) -> DataFrame:
-    """Metadata as the numeric fields of a training record."""
+def encode_record(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Metadata as the numeric fields of a training record, plus the columns in ``keep``."""
     def number(c):
         return F.coalesce(F.col(c).try_cast("float"), F.lit(0.0).cast("float"))
     mel, ker = F.col("melanoma").cast("long"), F.col("keratosis").cast("long")
@@ -152,7 +152,7 @@ def encode_record(df: DataFrame) -> DataFrame:
         F.when(F.col("type") == "d", 1.0).otherwise(0.0).cast("float").alias("type"),
         number("age").alias("age"), number("has_age").alias("has_age"),
         F.when(F.col("sex") == "female", 1.0).otherwise(0.0).cast("float").alias("sex"),
-        number("has_sex").alias("has_sex"), number("schedule").alias("schedule"), number("weight").alias("weight"))
+        number("has_sex").alias("has_sex"), number("schedule").alias("schedule"), number("weight").alias("weight"), *keep)
 
 
 def null_to_none(df: DataFrame, columns: list[str]) -> DataFrame:

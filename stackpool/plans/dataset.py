@@ -50,7 +50,7 @@ def records(rows: DataFrame, pictures: DataFrame) -> DataFrame:
     ``pictures`` has image, encoded, format, height, width.  An image without a
     picture fails the query.
     """
-    meta = encode_record(rows).join(rows.select("image", "split", "shard", "pos"), "image")
+    meta = encode_record(rows, keep=("split", "shard", "pos"))
     joined = meta.join(pictures.select("image", "encoded", "format", "height", "width"), "image", "left")
     gone = F.raise_error(F.concat(F.lit("no picture for "), F.col("image")))
     return joined.withColumn("encoded", F.when(F.col("encoded").isNull(), gone).otherwise(F.col("encoded")))
