@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: probabilities are held this far away from 0 and 1 before taking odds.
 SCEPTICISM = 0.00001
-# Fixed value: text form of a score.
-SCORE_FORMAT = "%.16f"
+# Fixed value: decimals in the text form of a score.
+SCORE_DECIMALS = 16
 
 INFINITY = float("inf")
 
@@ -83,7 +83,21 @@ def append_scores(features, scores) -> Column:
 
 
 def format_score(x) -> Column:
-    return F.format_string(SCORE_FORMAT, _c(x))
+    """Text with 16 decimals of the exact binary value.
+
+    ``format_string`` pads the shortest decimal form instead, which differs in
+    the last places.  The fraction is scaled to a whole number of 2^-60 (exact
+    to 1e-18) and converted in decimal arithmetic.
+    """
+    x = _c(x)
+    size = F.abs(x)
+    whole = F.floor(size)
+    ticks = ((size - whole) * F.lit(float(1 << 60))).cast("long").cast("decimal(19,0)")
+    digits = F.bround(ticks * F.lit(10 ** SCORE_DECIMALS).cast("decimal(17,0)") / F.lit(1 << 60).cast("decimal(19,0)"))
+    digits = digits.cast("long")
+    carry = digits >= 10 ** SCORE_DECIMALS
+    return F.concat(F.when(x < 0, "-").otherwise(""), (whole + carry.cast("int")).cast("string"), F.lit("."),
+                    F.lpad(F.when(carry, 0).otherwise(digits).cast("string"), SCORE_DECIMALS, "0"))
 
 
 def linear_score(features, weights: list[float], bias: float) -> Column:
