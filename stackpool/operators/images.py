@@ -66,7 +66,7 @@ def dimensions(df: DataFrame) -> DataFrame:
 def aspect_dimensions(df: DataFrame, side: int) -> DataFrame:
     """Size after an aspect-preserving resize, as column arithmetic in single precision."""
     h, w = F.col("height").cast("float"), F.col("width").cast("float")
-    scale = F.lit(side).cast("float") / F.least(h, w)
+    scale = (F.lit(side).cast("float") / F.least(h, w)).cast("float")
     return df.select("image", (h * scale).cast("int").alias("new_height"), (w * scale).cast("int").alias("new_width"))
 
 

@@ -34,6 +34,8 @@ FOLDS = 3
 TRIALS = 10
 TASKS = {"melanoma": 1, "keratosis": 2}
 ALL_ROWS = -1
+# At most this many partial sums reach the driver in one iteration.
+FAN_IN = 32
 
 
 def gamma_range(n_samples: int) -> tuple[float, float]:
@@ -84,7 +86,8 @@ class Setting:
     held_out: int = ALL_ROWS
 
 
-def _sum_over_rows(df: DataFrame, weights: np.ndarray, settings: list[Setting], features: str, label: str) -> tuple[np.ndarray, np.ndarray]:
+def _sum_over_rows(df: DataFrame, weights: np.ndarray, settings: list[Setting], features: str, label: str,
+                   partitions: int) -> tuple[np.ndarray, np.ndarray]:
     """Summed squared hinge and its gradient per setting, for weights of shape (d + 1, k)."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(weights)
@@ -106,12 +109,14 @@ def _sum_over_rows(df: DataFrame, weights: np.ndarray, settings: list[Setting],
         yield pd.DataFrame({"part": [np.concatenate([loss, grad.ravel()])]})
 
     schema = T.StructType([T.StructField("part", T.ArrayType(T.DoubleType()))])
-    parts = df.select(features, label, "fold").mapInPandas(partial, schema).select(array_to_vector("part").alias("part"))
-    partitions = df.rdd.getNumPartitions()
-    if partitions > 64:
-        fan_in = int(np.ceil(np.sqrt(partitions)))
-        parts = parts.groupBy((F.spark_partition_id() % fan_in).alias("g")).agg(Summarizer.sum(F.col("part")).alias("part"))
-    total = parts.agg(Summarizer.sum(F.col("part")).alias("t")).first()["t"].toArray()
+    parts = df.select(features, label, "fold").mapInPandas(partial, schema)
+    if partitions <= FAN_IN:
+        # one weight-sized row per partition
+        total = np.sum([r["part"] for r in parts.collect()], axis=0)
+    else:
+        groups = parts.select((F.spark_partition_id() % FAN_IN).alias("g"), array_to_vector("part").alias("part"))
+        summed = groups.groupBy("g").agg(Summarizer.sum(F.col("part")).alias("part"))
+        total = np.sum([r["part"].toArray() for r in summed.collect()], axis=0)
     shared.unpersist()
     k = len(settings)
     return total[:k], total[k:].reshape(weights.shape)
@@ -124,13 +129,27 @@ def fit(df: DataFrame, settings: list[Setting], n_features: int, features: str =
     The constant feature (last row) is penalised like the others.  Limited-
     memory BFGS with backtracking runs for all settings in step, one pass each.
     """
-    k = len(settings)
     c = np.array([s.c for s in settings])
     if "fold" not in df.columns:
         df = df.withColumn("fold", F.lit(ALL_ROWS - 1))
+    kept = df.storageLevel != StorageLevel.NONE
+    if not kept:
+        # every iteration reads all rows again
+        df = df.select(features, label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _minimise(df, settings, c, n_features, features, label, max_iter, tol, memory)
+    finally:
+        if not kept:
+            df.unpersist()
+
+
+def _minimise(df: DataFrame, settings: list[Setting], c: np.ndarray, n_features: int, features: str, label: str,
+              max_iter: int, tol: float, memory: int) -> np.ndarray:
+    k = len(settings)
+    partitions = df.rdd.getNumPartitions()
 
     def objective(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss, grad = _sum_over_rows(df, w, settings, features, label)
+        loss, grad = _sum_over_rows(df, w, settings, features, label, partitions)
         return 0.5 * (w ** 2).sum(axis=0) + c * loss, w + c * grad
 
     w = np.zeros((n_features + 1, k))

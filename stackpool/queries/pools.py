@@ -133,11 +133,11 @@ def _assembly_sql(mode: str, labels: bool) -> str:
     bits = E.MODES[mode][0]
     rows = ", ".join(f"({c}, {f}, {k})" for c, combo in enumerate(E.combinations(mode)) for f, k in enumerate(combo))
     value = {p: (BITS.format(p) if bits else p) for p in ("p_m", "p_k")}
-    label = "case when t.melanoma=1 then 1 when t.keratosis=1 then 2 else 0 end" if labels else "0"
+    label = "max(case when t.melanoma=1 then 1 when t.keratosis=1 then 2 else 0 end)" if labels else "0"
     join = "join v_truth t on t.vec_id = c.vec_id" if labels else ""
-    return (f"with combos(comb_id, f, k) as (values {rows}) select c.vec_id as image, comb_id, {label} as label, 2*f + j.j as pos, "
-            f"{d6('case when j.j=0 then ' + value['p_m'] + ' else ' + value['p_k'] + ' end', 'x')} "
-            f"from v_components c join combos on c.feature_set = f and c.replica = k {join}, (select unnest([0,1]) as j) j")
+    wide = ", ".join(d6(f"max(case when f={i // 2} then {value[('p_m', 'p_k')[i % 2]]} end)", f"f{i}") for i in range(14))
+    return (f"with combos(comb_id, f, k) as (values {rows}) select c.vec_id as image, comb_id, {label} as label, {wide} "
+            f"from v_components c join combos on c.feature_set = f and c.replica = k {join} group by c.vec_id, comb_id")
 
 
 def _assembly(key, mode, labels):
@@ -146,7 +146,7 @@ def _assembly(key, mode, labels):
         comps = view(spark, sf, "v_components").withColumnRenamed("vec_id", "image")
         truth = view(spark, sf, "v_truth").withColumnRenamed("vec_id", "image") if labels else None
         out = E.assemble(comps, mode, "image", truth)
-        return out.select("image", "comb_id", "label", F.posexplode("features").alias("pos", "x")).withColumn("x", r6("x"))
+        return out.select("image", "comb_id", "label", *[r6(F.col("features")[i], f"f{i}") for i in range(14)])
 
 
 _assembly("assemble_meta", "ALL_LOGITS", True)

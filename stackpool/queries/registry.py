@@ -27,13 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def r6(x, name: str | None = None) -> Column:
-    """Rounded to six places, without a negative zero."""
+def r6(x, name: str | None = None, places: int = 6) -> Column:
+    """Rounded (to six places unless said otherwise), without a negative zero."""
     name = name or (x if isinstance(x, str) else None)
-    c = F.round((F.col(x) if isinstance(x, str) else x).cast("double"), 6) + F.lit(0.0)
+    c = F.round((F.col(x) if isinstance(x, str) else x).cast("double"), places) + F.lit(0.0)
     return c.alias(name) if name else c
 
 
-def d6(x: str, name: str | None = None) -> str:
+def d6(x: str, name: str | None = None, places: int = 6) -> str:
     """The same in SQL."""
-    return f"round(cast({x} as double),6)+0.0" + (f" as {name}" if name else "")
+    return f"round(cast({x} as double),{places})+0.0" + (f" as {name}" if name else "")

@@ -48,7 +48,8 @@ def score_stream(spark: SparkSession, folder: str, max_files: int | None = None,
 
 def checkpoint_stream(spark: SparkSession, folder: str, pattern: str = r".*\.ckpt-[0-9]*\.index$") -> DataFrame:
     """Checkpoint index files as they appear, with name and modification time; contents are not kept."""
-    files = spark.readStream.format("binaryFile").load(folder)
+    files = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length long, content binary").load(folder))
     return (files.filter(F.col("path").rlike(pattern))
             .select(F.substring_index("path", "/", -1).alias("name"), "modificationTime", "length"))
 
@@ -56,7 +57,8 @@ def checkpoint_stream(spark: SparkSession, folder: str, pattern: str = r".*\.ckp
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     best = state.get[0] if state.exists else 0.0
     # one micro-batch of one model; maxFilesPerTrigger bounds it
-    for pdf in [pd.concat(list(batches)).sort_values("seq")]:
+    parts = [b for b in batches if len(b)]
+    for pdf in [pd.concat(parts).sort_values("seq")] if parts else []:
         before, flags = [], []
         for s in pdf["score"]:
             s = best if pd.isna(s) else s
