@@ -60,12 +60,13 @@ def assemble(components: DataFrame, mode: str, key: str = "image", labels: DataF
     value = S.bits_from_prob if as_bits else F.col
     slots = [(f, k) for f in range(len(FEATURE_ORDER)) for k in REPLICAS]
 
-    def slot(f: int, k: int) -> Column:
+    def slot(f: int, k: int, value: str) -> Column:
         here = (F.col("feature_set") == f) & (F.col("replica") == k)
-        return F.max(F.when(here, F.array("_m", "_k")))
+        return F.max(F.when(here, F.col(value)))
 
     valued = components.select(key, "feature_set", "replica", value("p_m").alias("_m"), value("p_k").alias("_k"))
-    per_image = valued.groupBy(key).agg(F.array(*[slot(f, k) for f, k in slots]).alias("_slots"))
+    # plain double buffers, so the aggregate hashes instead of sorting
+    per_image = valued.groupBy(key).agg(F.array(*[slot(f, k, v) for f, k in slots for v in ("_m", "_k")]).alias("_slots"))
     if labels is not None:
         # an image without a label fails the query
         known = labels.select(key, S.label3("melanoma", "keratosis").alias("label"))
@@ -74,11 +75,12 @@ def assemble(components: DataFrame, mode: str, key: str = "image", labels: DataF
             .otherwise(F.col("label")))
     else:
         per_image = per_image.withColumn("label", F.lit(0))
-    picks = F.array(*[F.lit([len(REPLICAS) * f + k - 1 for f, k in enumerate(combo)]) for combo in chosen])
+    picks = F.array(*[F.lit([2 * (len(REPLICAS) * f + k - 1) + j for f, k in enumerate(combo) for j in (0, 1)])
+                      for combo in chosen])
     unfolded = per_image.select(key, "label", "_slots", F.posexplode(picks).alias("comb_id", "_pick"))
-    features = F.flatten(F.transform("_pick", lambda i: F.element_at(F.col("_slots"), i + 1)))
     lost = F.raise_error(F.concat(F.lit("component prediction missing for "), F.col(key).cast("string")))
-    return unfolded.select(key, "comb_id", "label", F.when(features.isNull(), lost).otherwise(features).alias("features"))
+    features = F.transform("_pick", lambda i: F.coalesce(F.element_at(F.col("_slots"), i + 1), lost))
+    return unfolded.select(key, "comb_id", "label", features.alias("features"))
 
 
 def check_id_lists(components: DataFrame, key: str = "image") -> DataFrame:

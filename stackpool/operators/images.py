@@ -1,7 +1,8 @@
 """Pictures as rows: vectorised jobs over the picture table.
 
 A picture row has image, height, width, channels and ``data`` (8-bit samples,
-row-major, channel last, RGB) or ``pixels`` (floats of the same layout).  A job
+row-major, channel last, RGB), ``bgr`` (the same with channels reversed, as the
+image source delivers them) or ``pixels`` (floats, RGB).  A job
 is one ``mapInPandas`` over rows: no shuffle, bytes in, floats out, and a whole
 named treatment runs in one crossing.  Draws depend on (seed, image, replica).
 """
@@ -39,7 +40,7 @@ PictureFn = Callable[[np.ndarray, Row], np.ndarray]
 
 
 def from_image_source(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pictures, rejects) from Spark's image source; its bytes are blue, green, red per pixel.
+    """(pictures, rejects) from Spark's image source; samples stay blue, green, red until a kernel reads them.
 
     Undecodable files and pictures without three channels are rejects.
     """
@@ -47,15 +48,9 @@ def from_image_source(df: DataFrame) -> tuple[DataFrame, DataFrame]:
                      F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                      F.col("image.nChannels").alias("channels"), F.col("image.data").alias("bgr"))
     good = (F.col("height") > 0) & (F.col("channels") == 3)
-
-    def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = [np.frombuffer(b, np.uint8).reshape(-1, 3)[:, ::-1].tobytes() for b in pdf["bgr"]]
-            yield pdf.drop(columns="bgr").assign(data=data)
-    pictures = flat.filter(good).mapInPandas(swap, "image string, height int, width int, channels int, data binary")
     rejects = flat.filter(~good).select("image", F.when(F.col("height") <= 0, "undecodable")
                                         .otherwise("channels").alias("reason"))
-    return pictures, rejects
+    return flat.filter(good), rejects
 
 
 def dimensions(df: DataFrame) -> DataFrame:
@@ -77,7 +72,7 @@ def apply(df: DataFrame, fn: PictureFn, seed: int = 0, scale: float = 255.0, kee
     ``keep`` columns pass through (``replica`` does whenever present).
     """
     keep = [c for c in dict.fromkeys(["replica", *keep]) if c in df.columns]
-    source = "data" if "data" in df.columns else "pixels"
+    source = next(c for c in ("data", "bgr", "pixels") if c in df.columns)
     number = T.FloatType() if dtype == "float" else T.DoubleType()
     schema = T.StructType([df.schema["image"], *[df.schema[c] for c in keep],
                            T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()),
@@ -90,10 +85,11 @@ def apply(df: DataFrame, fn: PictureFn, seed: int = 0, scale: float = 255.0, kee
                 rows = []
                 for r in pdf.iloc[start:start + BATCH].to_dict("records"):
                     shape = (r["height"], r["width"], r["channels"])
-                    if source == "data":
-                        img = np.frombuffer(r["data"], np.uint8).astype(np.float64).reshape(shape) / scale
+                    if source == "pixels":
+                        img = np.asarray(r[source], np.float64).reshape(shape)
                     else:
-                        img = np.asarray(r["pixels"], np.float64).reshape(shape)
+                        img = np.frombuffer(r[source], np.uint8).reshape(shape) / scale
+                        img = img[..., ::-1] if source == "bgr" else img
                     out = fn(img, Row(r["image"], int(r.get("replica", 0)), seed, r))
                     rows.append((r["image"], *[r[c] for c in keep], *out.shape, out.astype(out_type).ravel()))
                 yield pd.DataFrame(rows, columns=schema.names)

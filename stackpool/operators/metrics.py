@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackpool.operators.order import global_index, score_curve
+from stackpool.session import materialise
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -75,12 +74,15 @@ def confusion_matrix(df: DataFrame, truth: str, prediction: str) -> DataFrame:
 def metrics_row(pooled: DataFrame, truth: str, checkpoint: str, n_classes: int = 3) -> DataFrame:
     """One row: checkpoint, acc, auc of classes 1 and 2, ap of classes 1 and 2, mean auc."""
     m = ranking_metrics(one_vs_rest(pooled, "probabilities", truth, n_classes), "score", "y", ["class"])
-    wide = m.agg(*[F.max(F.when(F.col("class") == j, F.col(v))).alias(f"{out}{j}")
-                   for v, out in (("auc", "auc"), ("ap", "map")) for j in (1, 2)])
-    # joining two one-row results
-    return (wide.withColumn("_k", F.lit(1)).join(accuracy(pooled, truth, "prediction").withColumn("_k", F.lit(1)), "_k")
-            .select(F.lit(checkpoint).alias("checkpoint"), "acc", "auc1", "auc2", "map1", "map2",
-                    ((F.col("auc1") + F.col("auc2")) / 2).alias("isbi")))
+    cells = m.select(F.explode(F.array(
+        F.struct(F.concat(F.lit("auc"), F.col("class").cast("string")).alias("name"), F.col("auc").alias("value")),
+        F.struct(F.concat(F.lit("map"), F.col("class").cast("string")).alias("name"), F.col("ap").alias("value")))).alias("cell"))
+    cells = cells.select("cell.*").unionByName(
+        accuracy(pooled, truth, "prediction").select(F.lit("acc").alias("name"), F.col("acc").alias("value")))
+    wide = cells.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n)
+                       for n in ("acc", "auc1", "auc2", "map1", "map2")])
+    return wide.select(F.lit(checkpoint).alias("checkpoint"), "*",
+                       ((F.col("auc1") + F.col("auc2")) / 2).alias("isbi"))
 
 
 # --- rank inversions -------------------------------------------------------
@@ -138,10 +140,11 @@ def count_inversions(ranked: DataFrame, rank1: str, rank2: str, truth: str,
     differ), or between cells of the block x block count grid.  Blocks hold
     ``block_rows`` rows, the grid at most MAX_BLOCKS^2 counts; no pairs are made.
     """
+    # read four times below
+    rows = materialise(ranked.select(F.col(rank1).cast("long").alias("r1"), F.col(rank2).cast("long").alias("r2"),
+                                     F.col(truth).cast("int").alias("t")), "ranks")
     if block_rows is None:
-        block_rows = max(1 << 16, -(-ranked.count() // MAX_BLOCKS))
-    rows = ranked.select(F.col(rank1).cast("long").alias("r1"), F.col(rank2).cast("long").alias("r2"),
-                         F.col(truth).cast("int").alias("t"))
+        block_rows = max(1 << 16, -(-rows.count() // MAX_BLOCKS))
     rows = rows.withColumn("block", F.floor(F.col("r1") / F.lit(block_rows))) \
                .withColumn("chunk", F.floor(F.col("r2") / F.lit(block_rows)))
     schema = "total long, same long"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stackpool.functions import scores as S
 from stackpool.operators.order import run_starts
+from stackpool.session import materialise
 
 SCORE_MODES = ("avg", "max", "avg_logits", "max_logits", "xtrm_logits", "none")
 FEATURE_MODES = ("avg", "max", "xtrm", "none")
@@ -34,29 +35,53 @@ def pool_scores(df: DataFrame, ids: list[str], logits: str, mode: str, n_classes
     constant within an image.
     """
     _check(mode, SCORE_MODES, "pool_scores")
-    z = [F.col(logits)[i] for i in range(n_classes)]
     if mode == "none":
+        z = [F.col(logits)[i] for i in range(n_classes)]
         out = df.select(*ids, *carry, F.col(replica), F.array(*S.softmax_list(z)).alias("probabilities"),
                         F.col(logits).alias("logits"))
         return out.withColumn("prediction", S.argmax("probabilities"))
+    out = df.groupBy(*ids).agg(*[F.min(c).alias(c) for c in carry], *_score_aggregates(logits, mode, n_classes, replica))
+    return _finish_scores(out, mode, n_classes).select(*ids, *carry, "probabilities", "logits", "prediction")
+
+
+def _score_aggregates(logits: str, mode: str, n_classes: int, replica: str) -> list[Column]:
+    z = [F.col(logits)[i] for i in range(n_classes)]
     if mode in ("avg", "max"):
-        probs = S.softmax_list(z)
-        df = df.withColumn("_p", F.array(*probs))
         fold = F.avg if mode == "avg" else F.max
-        aggs = [F.array(*[fold(F.col("_p")[i]) for i in range(n_classes)]).alias("probabilities"),
+        return [F.array(*[fold(p) for p in S.softmax_list(z)]).alias("probabilities"),
                 F.array(*[fold(v) for v in z]).alias("logits")]
-        out = df.groupBy(*ids).agg(*[F.min(c).alias(c) for c in carry], *aggs)
-    else:
-        if mode == "avg_logits":
-            pooled = [F.avg(v) for v in z]
-        elif mode == "max_logits":
-            pooled = [F.max(v) for v in z]
-        else:
-            pooled = [extreme(v, F.abs(v), F.col(replica)) for v in z]
-        out = (df.groupBy(*ids).agg(*[F.min(c).alias(c) for c in carry], F.array(*pooled).alias("logits"))
-               .withColumn("probabilities", S.softmax("logits", n_classes)))
-    return (out.withColumn("prediction", S.argmax("probabilities"))
-            .select(*ids, *carry, "probabilities", "logits", "prediction"))
+    if mode == "xtrm_logits":
+        return [F.array(*[extreme(v, F.abs(v), F.col(replica)) for v in z]).alias("logits")]
+    fold = F.avg if mode == "avg_logits" else F.max
+    return [F.array(*[fold(v) for v in z]).alias("logits")]
+
+
+def _finish_scores(df: DataFrame, mode: str, n_classes: int) -> DataFrame:
+    if mode not in ("avg", "max"):
+        df = df.withColumn("probabilities", S.softmax("logits", n_classes))
+    return df.withColumn("prediction", S.argmax("probabilities"))
+
+
+def pool_both(df: DataFrame, ids: list[str], logits: str, features: str, score_mode: str, feature_mode: str,
+              n_classes: int, replica: str = "replica") -> DataFrame:
+    """Scores and features pooled together, so that what produced them runs once."""
+    _check(score_mode, SCORE_MODES, "pool_scores")
+    _check(feature_mode, FEATURE_MODES, "pool_features")
+    if (score_mode == "none") != (feature_mode == "none"):
+        raise ValueError("scores and features must both be pooled or both not")
+    if score_mode == "none":
+        out = df.select(*ids, replica, features, logits,
+                        S.softmax(logits, n_classes).alias("probabilities"))
+        return out.withColumn("prediction", S.argmax("probabilities"))
+    if feature_mode == "xtrm":
+        # works per position, so the scored rows are needed twice
+        stored = materialise(df.select(*ids, replica, logits, features), "scored")
+        return pool_features(stored, ids, features, feature_mode, replica).join(
+            pool_scores(stored, ids, logits, score_mode, n_classes, replica), ids)
+    stat = Summarizer.mean if feature_mode == "avg" else Summarizer.max
+    out = df.groupBy(*ids).agg(stat(array_to_vector(F.col(features))).alias("_v"),
+                               *_score_aggregates(logits, score_mode, n_classes, replica))
+    return _finish_scores(out.withColumn(features, vector_to_array("_v")).drop("_v"), score_mode, n_classes)
 
 
 def pool_features(df: DataFrame, ids: list[str], features: str, mode: str,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stackpool.functions.draws import shuffle_key
 from stackpool.operators.order import global_index
 from stackpool.operators.skew import ROWS_PER_TASK, lookup_join
+from stackpool.session import materialise
 
 # Fixed values.
 SEED = 0
@@ -58,10 +59,12 @@ def split_dataset(meta: DataFrame, seed: int = SEED, train: int = TRAIN_PERCENT,
     has_case = F.length(F.coalesce("case_id", F.lit(""))) > 0
     firsts = (rows.filter(has_case).groupBy("stratum", "case_id").agg(F.min("line_no").alias("line_no"))
               .select("stratum", "line_no", F.lit(True).alias("_first_of_case")))
-    flagged = rows.join(firsts, ["stratum", "line_no"], "left")
-    is_rep = ~has_case | F.coalesce("_first_of_case", F.lit(False))
+    flagged = (rows.join(firsts, ["stratum", "line_no"], "left")
+               .withColumn("_rep", ~has_case | F.coalesce("_first_of_case", F.lit(False))).drop("_first_of_case"))
+    # metadata only; read by the representatives, the rest, and the count of frequent cases
+    flagged = materialise(flagged, "strata")
 
-    reps = flagged.filter(is_rep).drop("_first_of_case")
+    reps = flagged.filter("_rep").drop("_rep")
     placed = _positions(reps, "stratum", [shuffle_key(seed, "image"), "line_no"], "_rank", "split")
     n = F.col("_n").cast("double") / 100.0
     n_train, n_validation = F.floor(n * train), F.floor(n * validation)
@@ -73,7 +76,7 @@ def split_dataset(meta: DataFrame, seed: int = SEED, train: int = TRAIN_PERCENT,
     case_split = (placed.filter(has_case).groupBy("case_id").agg(F.max(priority).alias("_p"))
                   .select("case_id", F.element_at(F.array(*map(F.lit, ("train", "validation", "test"))),
                                                   F.col("_p") + 1).alias("split")))
-    extras = flagged.filter(~is_rep).drop("_first_of_case")
+    extras = flagged.filter("not _rep").drop("_rep")
     extras = lookup_join(extras, case_split, "case_id", "line_no", "inner", rows_per_task)
     return placed.unionByName(extras)
 

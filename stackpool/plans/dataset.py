@@ -15,12 +15,16 @@ MODES = ("TRAIN", "TEST")
 
 def training_rows(meta: DataFrame, blacklist: DataFrame | None = None, seed: int = P.SEED,
                   per_shard: int = P.ROWS_PER_SHARD) -> DataFrame:
-    """Split, check and shard training metadata.  The check runs before any write."""
+    """Split, shard and check training metadata.
+
+    The check reads two columns of the already placed rows, and fails before
+    the caller can write a dataset.
+    """
     if blacklist is not None:
         meta = J.missing(meta, blacklist)
-    rows = P.split_dataset(meta, seed)
+    rows = P.assign_shards(P.split_dataset(meta, seed), [shuffle_key(seed + 1, "image"), "line_no"], per_shard=per_shard)
     P.require_disjoint(rows)
-    return P.assign_shards(rows, [shuffle_key(seed + 1, "image"), "line_no"], per_shard=per_shard)
+    return rows
 
 
 def test_rows(meta: DataFrame, blacklist: DataFrame | None = None, per_shard: int = P.ROWS_PER_SHARD) -> DataFrame:

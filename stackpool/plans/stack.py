@@ -64,13 +64,12 @@ def feature_component(pictures: DataFrame, model: Callable, n_features: int, nam
     scored = I.score(views, model, n_classes + n_features, min(count, 64), (height, width, 3), out="both")
     parts = scored.select("image", "replica", F.slice("both", 1, n_classes).alias("logits"),
                           F.slice("both", n_classes + 1, n_features).alias("features"))
-    keys = ["image", "replica"] if pool_features == "none" else ["image"]
-    feats = P.pool_features(parts, ["image"], "features", pool_features)
     if add_scores == "none":
-        return feats
+        return P.pool_features(parts, ["image"], "features", pool_features)
     source = {"probs": "probabilities", "logits": "logits"}[add_scores]
-    pooled = P.pool_scores(parts, ["image"], "logits", pool_scores, n_classes).select(*keys, F.col(source).alias("_s"))
-    return feats.join(pooled, keys).withColumn("features", S.append_scores("features", "_s")).drop("_s")
+    both = P.pool_both(parts, ["image"], "logits", "features", pool_scores, pool_features, n_classes)
+    keys = ["image", "replica"] if pool_features == "none" else ["image"]
+    return both.select(*keys, S.append_scores("features", source).alias("features"))
 
 
 def final_submission(features: DataFrame, model: StackModel, pool: str, key: str = "image",
