@@ -9,8 +9,10 @@ named treatment runs in one crossing.  Draws depend on (seed, image, replica).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -65,33 +67,46 @@ def aspect_dimensions(df: DataFrame, side: int) -> DataFrame:
     return df.select("image", (h * scale).cast("int").alias("new_height"), (w * scale).cast("int").alias("new_width"))
 
 
+def _read(row: dict, source: str, scale: float) -> np.ndarray:
+    shape = (row["height"], row["width"], row["channels"])
+    if source == "pixels":
+        return np.asarray(row[source], np.float64).reshape(shape)
+    img = np.frombuffer(row[source], np.uint8).reshape(shape) / scale
+    return img[..., ::-1] if source == "bgr" else img
+
+
+def _sample_column(df: DataFrame) -> str:
+    return next(c for c in ("data", "bgr", "pixels") if c in df.columns)
+
+
 def apply(df: DataFrame, fn: PictureFn, seed: int = 0, scale: float = 255.0, keep: list[str] = (),
-          dtype: str = "float") -> DataFrame:
+          dtype: str = "float", copies: int | None = None) -> DataFrame:
     """Run ``fn`` on every picture; 8-bit samples are divided by ``scale`` first.
 
-    ``keep`` columns pass through (``replica`` does whenever present).
+    ``keep`` columns pass through (``replica`` does whenever present).  With
+    ``copies`` each picture is read once and given ``copies`` results, numbered
+    by a new column ``replica``.  Arrow batches are bounded in bytes by Spark.
     """
     keep = [c for c in dict.fromkeys(["replica", *keep]) if c in df.columns]
-    source = next(c for c in ("data", "bgr", "pixels") if c in df.columns)
+    source = _sample_column(df)
     number = T.FloatType() if dtype == "float" else T.DoubleType()
-    schema = T.StructType([df.schema["image"], *[df.schema[c] for c in keep],
+    numbered = [T.StructField("replica", T.IntegerType())] if copies else []
+    schema = T.StructType([df.schema["image"], *numbered, *[df.schema[c] for c in keep],
                            T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()),
                            T.StructField("channels", T.IntegerType()), T.StructField("pixels", T.ArrayType(number))])
     out_type = np.float32 if dtype == "float" else np.float64
 
+    def results(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for r in pdf.to_dict("records"):
+            img, kept = _read(r, source, scale), [r[c] for c in keep]
+            for k in range(copies or 1):
+                out = fn(img, Row(r["image"], k if copies else int(r.get("replica", 0)), seed, r))
+                yield (r["image"], *([k] if copies else []), *kept, *out.shape, out.astype(out_type).ravel())
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), BATCH):
-                rows = []
-                for r in pdf.iloc[start:start + BATCH].to_dict("records"):
-                    shape = (r["height"], r["width"], r["channels"])
-                    if source == "pixels":
-                        img = np.asarray(r[source], np.float64).reshape(shape)
-                    else:
-                        img = np.frombuffer(r[source], np.uint8).reshape(shape) / scale
-                        img = img[..., ::-1] if source == "bgr" else img
-                    out = fn(img, Row(r["image"], int(r.get("replica", 0)), seed, r))
-                    rows.append((r["image"], *[r[c] for c in keep], *out.shape, out.astype(out_type).ravel()))
+            found = results(pdf)
+            while rows := list(islice(found, BATCH)):
                 yield pd.DataFrame(rows, columns=schema.names)
     return df.select("image", *keep, "height", "width", "channels", source).mapInPandas(run, schema)
 
@@ -221,6 +236,11 @@ TREATMENTS = {
 def treat(df: DataFrame, name: str, height: int, width: int, training: bool, seed: int = 0,
           keep: list[str] = (), dtype: str = "float", **options) -> DataFrame:
     """Apply a named treatment to every picture (or every replica of it)."""
+    step, scale = _treatment(name, height, width, training, options)
+    return apply(df, step, seed, scale, keep, dtype)
+
+
+def _treatment(name: str, height: int, width: int, training: bool, options: dict) -> tuple[PictureFn, float]:
     if name not in TREATMENTS:
         raise ValueError(f"preprocessing must be one of {' '.join(TREATMENTS)}, got {name!r}")
     train, evaluate, scale, known = TREATMENTS[name]
@@ -230,18 +250,54 @@ def treat(df: DataFrame, name: str, height: int, width: int, training: bool, see
     if o.normalise not in (0, 1, 2):
         raise ValueError(f"normalisation must be 0, 1 or 2, got {o.normalise!r}")
     step = train if training else evaluate
-    return apply(df, lambda i, r: step(i, r, height, width, o), seed, scale, keep, dtype)
+    return (lambda i, r: step(i, r, height, width, o)), scale
 
 
-def replicas(df: DataFrame, name: str, height: int, width: int, count: int, seed: int = 0, **kw) -> DataFrame:
+def replicas(df: DataFrame, name: str, height: int, width: int, count: int, seed: int = 0, keep: list[str] = (),
+             dtype: str = "float", **options) -> DataFrame:
     """``count`` augmented copies per picture; a single copy takes the evaluation form.
 
-    Bytes, not floats, are copied per replica, and nothing is shuffled.
+    A picture crosses to Python once, whatever ``count`` is.
     """
     if count < 1:
         raise ValueError("at least one replica is needed")
-    fan = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return treat(fan, name, height, width, count > 1, seed, **kw)
+    step, scale = _treatment(name, height, width, count > 1, options)
+    return apply(df, step, seed, scale, keep, dtype, copies=count)
+
+
+# Models by token, one per Python worker.
+_models: dict[str, Callable] = {}
+
+
+def score_replicas(df: DataFrame, make_predict_fn: Callable, n_out: int, name: str, height: int, width: int, count: int,
+                   batch_size: int = 64, seed: int = 0, out: str = "logits", **options) -> DataFrame:
+    """Augment and score in one crossing: picture bytes go in, ``n_out`` numbers per replica come out.
+
+    The floats of a replica (thousands of times the size of its scores) never
+    leave the task.  Result: image, replica, and the array ``out``.
+    """
+    if count < 1:
+        raise ValueError("at least one replica is needed")
+    step, scale = _treatment(name, height, width, count > 1, options)
+    source, token = _sample_column(df), uuid.uuid4().hex
+
+    def views(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                img = _read(r, source, scale)
+                for k in range(count):
+                    yield r["image"], k, step(img, Row(r["image"], k, seed, r)).astype(np.float32)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if token not in _models:
+            _models[token] = make_predict_fn()
+        found = views(batches)
+        while part := list(islice(found, batch_size)):
+            scores = np.asarray(_models[token](np.stack([p for _, _, p in part])), np.float64)
+            yield pd.DataFrame({"image": [i for i, _, _ in part], "replica": [k for _, k, _ in part], out: list(scores)})
+    schema = T.StructType([df.schema["image"], T.StructField("replica", T.IntegerType()),
+                           T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.select("image", "height", "width", "channels", source).mapInPandas(run, schema)
 
 
 def score(df: DataFrame, make_predict_fn: Callable, n_out: int, batch_size: int, shape: tuple[int, int, int],

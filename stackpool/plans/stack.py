@@ -46,8 +46,7 @@ def score_component(pictures: DataFrame, model: Callable, name: str, height: int
                     seed: int = 0, n_classes: int = 3, **treatment) -> DataFrame:
     """Augment, score and pool: one row of probabilities and logits per image."""
     check_scoring(pool, "avg", False, "none", False)
-    views = I.replicas(pictures, name, height, width, count, seed, **treatment)
-    scored = I.score(views, model, n_classes, min(count, 64), (height, width, 3))
+    scored = I.score_replicas(pictures, model, n_classes, name, height, width, count, seed=seed, **treatment)
     return P.pool_scores(scored, ["image"], "logits", pool, n_classes)
 
 
@@ -60,8 +59,8 @@ def feature_component(pictures: DataFrame, model: Callable, n_features: int, nam
     runs once per replica.
     """
     check_scoring(pool_scores, pool_features, True, add_scores, False)
-    views = I.replicas(pictures, name, height, width, count, seed, **treatment)
-    scored = I.score(views, model, n_classes + n_features, min(count, 64), (height, width, 3), out="both")
+    scored = I.score_replicas(pictures, model, n_classes + n_features, name, height, width, count, seed=seed,
+                              out="both", **treatment)
     parts = scored.select("image", "replica", F.slice("both", 1, n_classes).alias("logits"),
                           F.slice("both", n_classes + 1, n_features).alias("features"))
     if add_scores == "none":

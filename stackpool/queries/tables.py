@@ -11,6 +11,7 @@ from stackpool.queries.views import duck, pictures, view
 from stackpool.session import scratch_path
 from stackpool.sources import tables as T
 from stackpool.sources import text as X
+from stackpool.sources.images import list_files as list_pictures
 
 
 def _stored(spark, sf):
@@ -55,6 +56,20 @@ def records(spark, sf):
     return _records(spark, sf).select("image", "label", "type", "age", "height", "width", F.length("encoded").alias("bytes"), "format")
 
 
+@query("records_from_files", duck("""select image, cast(truth as bigint) as label, height::bigint as height, width::bigint as width, 'png' as format,
+    cast(least(pos // 64, case when n % 64 < 21 then greatest(ceil(n/64.0)-1, 1) else ceil(n/64.0) end - 1) as int) as shard
+    from (select *, row_number() over (order by vec_id) - 1 as pos, count(*) over () as n from v_picture_size)""", "v_picture_size"))
+def records_from_files(spark, sf):
+    folder, pics = scratch_path(spark, "sharded"), pictures(spark, sf)
+    listing = list_pictures(spark, files.png_files(pics))
+    meta = view(spark, sf, "v_picture_size").select(
+        "image", F.lit("").alias("case_id"), F.lit("d").alias("type"), F.lit("").alias("age"), F.lit(0).alias("has_age"), F.lit("").alias("sex"),
+        F.lit(0).alias("has_sex"), (F.col("truth") == 1).cast("int").alias("melanoma"), (F.col("truth") == 2).cast("int").alias("keratosis"),
+        F.lit(0).alias("schedule"), F.lit(0).alias("weight"), F.col("vec_id").alias("line_no"))
+    T.write_shards(D.records_from_files(D.test_rows(meta, per_shard=64), listing), folder, placed=True)
+    return spark.read.parquet(folder).select("image", "label", "height", "width", "format", "shard")
+
+
 @query("read_items", duck("select image, 'jpg' as format, cast(truth as bigint) as label, 5.0::float as weight, 0 as mask from v_picture_size", "v_picture_size"))
 def read_items(spark, sf):
     folder = scratch_path(spark, "records")
@@ -153,6 +168,5 @@ def run_log(spark, sf):
 
 @query("list_files", "select concat('D', cast(doc_id as varchar), '.v1') as image from documents")
 def list_files(spark, sf):
-    from stackpool.sources.images import list_files as scan
     docs = view(spark, sf, "documents").select(F.concat(F.lit("D"), "doc_id", F.lit(".v1.jpg")).alias("name"), F.col("lang").cast("binary").alias("content"))
-    return scan(spark, files.one_file_each(docs, "listing"), "*.jpg").select("image")
+    return list_pictures(spark, files.one_file_each(docs, "listing"), "*.jpg").select("image")

@@ -75,10 +75,14 @@ def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -
     return spark.read.parquet(path)
 
 
-def write_shards(rows: DataFrame, folder: str, mode: str = "errorifexists") -> None:
-    """Parquet by split and shard; each shard is written by one task, rows in shard order."""
-    (rows.repartition("split", "shard").sortWithinPartitions("split", "shard", "pos")
-     .write.mode(mode).partitionBy("split", "shard").parquet(folder))
+def write_shards(rows: DataFrame, folder: str, mode: str = "errorifexists", placed: bool = False) -> None:
+    """Parquet by split and shard; each shard is written by one task, rows in shard order.
+
+    ``placed`` says that the rows already lie that way and need no shuffle.
+    """
+    if not placed:
+        rows = rows.repartition("split", "shard").sortWithinPartitions("split", "shard", "pos")
+    rows.write.mode(mode).partitionBy("split", "shard").parquet(folder)
 
 
 def write_split_logs(rows: DataFrame, folder: str, key: str = "image", mode: str = "errorifexists") -> None:
