@@ -25,7 +25,7 @@ def test_global_index_survives_a_second_action(spark):
     _, df = letters(spark)
     indexed = O.global_index(df, ["s", "id"])
     assert sorted(r["idx"] for r in indexed.collect()) == list(range(400))
-    assert indexed.collect().sort() == indexed.collect().sort()
+    assert sorted(map(tuple, indexed.collect())) == sorted(map(tuple, indexed.collect()))
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 7, 400, 1 << 20])
