@@ -111,33 +111,40 @@ def score_buckets(df: DataFrame, score: str, n: int | None = None) -> list[float
     """
     n = n or shuffle_partitions(df.sparkSession)
     points = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(score), points, max(10_000, 20 * n)).alias("q")).first()["q"]
+    found = df.agg(F.percentile_approx(F.col(score), points, max(1_000, 20 * n)).alias("q")).first()["q"]
     return sorted({float(q) for q in found or [] if q == q and abs(q) != float("inf")})
 
 
 def add_bucket(df: DataFrame, score: str, borders: list[float], name: str = "_bucket") -> DataFrame:
     splits = [-float("inf"), *borders, float("inf")]
-    return Bucketizer(splits=splits, inputCol=score, outputCol=name, handleInvalid="keep").transform(df)
+    found = Bucketizer(splits=splits, inputCol=score, outputCol="_b", handleInvalid="keep").transform(df)
+    return found.withColumn(name, F.col("_b").cast("int")).drop("_b")
 
 
 def score_curve(df: DataFrame, score: str, positive: str, series: list[str] | None = None,
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, store: bool = False) -> DataFrame:
     """Per (series, distinct score): positives and negatives at it, below it and in total.
 
     Equal scores collapse in a map-side partial aggregate before any shuffle,
     so a score shared by a third of the rows costs one row.  A bucket then holds
     at most about 1/n of the rows, whatever the distribution of the score.
+
+    The rows are read three times: for the borders, for the totals per bucket
+    (both combine to a few numbers per task) and for the scores.  ``store``
+    writes the three slim columns once first, for rows that are costly to make.
     """
     series = list(series or [])
     slim = df.select(*series, F.col(score).cast("double").alias("score"), F.col(positive).cast("long").alias("_y"))
+    if store:
+        slim = materialise(slim, "scores")
     slim = add_bucket(slim, "score", score_buckets(slim, "score", buckets))
-    by_score = slim.groupBy(*series, "_bucket", "score").agg(
-        F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
+    pos, neg = F.sum("_y"), F.sum(1 - F.col("_y"))
+    by_score = slim.groupBy(*series, "_bucket", "score").agg(pos.alias("pos"), neg.alias("neg"))
     inside = Window.partitionBy(*series, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     local = by_score.select("*", F.coalesce(F.sum("pos").over(inside), F.lit(0)).alias("_pin"),
                             F.coalesce(F.sum("neg").over(inside), F.lit(0)).alias("_nin"))
-    # n buckets per series from here on
-    sums = by_score.groupBy(*series, "_bucket").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    # at most n buckets per series; taken from the rows, so that no large shuffle is repeated for them
+    sums = slim.groupBy(*series, "_bucket").agg(pos.alias("_p"), neg.alias("_n"))
     whole = Window.partitionBy(*series)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(

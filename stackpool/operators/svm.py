@@ -262,7 +262,7 @@ def random_search(df: DataFrame, n_features: int, trials: int = TRIALS, folds: i
         keys = [(task, t, f) for task in tasks for t in range(trials) for f in range(folds)]
         settings = [Setting(tasks[task], draw_c(t, seed), f) for task, t, f in keys]
         weights = fit(df, settings, n_features, features, label, max_iter)
-        aucs = ranking_metrics(held_out_scores(df, weights, settings, features, label), "score", "y", ["setting"])
+        aucs = ranking_metrics(held_out_scores(df, weights, settings, features, label), "score", "y", ["setting"], store=True)
         auc = {r["setting"]: r["auc"] for r in aucs.select("setting", "auc").collect()}      # one row per setting
         sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}        # one row per fold
         per_fold = [(task, t, f, draw_c(t, seed), sizes.get(f, 0), auc.get(i)) for i, (task, t, f) in enumerate(keys)]

@@ -99,7 +99,7 @@ def evaluate_auc(submission: DataFrame, truth: DataFrame, key: str = "image", by
     tasks = joined.select(F.explode(F.array(
         F.struct(F.lit("melanoma").alias("task"), F.col("p_m").alias("score"), F.col("melanoma").alias("y")),
         F.struct(F.lit("keratosis").alias("task"), F.col("p_k").alias("score"), F.col("keratosis").alias("y")))).alias("t")).select("t.*")
-    per_task = M.ranking_metrics(tasks, "score", "y", ["task"])
+    per_task = M.ranking_metrics(tasks, "score", "y", ["task"], store=True)
     wide = per_task.agg(F.max(F.when(F.col("task") == "melanoma", F.col("auc"))).alias("melanoma_auc"),
                         F.max(F.when(F.col("task") == "keratosis", F.col("auc"))).alias("keratosis_auc"))
     return wide.withColumn("average_auc", (F.col("melanoma_auc") + F.col("keratosis_auc")) / 2)

@@ -86,7 +86,7 @@ OVR = "o as (" + " union all ".join(
 def _ovr(spark, sf):
     rows = M.one_vs_rest(pooled_scores(spark, sf), "probabilities", "truth", 3)
     # sums of doubles differ in the last bit between engines; scores are compared at twelve places
-    return M.ranking_metrics(rows.withColumn("score", F.round("score", 12)), "score", "y", ["class"])
+    return M.ranking_metrics(rows.withColumn("score", F.round("score", 12)), "score", "y", ["class"], store=True)
 
 
 @query("auc_ovr", duck(f"with pooled as ({pooled_sql('avg')}), {OVR} select class, {d6('auc', 'auc')}, {d6('ap', 'ap')} from ({metric_sql('o', 'class')})", "v_logits"))

@@ -128,7 +128,12 @@ def duck(body: str, *names: str) -> str:
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picture table: image, height, width, channels, data (RGB bytes), truth."""
-    return view(spark, sf_dir, "v_picture_size").selectExpr(
+    source = view(spark, sf_dir, "v_picture_size")
+    cores = spark.sparkContext.defaultParallelism
+    if source.rdd.getNumPartitions() < cores:
+        # a table of a few small files: spread it, so that the kernels use every core
+        source = source.repartition(cores, "image")
+    return source.selectExpr(
         "image", "height", "width", "channels", "truth",
         """unhex(array_join(transform(sequence(0, height * width * 3 - 1),
              p -> lpad(hex(cast(floor(least(greatest((cast(embedding[(p div 3 + 21 * (p % 3)) % 64] as double) + 1) / 2, 0), 1) * 255) as int)), 2, '0')), '')) as data""")
