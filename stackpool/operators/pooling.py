@@ -26,6 +26,15 @@ def extreme(value: Column, size: Column, order: Column) -> Column:
     return F.max_by(value, F.struct(size, -order))
 
 
+def certainty(p: Column) -> Column:
+    """Orders probabilities as the size of their log-odds does, 0 and 1 being the most certain.
+
+    Both p and 1 - p are exact where they are the smaller one, so equal
+    certainty is found equal; logarithms would differ in the last bit.
+    """
+    return -F.least(p, 1.0 - p)
+
+
 def pool_scores(df: DataFrame, ids: list[str], logits: str, mode: str, n_classes: int,
                 replica: str = "replica", carry: list[str] = ()) -> DataFrame:
     """Pool the logits of all replicas of an image.
@@ -145,5 +154,5 @@ def pool_by_id(df: DataFrame, id_col: str, columns: list[str], mode: str, idx: s
     elif mode == "max":
         aggs = [F.max(c).alias(c) for c in columns]
     else:
-        aggs = [extreme(F.col(c), F.abs(S.logit(c)), F.col(idx)).alias(c) for c in columns]
+        aggs = [extreme(F.col(c), certainty(F.col(c)), F.col(idx)).alias(c) for c in columns]
     return df.groupBy(*keys).agg(*aggs)

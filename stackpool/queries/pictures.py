@@ -18,12 +18,12 @@ from stackpool.sources.images import scan_images
 PLACES = 9
 
 
-def r6(x, name=None):
-    return registry.r6(x, name, PLACES)
+def r6(x, name=None, places=PLACES):
+    return registry.r6(x, name, places)
 
 
-def d6(x, name=None):
-    return registry.d6(x, name, PLACES)
+def d6(x, name=None, places=PLACES):
+    return registry.d6(x, name, places)
 
 
 C = "(select unnest([0,1,2]) as c) c"
@@ -31,19 +31,19 @@ GRID = "(select unnest(generate_series(0, {h})) as y) y, (select unnest(generate
 KW = {"dtype": "double"}
 
 
-def long(df, *more):
+def long(df, *more, places=PLACES):
     """One row per sample: image, y, x, c, v."""
     at = F.col("pos")
     return (df.select("image", *more, "width", "channels", F.posexplode("pixels").alias("pos", "v"))
             .select("image", *more, F.floor(at / (F.col("width") * F.col("channels"))).cast("int").alias("y"),
                     (F.floor(at / F.col("channels")) % F.col("width")).cast("int").alias("x"),
-                    (at % F.col("channels")).cast("int").alias("c"), r6("v")))
+                    (at % F.col("channels")).cast("int").alias("c"), r6("v", places=places)))
 
 
 def sql(expr: str, h="height", w="width", more="", where="true", source="v_picture_size", grid=(13, 31),
-        raw=False) -> str:
+        raw=False, places=PLACES) -> str:
     """Rows image, y, x, c, v for every target sample below (h, w)."""
-    return (f"select image, {more} cast(y as int) as y, cast(x as int) as x, c, {expr + ' as v' if raw else d6(expr, 'v')} from {source}, "
+    return (f"select image, {more} cast(y as int) as y, cast(x as int) as x, c, {expr + ' as v' if raw else d6(expr, 'v', places)} from {source}, "
             f"{GRID.format(h=grid[0], w=grid[1])} where y < {h} and x < {w} and {where}")
 
 
@@ -90,10 +90,12 @@ def img_bilinear(spark, sf):
     return long(I.resize(pictures(spark, sf), 4, 6, "bilinear", **KW))
 
 
+# no binary fractions here, so fewer places are safe and last-bit differences do not show
+SIX = 6
 _CELLS = "(select unnest(generate_series(0,6)) as i) i, (select unnest(generate_series(0,9)) as j) j"
 _OY = "greatest(least(i+1, (y+1)*(height/3.0::double)) - greatest(i, y*(height/3.0::double)), 0)"
 _OX = "greatest(least(j+1, (x+1)*(width/4.0::double)) - greatest(j, x*(width/4.0::double)), 0)"
-_AREA = (f"select image, 'area' as method, cast(y as int) as y, cast(x as int) as x, c, {d6('sum(' + duck_sample('i', 'j', 'c') + '/255*' + _OY + '*' + _OX + ')/max(height/3.0::double*width/4.0::double)', 'v')} "
+_AREA = (f"select image, 'area' as method, cast(y as int) as y, cast(x as int) as x, c, {d6('sum(' + duck_sample('i', 'j', 'c') + '/255*' + _OY + '*' + _OX + ')/max(height/3.0::double*width/4.0::double)', 'v', SIX)} "
          f"from v_picture_size, {GRID.format(h=2, w=3)}, {_CELLS} where i < height and j < width group by image, y, x, c")
 
 
@@ -102,16 +104,16 @@ def _keys(d):
 
 
 _SY, _SX = "(y*(height/7.0::double))", "(x*(width/11.0::double))"
-_BICUBIC = (f"select image, 'bicubic' as method, cast(y as int) as y, cast(x as int) as x, c, {d6('sum(' + duck_sample(f'least(greatest(floor({_SY})::int + i, 0), height-1)', f'least(greatest(floor({_SX})::int + j, 0), width-1)', 'c') + '/255*' + _keys(f'abs({_SY} - floor({_SY}) - i)') + '*' + _keys(f'abs({_SX} - floor({_SX}) - j)') + ')', 'v')} "
+_BICUBIC = (f"select image, 'bicubic' as method, cast(y as int) as y, cast(x as int) as x, c, {d6('sum(' + duck_sample(f'least(greatest(floor({_SY})::int + i, 0), height-1)', f'least(greatest(floor({_SX})::int + j, 0), width-1)', 'c') + '/255*' + _keys(f'abs({_SY} - floor({_SY}) - i)') + '*' + _keys(f'abs({_SX} - floor({_SX}) - j)') + ')', 'v', SIX)} "
             f"from v_picture_size, {GRID.format(h=6, w=10)}, (select unnest([-1,0,1,2]) as i) i, (select unnest([-1,0,1,2]) as j) j group by image, y, x, c")
-_NEAREST = sql(duck_sample("floor(y*(height/4.0::double))::int", "floor(x*(width/6.0::double))::int", "c") + "/255", "4", "6", "'nearest' as method,")
+_NEAREST = sql(duck_sample("floor(y*(height/4.0::double))::int", "floor(x*(width/6.0::double))::int", "c") + "/255", "4", "6", "'nearest' as method,", places=SIX)
 
 
 @query("img_resize_methods", duck(f"{_NEAREST} union all {_AREA} union all {_BICUBIC}", V1))
 def img_resize_methods(spark, sf):
     pics, out = pictures(spark, sf), None
     for method, h, w in (("nearest", 4, 6), ("area", 3, 4), ("bicubic", 7, 11)):
-        part = long(I.resize(pics, h, w, method, **KW)).withColumn("method", F.lit(method))
+        part = long(I.resize(pics, h, w, method, **KW), places=SIX).withColumn("method", F.lit(method))
         out = part if out is None else out.unionByName(part)
     return out
 

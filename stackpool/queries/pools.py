@@ -94,7 +94,7 @@ def _component_rows(spark, sf):
     return global_index(view(spark, sf, "v_components"), ["vec_id", "feature_set", "replica"], "row")
 
 
-_ABS = "case when {0} <= 0 or {0} >= 1 then 'inf'::double else abs(ln({0}/(1-{0}))) end"
+_ABS = "-least({0}, 1.0::double - {0})"
 
 
 def _id_pool(mode, agg):
