@@ -10,7 +10,7 @@ there are.  Weights, not rows, come to the driver.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackpool.functions.draws import shuffle_key, uniform, uniforms
-from stackpool.operators.features import Preprocessor
+from stackpool.functions.scores import linear_score, sigmoid
+from stackpool.operators.features import Preprocessor, random_fourier
 from stackpool.operators.metrics import ranking_metrics
 from stackpool.operators.order import global_index
 
@@ -230,11 +231,14 @@ class StackModel:
 
     def decide(self, df: DataFrame, features: str = "features") -> DataFrame:
         """Adds ``p_m`` and ``p_k``: the sigmoid of each task's decision value."""
-        from stackpool.functions.scores import linear_score, sigmoid
         ready = self.preprocessor.transform(df, features)
         for task, name in (("melanoma", "p_m"), ("keratosis", "p_k")):
-            w = self.classifiers[task]
-            ready = ready.withColumn(name, sigmoid(linear_score(features, w[:-1], w[-1])))
+            w, kernel, source = self.classifiers[task], self.options.get("kernel", {}).get(task), features
+            if kernel:
+                source = "_mapped"
+                ready = random_fourier(ready, features, kernel["n_features"], kernel["n_out"], kernel["gamma"],
+                                       kernel["seed"], source)
+            ready = ready.withColumn(name, sigmoid(linear_score(source, w[:-1], w[-1]))).drop("_mapped")
         return ready
 
     def save(self, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
@@ -248,31 +252,83 @@ class StackModel:
         return cls(Preprocessor(**body["preprocessor"]), body["classifiers"], body["options"])
 
 
+def _best_trials(per_fold: list[tuple], tasks: dict[str, int]) -> dict[str, int]:
+    """Trial with the greatest fold-weighted mean AUC per task, the first one on ties."""
+    best = {}
+    for task in tasks:
+        value: dict[int, float] = {}
+        for trial in sorted({r[1] for r in per_fold if r[0] == task}):
+            known = [(r[5], r[6]) for r in per_fold if r[0] == task and r[1] == trial and r[6] is not None]
+            value[trial] = sum(n * a for n, a in known) / sum(n for n, _ in known) if known else -1.0
+        best[task] = max(value, key=lambda t: (value[t], -t))
+    return best
+
+
+def _fold_results(df: DataFrame, n_features: int, keys: list[tuple[str, int, int]], penalty: Callable[[int], float],
+                  sizes: dict[int, int], tasks: dict[str, int], max_iter: int, features: str, label: str) -> list[tuple]:
+    """(task, trial, fold, c, gamma, rows, auc) of every key; all keys are fitted in the same passes."""
+    settings = [Setting(tasks[task], penalty(t), f) for task, t, f in keys]
+    weights = fit(df, settings, n_features, features, label, max_iter)
+    scored = held_out_scores(df, weights, settings, features, label)
+    aucs = ranking_metrics(scored, "score", "y", ["setting"], store=True)
+    auc = {r["setting"]: r["auc"] for r in aucs.select("setting", "auc").collect()}      # one row per setting
+    return [(task, t, f, penalty(t), None, sizes.get(f, 0), auc.get(i)) for i, (task, t, f) in enumerate(keys)]
+
+
+_TRIALS = "task string, trial int, fold int, c double, gamma double, n long, auc double"
+
+
 def random_search(df: DataFrame, n_features: int, trials: int = TRIALS, folds: int = FOLDS, max_iter: int = 100,
                   seed: int = 0, features: str = "features", label: str = "label",
                   tasks: dict[str, int] = TASKS) -> tuple[DataFrame, dict[str, list[float]], dict[str, float]]:
     """(trial table, weights per task, best C per task) for rows that carry ``fold``.
 
-    Every (task, trial, fold) is fitted in the same passes; the trial with the
-    greatest weighted mean AUC wins, the first one on ties, and is refitted on
+    The trial with the greatest fold-weighted mean AUC wins and is refitted on
     all rows.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}    # one row per fold
         keys = [(task, t, f) for task in tasks for t in range(trials) for f in range(folds)]
-        settings = [Setting(tasks[task], draw_c(t, seed), f) for task, t, f in keys]
-        weights = fit(df, settings, n_features, features, label, max_iter)
-        aucs = ranking_metrics(held_out_scores(df, weights, settings, features, label), "score", "y", ["setting"], store=True)
-        auc = {r["setting"]: r["auc"] for r in aucs.select("setting", "auc").collect()}      # one row per setting
-        sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}        # one row per fold
-        per_fold = [(task, t, f, draw_c(t, seed), sizes.get(f, 0), auc.get(i)) for i, (task, t, f) in enumerate(keys)]
-        table = df.sparkSession.createDataFrame(per_fold, "task string, trial int, fold int, c double, n long, auc double")
-        best = {}
-        for task in tasks:
-            mean = {t: [(n, a) for (k, tt, _, _, n, a) in per_fold if k == task and tt == t and a is not None] for t in range(trials)}
-            value = {t: sum(n * a for n, a in v) / sum(n for n, _ in v) if v else -1.0 for t, v in mean.items()}
-            best[task] = draw_c(max(value, key=lambda t: (value[t], -t)), seed)
+        results = _fold_results(df, n_features, keys, lambda t: draw_c(t, seed), sizes, tasks, max_iter, features, label)
+        best = {task: draw_c(t, seed) for task, t in _best_trials(results, tasks).items()}
         final = fit(df, [Setting(tasks[t], best[t]) for t in tasks], n_features, features, label, max_iter)
-        return table, {t: final[:, i].tolist() for i, t in enumerate(tasks)}, best
+        return (df.sparkSession.createDataFrame(results, _TRIALS), {t: final[:, i].tolist() for i, t in enumerate(tasks)}, best)
+    finally:
+        df.unpersist()
+
+
+def kernel_search(df: DataFrame, n_features: int, n_out: int, trials: int = TRIALS, folds: int = FOLDS, max_iter: int = 100,
+                  seed: int = 0, features: str = "features", label: str = "label",
+                  tasks: dict[str, int] = TASKS) -> tuple[DataFrame, dict[str, list[float]], dict[str, dict]]:
+    """Random search over C and gamma on random features of the Gaussian kernel.
+
+    Each trial maps the rows once with its gamma and fits its tasks and folds
+    together.  Returns the trial table, weights per task, and per task the
+    chosen C, gamma and map.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}
+        low, scale = gamma_range(sum(sizes.values()))
+        gamma = [2.0 ** (low + scale * uniforms(seed, "gamma", t)[0]) for t in range(trials)]
+
+        def mapped(t: int) -> DataFrame:
+            return random_fourier(df, features, n_features, n_out, gamma[t], seed).persist(StorageLevel.MEMORY_AND_DISK)
+
+        results: list[tuple] = []
+        for t in range(trials):
+            rows = mapped(t)
+            keys = [(task, t, f) for task in tasks for f in range(folds)]
+            found = _fold_results(rows, n_out, keys, lambda i: draw_c(i, seed), sizes, tasks, max_iter, features, label)
+            results += [(*r[:4], gamma[t], *r[5:]) for r in found]
+            rows.unpersist()
+        weights, chosen = {}, {}
+        for task, t in _best_trials(results, tasks).items():
+            rows = mapped(t)
+            weights[task] = fit(rows, [Setting(tasks[task], draw_c(t, seed))], n_out, features, label, max_iter)[:, 0].tolist()
+            rows.unpersist()
+            chosen[task] = {"c": draw_c(t, seed), "gamma": gamma[t], "n_features": n_features, "n_out": n_out, "seed": seed}
+        return df.sparkSession.createDataFrame(results, _TRIALS), weights, chosen
     finally:
         df.unpersist()

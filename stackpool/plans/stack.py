@@ -12,6 +12,8 @@ from stackpool.operators import images as I
 from stackpool.operators import joins as J
 from stackpool.operators import metrics as M
 from stackpool.operators import pooling as P
+from stackpool.operators import svm as V
+from stackpool.operators.features import fit_preprocessor
 from stackpool.operators.order import global_index
 from stackpool.operators.svm import StackModel
 
@@ -71,6 +73,35 @@ def feature_component(pictures: DataFrame, model: Callable, n_features: int, nam
     return both.select(*keys, S.append_scores("features", source).alias("features"))
 
 
+def train_stack(rows: DataFrame, n_features: int, method: str = "RBF", preprocess: str = "PCA", trials: int = V.TRIALS,
+                grouped: bool = True, key: str = "image", row_id: str | None = None, n_out: int = 512,
+                max_iter: int = 100, seed: int = 0) -> tuple[StackModel, DataFrame]:
+    """(model, trial table) from rows of key, label and features.
+
+    Folds keep the rows of one id together unless ``grouped`` is off, in which
+    case they are stratified by label and ``row_id`` names a distinct row id.
+    The two linear methods differ in how they were solved, not in the optimum.
+    ``n_out`` is the number of random features that stand for the RBF kernel.
+    """
+    if method not in SVM_METHODS:
+        raise ValueError(f"svm_method must be one of {' '.join(SVM_METHODS)}, got {method!r}")
+    if not grouped and row_id is None:
+        raise ValueError("stratified folds need a row id")
+    pre = fit_preprocessor(rows, preprocess)
+    width = len(pre.components) or n_features
+    ready = pre.transform(rows)
+    ready = V.group_folds(ready, key, seed=seed) if grouped else V.stratified_folds(ready, "label", row_id, seed=seed)
+    ready = ready.select("label", "features", "fold")
+    options = {"svm_method": method, "preprocess": preprocess, "trials": trials, "grouped": grouped, "seed": seed}
+    if method == "RBF":
+        table, weights, chosen = V.kernel_search(ready, width, n_out, trials, max_iter=max_iter, seed=seed)
+        options["kernel"] = chosen
+    else:
+        table, weights, best = V.random_search(ready, width, trials, max_iter=max_iter, seed=seed)
+        options["c"] = best
+    return StackModel(pre, weights, options), table
+
+
 def final_submission(features: DataFrame, model: StackModel, pool: str, key: str = "image",
                      order: list[str] | None = None) -> DataFrame:
     """Decision, sigmoid and pooling by id: one p_m, p_k row per image."""

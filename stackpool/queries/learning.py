@@ -157,3 +157,24 @@ def _submission(key, pool, agg):
 
 _submission("final_submission", "xtrm", "arg_max({p}, abs({d}))")
 _submission("final_submission_avg", "avg", "avg({p})")
+
+
+def _meta_rows(spark, sf):
+    comps = view(spark, sf, "v_components").withColumnRenamed("vec_id", "image")
+    return E.assemble(comps, "LOGITS", "image", view(spark, sf, "v_truth").withColumnRenamed("vec_id", "image"))
+
+
+@query("train_stack_linear")
+def train_stack_linear(spark, sf):
+    """Meta-model over the fourteen meta-features, then its pooled submission."""
+    meta = _meta_rows(spark, sf)
+    model, _ = K.train_stack(meta, 14, "LINEAR_PRIMAL", "NONE", trials=5, max_iter=20)
+    return K.final_submission(meta, model, "xtrm").select("image", "p_m", "p_k")
+
+
+@query("train_stack_rbf")
+def train_stack_rbf(spark, sf):
+    """The same with whitening and random features of the Gaussian kernel."""
+    meta = _meta_rows(spark, sf)
+    model, _ = K.train_stack(meta, 14, "RBF", "PCA_WHITEN", trials=2, n_out=64, max_iter=15)
+    return K.final_submission(meta, model, "avg").select("image", "p_m", "p_k")

@@ -8,6 +8,7 @@ nothing is configured *and* Spark runs in local mode (tests, laptops).
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,27 @@ def build_session(app: str = "stackpool", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Picture, SVM and streaming jobs run its functions inside tasks; sessions
+    that were started with ``--py-files`` need no call.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="stackpool-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    # the driver's copy; Spark distributes the file to the executors
+    archive = shutil.make_archive(os.path.join(folder, "stackpool"), "zip", os.path.dirname(package), "stackpool")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder for intermediate tables, taken from ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -154,3 +154,31 @@ def test_final_submission_pools_by_image(spark, pool):
         elif order[0] == "image":
             got = {r["image"]: (r["p_m"], r["p_k"]) for r in K.final_submission(df, model, pool).collect()}
             assert got["a"][0] == pytest.approx(pick[pool](m["a"])) and got["b"] == pytest.approx((m["b"][0], k["b"][0]))
+
+
+def rings(spark, n=600):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 2))
+    label = np.where((x ** 2).sum(1) < 0.8, 1, np.where((x ** 2).sum(1) > 2.5, 2, 0))
+    rows = [(f"i{i // 2}", i, int(label[i]), x[i].tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "image string, row int, label int, features array<double>")
+
+
+@pytest.mark.parametrize("method,preprocess,low,high", [("RBF", "Z_SCORE", 0.95, 1.0), ("LINEAR_DUAL", "PCA", 0.0, 0.75)])
+def test_training_end_to_end(spark, tmp_path, method, preprocess, low, high):
+    df = rings(spark)
+    model, table = K.train_stack(df, 2, method, preprocess, trials=4, n_out=128, max_iter=40)
+    best = table.filter("task = 'melanoma'").groupBy("trial").agg(F.sum(F.col("n") * F.col("auc")) / F.sum("n")).collect()
+    assert low <= max(r[1] for r in best) <= high
+    model.save(spark, str(tmp_path / "m"))
+    again = V.StackModel.load(spark, str(tmp_path / "m")).decide(df).orderBy("row").select("p_m", "p_k").collect()
+    assert np.allclose(again, model.decide(df).orderBy("row").select("p_m", "p_k").collect())
+
+
+def test_training_options_are_checked(spark):
+    df = rings(spark, 20)
+    for options in ({"method": "POLY"}, {"preprocess": "LDA"}, {"grouped": False}):
+        with pytest.raises(ValueError):
+            K.train_stack(df, 2, **{"method": "LINEAR_DUAL", "preprocess": "NONE", **options})
+    model, table = K.train_stack(rings(spark, 90), 2, "LINEAR_PRIMAL", "NONE", trials=1, grouped=False, row_id="row", max_iter=3)
+    assert table.count() == 6 and set(model.classifiers) == {"melanoma", "keratosis"}
