@@ -3,9 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stackpool.functions import pixels as X
 from stackpool.operators import images as I
-from stackpool.operators.pooling import pool_scores
 from stackpool.plans import stack as K
 from stackpool.queries import files
 from stackpool.queries import registry

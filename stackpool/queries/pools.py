@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from stackpool.functions import scores as S
 from stackpool.operators import ensemble as E
 from stackpool.operators import pooling as P
 from stackpool.operators.order import global_index

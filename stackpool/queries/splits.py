@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from stackpool.functions.draws import shuffle_key
 from stackpool.operators import split as P
 from stackpool.plans import dataset as D
 from stackpool.queries.registry import query

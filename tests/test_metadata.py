@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from stackpool import schemas
 from stackpool.operators import normalise as N
