@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,26 @@ def by_rows(fn: Callable[[list, list], dict], schema: str) -> tuple[Callable, st
 def task_number() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
+
+
+def slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch that hold about ``most`` bytes of text at most (or one text)."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    block = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of many texts in a row: (number of each word's distinct form, distinct forms, words of each text).
+
+    Words are what stands between blanks and \\t \\n \\v \\f \\r; ``lower`` lowers A-Z alone.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat, many = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(empty := np.flatnonzero(pc.equal(flat, "").to_numpy(zero_copy_only=False))):  # around leading and trailing blanks
+        owner = np.searchsorted(np.cumsum(many), empty, side="right")
+        many -= np.bincount(owner, minlength=len(many))
+        flat = flat.filter(pc.not_equal(flat, ""))
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, many

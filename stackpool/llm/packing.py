@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackpool.llm.common import id_text, task_number
+from stackpool.llm.common import id_text, slices, task_number
 from stackpool.session import materialise
 
 END_ID = 0
 #: Words kept between documents; a forgotten or longer word is only encoded again.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 CACHED_WORD = 64
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
@@ -168,14 +168,6 @@ def _byte_letters() -> list[str]:
 BYTE_LETTERS = _byte_letters()
 
 
-def slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch that hold about ``most`` bytes of text at most (or one text)."""
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    block = (np.cumsum(sizes) - sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
-    return ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token pieces of all documents: ids of the text, then END_ID, cut every ``capacity`` tokens.
 

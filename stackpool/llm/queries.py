@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackpool.llm import packing, secrets, shards
+from stackpool.llm import minmax, packing, secrets, shards
 from stackpool.llm.common import table
 from stackpool.session import ship_package
 
@@ -45,3 +45,8 @@ def op5(spark, sf):
 @query("op6_packing")
 def op6(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+@query("op8_minmax")
+def op8(spark, sf):
+    return minmax.near_duplicates(table(spark, sf, "documents"))
