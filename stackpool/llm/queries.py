@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackpool.llm import minmax, packing, secrets, shards
+from stackpool.llm import dualtree, minmax, packing, rpforest, secrets, shards
 from stackpool.llm.common import table
 from stackpool.session import ship_package
 
@@ -50,3 +50,23 @@ def op6(spark, sf):
 @query("op8_minmax")
 def op8(spark, sf):
     return minmax.near_duplicates(table(spark, sf, "documents"))
+
+
+_INTEGER = "floor(256 * x::double)::bigint"
+
+
+@query("op9_dualtree", f"""with v as (select vec_id, list_transform(embedding, x -> {_INTEGER}) as e from embeddings
+        where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e::double[], c.e::double[])::bigint as score
+        from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    select query_id, rank::int as rank, vec_id, score from r where rank <= 5""")
+def op9(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return dualtree.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+@query("op10_rpforest")
+def op10(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return rpforest.nearest(rows, rows.filter("vec_id % 100 = 0"), k=10)
