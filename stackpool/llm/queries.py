@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackpool.llm import dualtree, minmax, packing, rpforest, secrets, shards
+from stackpool.llm import brown, dualtree, minmax, packing, rpforest, secrets, shards
 from stackpool.llm.common import table
 from stackpool.session import ship_package
 
@@ -37,6 +37,14 @@ def op2(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_brown")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = brown.held_out(2, 7)
+    scored = brown.score_texts(docs, docs.filter(~out))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op5_secrets")
 def op5(spark, sf):
     return secrets.digest(secrets.scan_secrets(table(spark, sf, "documents")))
