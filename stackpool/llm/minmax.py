@@ -6,10 +6,10 @@ lower variance than two minima.  Rows of a band come from different permutations
 
 Documents of equal shingle sets share one node.  In every bucket of a band all
 nodes are compared with one centre, the node that meets most others over all
-bands; a large group of copies thus costs one comparison a node.  What is still
-in another component than its centre is then compared with the rest of its
-bucket, in blocks of fixed size.  Signatures screen the candidates; whole
-shingle sets confirm every link.
+bands; a large group of copies thus costs one comparison a node.  What is then
+in another component than its centre is compared with the other nodes of that
+centre, in blocks of fixed size.  Signatures only screen; whole shingle sets
+confirm every link.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ from stackpool.session import materialise
 
 #: Values of a signature (two a permutation) and values a band: at a similarity of 0.8 a pair misses all bands once in four million.
 PERMUTATIONS, ROWS = 95, 5
-#: Rows of a block of a bucket.
+#: How far below the threshold signatures may estimate a pair (five standard errors at 0.8), and the estimate below which
+#: a node is not kept with a centre: a node linked to it meets it in other buckets, which such a centre is not in.
+SLACK, FAR = 0.16, 0.5
+#: Nodes of a block.
 BLOCK = 1024
 WORDS = 4
 _U = np.uint64
@@ -141,22 +144,17 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], dtype="int64")
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, width: int, slack: float, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (x, y) those with 100 * intersection >= percent * union on whole sets.
+def sets_for(nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Whole sets of the documents named in the column node, written once."""
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col)).join(nodes.select("node").distinct(), "node", "left_semi")
+    return materialise(sets_of(texts, width, "node", text_col), "sets")
 
-    ``slack`` below the threshold is the screen on signatures of some 190 bytes,
-    whose standard error at 0.8 is below 0.03.
-    """
-    sig = lambda side: signed.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n").alias(f"n_{side}"))
-    near = pairs.join(sig("x"), "x").filter("n_x > 0").join(sig("y"), "y")
-    near = near.filter(F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-    near = near.filter(estimate("sig_x", "sig_y") >= percent / 100 - slack).select("x", "y", "n_x", "n_y")
-    near = materialise(near, "screened")
-    involved = near.select(F.explode(F.array("x", "y")).alias(id_col)).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).join(involved, id_col, "left_semi")
-    sets = materialise(sets_of(texts, width, id_col, text_col), "sets")
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Of the pairs (x, y) those with 100 * intersection >= percent * union on whole sets."""
+    sets = sets_for(pairs.select(F.explode(F.array("x", "y")).alias("node")), docs, width, id_col, text_col)
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
-    both = near.join(side("x"), "x").join(side("y"), "y").withColumn("both", common("set_x", "set_y"))
+    both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").withColumn("both", common("set_x", "set_y"))
     union = F.octet_length("set_x") / 8 + F.octet_length("set_y") / 8 - F.col("both")
     return both.filter(F.col("both") * 100 >= union * percent).select("x", "y").distinct()
 
@@ -190,63 +188,78 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return now.select("node", "label")
 
 
-def centre_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (bucket, node) rows: (bucket, centre, size) and the distinct pairs of nodes with their centres.
+def centred(buckets: DataFrame) -> DataFrame:
+    """Distinct (centre, node) from (bucket, node) rows, a node with the centre of each of its buckets.
 
     The centre is the node with the greatest sum of the sizes of all its buckets.
     """
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = materialise(buckets.join(sizes, "bucket"), "buckets")
     met = shared.groupBy("node").agg(F.sum("size").alias("met"))
-    chosen = (shared.join(met, "node").groupBy("bucket")
-              .agg(F.max_by("node", "met").alias("centre"), F.count(F.lit(1)).alias("size")))
-    members = materialise(shared.select("bucket", "node").join(chosen, "bucket"), "members")
-    pairs = members.filter("node <> centre").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
-    return members, pairs
+    chosen = shared.join(met, "node").groupBy("bucket").agg(F.max_by("node", "met").alias("centre"))
+    return shared.select("bucket", "node").join(chosen, "bucket").filter("node <> centre").select("centre", "node").distinct()
+
+
+def estimated(members: DataFrame, signed: DataFrame, lowest: float) -> DataFrame:
+    """(centre, node) rows with the similarity that signatures estimate, where it is at least ``lowest``."""
+    sig = lambda name, end: signed.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"))
+    both = members.join(sig("node", "x"), "node").join(sig("centre", "y"), "centre")
+    return materialise(both.withColumn("near", estimate("sig_x", "sig_y")).filter(F.col("near") >= lowest).drop("sig_x", "sig_y"), "estimated")
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, lowest: float) -> DataFrame:
-    """Pairs of a bucket that lie in different components, neither the centre, and that signatures let pass.
+def rest_links(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Links among the nodes of one centre that lie in different components; one for each node and component.
 
-    Only buckets with a node outside its centre's component are looked at.  They
-    are dealt out in blocks of nodes; a task holds two blocks at a time.
+    Only centres with a node outside their own component are looked at.  Their
+    nodes are dealt out in blocks; a task holds two blocks and the centre.  What
+    two sets share within the centre's set comes from one matrix product, and what
+    they can share besides is at most the smaller rest: pairs that this bound
+    leaves are confirmed on whole sets.
     """
-    lab = labels.select("node", "label")
-    own = members.join(lab, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mid = labels.select(F.col("node").alias("centre"), F.col("label").alias("_mid"))
-    own = own.join(mid, "centre", "left").withColumn("apart", F.col("label") != F.coalesce("_mid", "centre")).drop("_mid")
-    open_ = own.groupBy("bucket").agg(F.sum(F.col("apart").cast("long")).alias("many"), F.count(F.lit(1)).alias("all")).filter("many > 0 and all > 2")
-    rows = own.filter("node <> centre").join(open_.select("bucket", "many", "all"), "bucket")
-    rows = rows.join(signed.select("node", "sig"), "node")
-    blocks = F.ceil(F.col("all") / BLOCK)
-    block = F.pmod(F.xxhash64("node"), blocks)
-    alone = F.ceil(F.col("many") / BLOCK)
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"_{name}"))
+    own = members.select("centre", "node").join(of("node"), "node", "left").join(of("centre"), "centre", "left")
+    own = own.withColumn("label", F.coalesce("_node", "node")).withColumn("apart", F.col("label") != F.coalesce("_centre", "centre"))
+    open_ = own.groupBy("centre").agg(F.sum(F.col("apart").cast("long")).alias("many"), F.count(F.lit(1)).alias("all")).filter("many > 0 and all > 1")
+    rows = materialise(own.select("centre", "node", "label", "apart").join(open_, "centre"), "apart")
+    sets = sets_for(rows.select(F.explode(F.array("node", "centre")).alias("node")), docs, width, id_col, text_col).dropDuplicates(["node"])
+    alone, blocks = F.ceil(F.col("many") / BLOCK), F.ceil(F.col("all") / BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    placed = rows.withColumn("alone", alone.cast("long")).withColumn("blocks", blocks.cast("long"))
     # those apart are the left side, everyone is the right side
-    left = (rows.filter("apart").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), alone))
-            .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).withColumn("side", F.lit(0)))
-    right = (rows.withColumn("j", block)
-             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), (alone - 1).cast("long")))).withColumn("side", F.lit(1)))
-    cols = ["bucket", "i", "j", "side", "node", "label", "apart", "sig"]
-    both = left.select(*cols).unionByName(right.select(*cols))
+    left = placed.filter("apart").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), "alone")).withColumn("j", each(F.col("blocks"))).withColumn("side", F.lit(0))
+    right = placed.withColumn("j", F.pmod(F.xxhash64("node"), "blocks")).withColumn("i", each(F.col("alone"))).withColumn("side", F.lit(1))
+    middle = (placed.select("centre", "alone", "blocks").distinct().withColumn("node", F.col("centre")).withColumn("label", F.col("centre")).withColumn("apart", F.lit(False))
+              .withColumn("i", each(F.col("alone"))).withColumn("j", each(F.col("blocks"))).withColumn("side", F.lit(2)))
+    cols = ["centre", "i", "j", "side", "node", "label", "apart"]
+    dealt = left.select(*cols).unionByName(right.select(*cols)).unionByName(middle.select(*cols)).join(sets, "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group.side == 0], group[group.side == 1]
+        sides = [group[group.side == s] for s in (0, 1, 2)]
+        if not all(map(len, sides)):
+            return pd.DataFrame({"x": [], "y": []}, dtype="int64")
+        core = np.frombuffer(sides[2].shingles.iloc[0], dtype=_U)
+        held = [[np.frombuffer(s, dtype=_U) for s in side.shingles] for side in sides[:2]]
+        inside = [np.array([np.isin(core, s, assume_unique=True) for s in sets], dtype=np.float32) for sets in held]
+        size = [np.array([len(s) for s in sets]) for sets in held]
+        rest = [n - m.sum(axis=1) for n, m in zip(size, inside)]
         out = []
-        if len(a) and len(b):
-            grid = np.frombuffer(b"".join(b.sig), dtype=np.uint8).reshape(len(b), -1)
-            names, labs, apart = b.node.to_numpy(), b.label.to_numpy(), b.apart.to_numpy()
-            for node, label, sig in zip(a.node, a.label, a.sig):
-                # two that are both apart meet from either side: keep one order
-                want = (labs != label) & (~apart | (names > node))
-                near = np.flatnonzero(want)
-                if len(near):
-                    near = near[_agreement(grid[near], np.frombuffer(sig, dtype=np.uint8)) >= lowest]
-                    out += [(min(node, m), max(node, m)) for m in names[near].tolist()]
+        names, labs, apart = (sides[1][c].to_numpy() for c in ("node", "label", "apart"))
+        for k, (node, label) in enumerate(zip(sides[0].node, sides[0].label)):
+            most = inside[1] @ inside[0][k] + np.minimum(rest[1], rest[0][k])
+            # two that are both apart meet from either side: keep one order
+            want = (labs != label) & (~apart | (names > node)) & (most * 100 >= (size[1] + size[0][k] - most) * percent)
+            found = set()
+            for m in np.flatnonzero(want).tolist():
+                if labs[m] not in found:
+                    both = len(np.intersect1d(held[0][k], held[1][m], assume_unique=True))
+                    if both * 100 >= (size[0][k] + size[1][m] - both) * percent:
+                        found.add(labs[m])
+                        out.append((node, names[m]))
         return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
-    return both.groupBy("bucket", "i", "j").applyInPandas(compare, "x long, y long").distinct()
+    return dealt.groupBy("centre", "i", "j").applyInPandas(compare, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, slack: float = 0.16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id that links reach), kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their
@@ -260,15 +273,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, slac
     first = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     signed = (full.join(first, ["set_key"]).filter("doc_id = node").select("node", "set_key", "n", "sig", "bands"))
     signed = materialise(signed.dropDuplicates(["node", "set_key"]), "nodes")
-    buckets = signed.select(F.explode("bands").alias("bucket"), "node")
-    members, pairs = centre_pairs(buckets)
-    links = confirmed(pairs, signed, docs, percent, width, slack, id_col, text_col)
+    members = estimated(centred(signed.select(F.explode("bands").alias("bucket"), "node")), signed, FAR)
+    screened = members.filter((F.col("near") >= percent / 100 - SLACK) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent))
+    pairs = screened.select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
+    links = confirmed(pairs, docs, percent, width, id_col, text_col)
     # several sets under one doc_id hang together by it
     same = full.join(first, "set_key").filter("doc_id <> node").join(signed.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
     links = materialise(links.union(same.select(F.col("node").alias("x"), F.col("doc_id").alias("y")).distinct()), "links")
     labels = components(links)
-    more = rest_pairs(members, labels, signed, percent / 100 - slack)
-    more = materialise(confirmed(more, signed, docs, percent, width, slack, id_col, text_col), "links")
+    more = materialise(rest_links(members, labels, docs, percent, width, id_col, text_col), "links")
     if not more.isEmpty():
         labels = components(more.union(links), labels)
     out = stored.select("doc_id", "n", "set_key").join(first, "set_key", "left").join(labels, "node", "left")
