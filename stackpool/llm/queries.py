@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackpool.llm import brown, dualtree, minmax, packing, rpforest, secrets, shards
+from stackpool.llm import bpe, brown, dualtree, minmax, packing, rpforest, secrets, shards
 from stackpool.llm.common import table
 from stackpool.session import ship_package
 
@@ -55,6 +55,12 @@ def op6(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+@query("op7_bpe")
+def op7(spark, sf):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+
+
 @query("op8_minmax")
 def op8(spark, sf):
     return minmax.near_duplicates(table(spark, sf, "documents"))
