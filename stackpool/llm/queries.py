@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackpool.llm import bpe, brown, dualtree, minmax, packing, rpforest, secrets, shards
+from stackpool.llm import bpe, brown, dualtree, minmax, packing, quality, rpforest, secrets, shards
 from stackpool.llm.common import table
 from stackpool.session import ship_package
 
@@ -31,6 +31,11 @@ def query(key: str, oracle: str | None = None):
     return add
 
 
+@query("op1_quality")
+def op1(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op2_shards")
 def op2(spark, sf):
     out = shards.shard_rows(table(spark, sf, "documents"), shards=8)
