@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
@@ -288,3 +288,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, id_c
     reached = F.when(F.col("n") > 0, F.coalesce("label", "node", "doc_id")).otherwise(F.col("doc_id"))
     reached = F.when(F.col("doc_id").isNotNull(), reached)
     return out.select("doc_id", F.col("n").alias("n_shingles"), reached.alias("component_id"), F.coalesce(F.col("doc_id") == reached, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the least doc_id of each group of near duplicates.
+
+    Of rows that repeat one doc_id and text one stays.  Rows without doc_id all stay.
+    """
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    once = Window.partitionBy(id_col, text_col).orderBy(F.lit(0))
+    rows = rows.withColumn("_once", F.row_number().over(once)).filter("_once = 1").drop("_once")
+    return rows.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from stackpool.llm.common import id_crc, id_text, slices, words_of
 
 #: Rows that the model is fitted on, at most.
 POSITIVES, UNLABELLED = 8192, 16384
-STEPS, RATE, WEIGHT_DECAY = 400, 0.05, 1e-4
+STEPS, RATE, WEIGHT_DECAY = 300, 0.05, 1e-2
 PAIR_BINS = 512
 N_FEATURES = 256 + PAIR_BINS + 8
 
@@ -149,3 +150,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = train(rows.filter(train_fold()), judged.filter(train_fold()))
     out = score(rows, model)
     return out.select("doc_id", (~train_fold()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``classify`` predicts 1 for; the text does not leave its task."""
+    rows = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    judged = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    held = docs.sparkSession.sparkContext.broadcast(train(rows.filter(train_fold()), judged.filter(train_fold())))
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        found = pa.array(texts.fillna(""), pa.string())
+        parts = [held.value.scores(features(found[a:b])) >= 0.5 for a, b in slices(found, 4 << 20)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, dtype=bool))
+    return docs.filter(good(F.col(text_col).cast("string")))

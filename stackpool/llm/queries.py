@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackpool.llm import bpe, brown, dualtree, minmax, packing, quality, rpforest, secrets, shards
+from stackpool.llm import bpe, brown, dualtree, minmax, packing, quality, rpforest, secrets, shards, unigram
 from stackpool.llm.common import table
 from stackpool.session import ship_package
 
@@ -42,6 +42,11 @@ def op2(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op3_viterbi")
+def op3(spark, sf):
+    return unigram.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op4_brown")
 def op4(spark, sf):
     docs = table(spark, sf, "documents")
