@@ -27,23 +27,26 @@ from stackpool.llm.common import id_text, slices
 
 #: Words kept between slices, and the length up to which they are; others are encoded again.
 CACHE_WORDS, CACHED_WORD = 1 << 19, 64
+#: Words of one query, and bytes of text taken at a time.
+QUERY_WORDS, SLICE = 25_000, 4 << 20
 #: Characters beyond which a word is contracted at all pairs of least rank at once, so that its steps are at most the ranks it meets.
 LONG_WORD = 256
 #: Ids decoded by one query.
 DECODE_IDS = 1 << 20
 
-_LAST = "select word, list(tok order by pos) as ids from (select * from t qualify step = max(step) over (partition by word)) group by word"
-# the leftmost pair of least rank of every word; a key holds rank and place
+_LAST = ("select t.word, list(tok order by pos) as ids from t join (select word, max(step) as step from t group by word) l "
+         "on t.word = l.word and t.step = l.step group by t.word")
+# the leftmost pair of least rank of every word: a key holds rank and place, nxt the place of the token behind (-1: none)
 _ENCODE = f"""
-with recursive t(word, pos, tok, step) as (
-    select word, pos, tok, 0 from letters
+with recursive t(word, pos, tok, nxt, step) as (
+    select word, pos, tok, lead(pos, 1, -1) over (partition by word order by pos), 0 from letters
     union all
-    select word, pos, case when pos = best & 1048575 then (best >> 20)::int else tok end, step + 1 from (
-        select *, min(key) over (partition by word) as best from (
-            select n.word, n.pos, n.tok, n.step, n.before, (m.merged::bigint << 20) + n.pos as key
-            from (select *, lead(tok) over w as next, lag(pos) over w as before from t window w as (partition by word order by pos)) n
-            left join merges m on m.a = n.tok and m.b = n.next))
-    where best is not null and before is distinct from best & 1048575
+    select n.word, n.pos, case when n.pos = g.at then g.best else n.tok end, case when n.pos = g.at then g.after else n.nxt end, n.step + 1
+    from t n join (
+        select word, (min(key) >> 20)::int as best, (min(key) & 1048575)::int as at, arg_min(behind, key) as gone, arg_min(after, key) as after from (
+            select x.word, y.pos as behind, y.nxt as after, (m.merged::bigint << 20) + x.pos as key
+            from t x join t y on y.word = x.word and y.pos = x.nxt join merges m on m.a = x.tok and m.b = y.tok) group by word) g on n.word = g.word
+    where n.pos <> g.gone
 )
 {_LAST}"""
 # all pairs of least rank of every word in one step
@@ -77,7 +80,7 @@ class Coder:
     """A DuckDB connection with the vocabulary and all pairs that merge (two tokens whose bytes together are a token)."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         # a byte is the character of its number, so that bytes are text for DuckDB
         vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "piece": [b.decode("latin-1") for b in ranks]})
         self.db.register("given", vocabulary)
@@ -88,21 +91,22 @@ class Coder:
             join vocabulary l on l.piece = left(w.piece, w.cut) join vocabulary r on r.piece = substr(w.piece, w.cut + 1)""")
         self.db.unregister("given")
         self.letter = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words, each encoded by itself."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, ids of each word); each word is encoded by itself."""
         if len(self.kept) > CACHE_WORDS:
             self.kept = {}
-        new = [w for w in words if w not in self.kept]
         own = {}
+        new = [w for w in words if w not in self.kept]
         for query, some in ((_ENCODE, [w for w in new if len(w) <= LONG_WORD]), (_ENCODE_LONG, [w for w in new if len(w) > LONG_WORD])):
-            if some:
-                own.update(self._contracted(query, some))
+            for at in range(0, len(some), QUERY_WORDS):
+                own.update(self._contracted(query, some[at:at + QUERY_WORDS]))
+        found = [own[w] if w in own else self.kept[w] for w in words]
         self.kept.update((w, ids) for w, ids in own.items() if len(w) <= CACHED_WORD)
-        return [own[w] if w in own else self.kept[w] for w in words]
+        return np.frombuffer(b"".join(found), dtype="<i4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
 
-    def _contracted(self, query: str, words: list[str]) -> dict[str, list[int]]:
+    def _contracted(self, query: str, words: list[str]) -> dict[str, bytes]:
         raw = [w.encode() for w in words]
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         letters = pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
@@ -111,7 +115,10 @@ class Coder:
         self.db.register("letters", letters)
         found = self.db.sql(query).to_arrow_table()
         self.db.unregister("letters")
-        return dict(zip((words[i] for i in found["word"].to_pylist()), found["ids"].to_pylist()))
+        lists = found["ids"].combine_chunks()
+        flat = lists.flatten().to_numpy().astype("<i4").tobytes()
+        ends = (4 * np.cumsum(lists.value_lengths().to_numpy())).tolist()
+        return {words[i]: flat[a:b] for i, a, b in zip(found["word"].to_pylist(), [0, *ends], ends)}
 
     def decode(self, lists: pa.Array) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -138,55 +145,71 @@ def coder(ranks) -> Coder:
     return _coders[key]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:
+    import regex
+    split, own = regex.compile(pattern), coder(ranks)
+    for batch in batches:
+        for a, b in slices(batch.column(1), SLICE):
+            parts = [split.findall(t) for t in batch.column(1)[a:b].to_pylist()]
+            many = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            coded = pa.array(itertools.chain.from_iterable(parts), pa.string(), size=int(many.sum())).dictionary_encode()
+            del parts
+            flat, sizes = own.encode_words(coded.dictionary.to_pylist())
+            which = coded.indices.to_numpy().astype(np.int64)
+            long = sizes[which]
+            ends = np.cumsum(long)
+            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + long, long) + np.arange(int(long.sum()))] if len(which) else flat
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(many)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
+    own = coder(ranks)
+    known = np.zeros(max(ranks.value.values()) + 1, dtype=bool)
+    known[list(ranks.value.values())] = True
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten().to_numpy()
+        if len(flat) and not (flat.min() >= 0 and flat.max() < len(known) and known[flat].all()):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        block = (np.cumsum(sizes) - sizes) // DECODE_IDS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists[a:b], pa.array(own.decode(lists[a:b]), pa.binary())], ["doc_id", "ids", "bytes"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _shared(df: DataFrame, ranks_path: str):
+    return df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file, whatever the input
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and ids (a list).
 
     Each match of ``pattern`` is encoded by itself; no special tokens.  An empty
     or null text has no ids.  Texts and words of any length are encoded whole.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file, whatever the input
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-        split, own = regex.compile(pattern), coder(ranks)
-        for batch in batches:
-            for a, b in slices(batch.column(1), 8 << 20):
-                parts = [split.findall(t) for t in batch.column(1)[a:b].to_pylist()]
-                coded = pa.array(itertools.chain.from_iterable(parts), pa.string(), size=sum(map(len, parts))).dictionary_encode()
-                words = own.encode_words(coded.dictionary.to_pylist())
-                sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-                flat = np.fromiter(itertools.chain.from_iterable(words), dtype=np.int32, count=int(sizes.sum()))
-                which = coded.indices.to_numpy().astype(np.int64)
-                many = sizes[which]
-                ends = np.cumsum(many)
-                ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + many, many) + np.arange(int(many.sum()))] if len(which) else flat
-                cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, parts)])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
-    texts = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.mapInArrow(run, "doc_id long, ids array<int>")
+    ranks = _shared(docs, ranks_path)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, ranks, pattern), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: doc_id, ids and their bytes.  No ids or null give no bytes; an unknown id raises ValueError."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(ranks)
-        known = np.zeros(max(ranks.value.values()) + 1, dtype=bool)
-        known[list(ranks.value.values())] = True
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy()
-            if len(flat) and not (flat.min() >= 0 and flat.max() < len(known) and known[flat].all()):
-                raise ValueError("an id is not in the vocabulary")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            block = (np.cumsum(sizes) - sizes) // DECODE_IDS
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists[a:b], pa.array(own.decode(lists[a:b]), pa.binary())], ["doc_id", "ids", "bytes"])
+    ranks = _shared(encoded, ranks_path)
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
+    return rows.mapInArrow(lambda batches: _decoded(batches, ranks), "doc_id long, ids array<int>, bytes binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode``: doc_id, ids, bytes.  One worker does both, and the ids cross to it once."""
+    ranks = _shared(docs, ranks_path)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: _decoded(_encoded(batches, ranks, pattern), ranks),
+                                                     "doc_id long, ids array<int>, bytes binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def op6(spark, sf):
 @query("op7_bpe")
 def op7(spark, sf):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.digest(bpe.round_trip(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 @query("op8_minmax")
