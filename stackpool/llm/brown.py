@@ -36,7 +36,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all texts; the end of each text counts as the token END."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 64 << 20):
+            for a, b in slices(batch.column(1), 16 << 20):
                 which, words, _ = words_of(batch.column(1)[a:b])
                 counts = np.bincount(which, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END])]), pa.array(np.append(counts, b - a), pa.int64())], ["word", "c"])

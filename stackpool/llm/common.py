@@ -47,7 +47,7 @@ def task_number() -> int:
     return context.partitionId() if context else 0
 
 
-def slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch that hold about ``most`` bytes of text at most (or one text)."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     block = (np.cumsum(sizes) - sizes) // most
