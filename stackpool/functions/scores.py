@@ -100,21 +100,10 @@ def format_score(x) -> Column:
                     F.lpad(F.when(carry, 0).otherwise(digits).cast("string"), SCORE_DECIMALS, "0"))
 
 
-# Up to this width a weighted sum is written out, so that it is compiled; lambdas are interpreted.
-UNROLL = 128
-
-
 def linear_score(features, weights: list[float], bias: float) -> Column:
-    """w.x + b for a fixed weight vector held as literals."""
-    x, bias = _c(features), F.lit(float(bias))
-    if len(weights) <= UNROLL:
-        terms = [x[i] * float(v) for i, v in enumerate(weights)]
-        # added as a balanced tree: a chain would nest as deep as the vector is wide
-        while len(terms) > 1:
-            terms = [sum(terms[i + 1:i + 2], terms[i]) for i in range(0, len(terms), 2)]
-        return (terms[0] if terms else F.lit(0.0)) + bias
+    """w.x + b for a fixed weight vector held as literals, added in the order of the positions at any width."""
     w = F.lit([float(v) for v in weights])
-    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + bias
+    return F.aggregate(F.zip_with(_c(features), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.lit(float(bias))
 
 
 def cross_entropy(z, label, n_classes: int, smoothing: float = 0.0) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackpool.functions import scores as S
+from stackpool.operators.joins import one_per_key
 
 # Component sets in feature order, and replicas of each.
 FEATURE_ORDER = ("rc25", "rc25_50_s", "rc25_max", "rc28", "rc28_50_s", "rc28_50avg_s", "rc30")
@@ -69,7 +70,7 @@ def assemble(components: DataFrame, mode: str, key: str = "image", labels: DataF
     per_image = valued.groupBy(key).agg(F.array(*[slot(f, k, v) for f, k in slots for v in ("_m", "_k")]).alias("_slots"))
     if labels is not None:
         # an image without a label fails the query
-        known = labels.select(key, S.label3("melanoma", "keratosis").alias("label"))
+        known = one_per_key(labels, key, ["melanoma", "keratosis"]).select(key, S.label3("melanoma", "keratosis").alias("label"))
         per_image = per_image.join(known, key, "left").withColumn("label", F.when(
             F.col("label").isNull(), F.raise_error(F.concat(F.lit("no label for "), F.col(key).cast("string"))))
             .otherwise(F.col("label")))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackpool.functions.draws import uniforms
+
 PREPROCESS_MODES = ("PCA", "PCA_WHITEN", "Z_SCORE", "NONE")
 _ARRAY = T.ArrayType(T.DoubleType())
 
@@ -107,13 +109,19 @@ def feature_histogram(df: DataFrame, features: str, low: float, width: float) ->
 
 
 def fourier_basis(n_features: int, n_out: int, gamma: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.normal(0.0, np.sqrt(2.0 * gamma), (n_features, n_out)), rng.uniform(0.0, 2 * np.pi, n_out)
+    """Directions and phases from md5 draws, so that every release of every library gives the same ones."""
+    draws = np.array([uniforms(seed, "rff", i, j)[:2] for i in range(n_features) for j in range(n_out)]).reshape(n_features, n_out, 2)
+    # half a step keeps the logarithm finite
+    normal = np.sqrt(-2.0 * np.log(draws[..., 0] + 2.0 ** -33)) * np.cos(2 * np.pi * draws[..., 1])
+    return np.sqrt(2.0 * gamma) * normal, 2 * np.pi * np.array([uniforms(seed, "phase", j)[0] for j in range(n_out)])
+
+
+def fourier_map(x: np.ndarray, basis: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return np.sqrt(2.0 / basis[0].shape[1]) * np.cos(x @ basis[0] + basis[1])
 
 
 def random_fourier(df: DataFrame, features: str, n_features: int, n_out: int, gamma: float,
                    seed: int = 0, out: str | None = None) -> DataFrame:
     """Random Fourier features of the Gaussian kernel exp(-gamma |x-y|^2) (Rahimi & Recht 2007)."""
-    w, b = fourier_basis(n_features, n_out, gamma, seed)
-    factor = np.sqrt(2.0 / n_out)
-    return matrix_apply(df, features, lambda x: factor * np.cos(x @ w + b), out)
+    basis = fourier_basis(n_features, n_out, gamma, seed)
+    return matrix_apply(df, features, lambda x: fourier_map(x, basis), out)

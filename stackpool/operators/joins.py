@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 # adaptive execution broadcasts a side once its real size is known to be small.
 
 
+def one_per_key(df: DataFrame, key: str, values: list[str], line_no: str = "line_no") -> DataFrame:
+    """One row per key: that of the last line, if lines are numbered.
+
+    Without line numbers a key whose rows differ fails the query.
+    """
+    if line_no in df.columns:
+        return df.groupBy(key).agg(*[F.max_by(v, line_no).alias(v) for v in values])
+    differ = F.raise_error(F.concat(F.lit("differing rows for "), F.col(key).cast("string")))
+    return df.groupBy(key).agg(*[F.when(F.min(v).eqNullSafe(F.max(v)), F.max(v)).otherwise(differ).alias(v) for v in values])
+
+
 def with_case(df: DataFrame, near_duplicates: DataFrame) -> DataFrame:
     """Case of an image from the near-duplicate map, '' where it has none."""
-    cases = near_duplicates.select("image", F.col("case_id").alias("_case"))
+    cases = one_per_key(near_duplicates, "image", ["case_id"]).withColumnRenamed("case_id", "_case")
     return (df.drop("case_id").join(cases, "image", "left")
             .withColumn("case_id", F.coalesce("_case", F.lit(""))).drop("_case"))
 
 
-def last_per_key(df: DataFrame, key: str, value: str, line_no: str) -> DataFrame:
-    """Key to value map in which the last line of a key wins."""
-    return df.groupBy(key).agg(F.max_by(value, line_no).alias(value))
-
-
 def mark_existing(df: DataFrame, listing: DataFrame, key: str = "image", name: str = "exists") -> DataFrame:
     """Flag rows whose key is listed; one join serves both the kept and the rejected rows."""
     marks = listing.select(key).distinct().withColumn(name, F.lit(True))
@@ -48,13 +54,9 @@ def zip_by_line(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 def join_truth(submission: DataFrame, truth: DataFrame, key: str = "image",
                labels: tuple[str, ...] = ("melanoma", "keratosis")) -> DataFrame:
-    """Submission with its truth; the query fails on an image without truth."""
-    joined = submission.join(truth.select(key, *labels), key, "left")
+    """Submission with its truth, of a repeated id the last line; the query fails on an image without truth."""
+    joined = submission.join(one_per_key(truth, key, list(labels)), key, "left")
     gone = F.concat(F.lit("no truth for "), F.col(key).cast("string"))
     return joined.withColumns({c: F.when(F.col(c).isNull(), F.raise_error(gone)).otherwise(F.col(c)).cast("int")
                                for c in labels})
 
-
-def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of ``left`` whose key is not in ``right`` (deploy set minus a list, new files)."""
-    return left.join(right.select(key), key, "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackpool.operators.order import global_index, score_curve
@@ -115,38 +115,40 @@ def _both_counts(values: np.ndarray, classes: np.ndarray) -> tuple[int, int]:
     return inversions_in(values), same
 
 
-def _grid_pairs(cells: pd.DataFrame) -> int:
-    """Sum of n1 * n2 over cell pairs with chunk1 < chunk2 and block1 > block2."""
-    if cells.empty:
-        return 0
-    _, d = np.unique(cells["block"], return_inverse=True)
-    _, c = np.unique(cells["chunk"], return_inverse=True)
-    h = np.zeros((c.max() + 1, d.max() + 1), dtype=np.int64)
-    np.add.at(h, (c, d), cells["n"].to_numpy())
-    greater = h[:, ::-1].cumsum(axis=1)[:, ::-1] - h        # same chunk, larger block
-    earlier = greater.cumsum(axis=0) - greater              # chunks before
-    return sum(int(row) for row in (h * earlier).sum(axis=1))
-
+#: Rows of a block of either order, and blocks that a wider block joins.
+BLOCK_ROWS, FAN = 1 << 16, 64
 
-MAX_BLOCKS = 1024
 
+def _pairs_between_chunks(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group, pairs of rows whose chunks differ: the earlier one has the larger child.
 
-def count_inversions(ranked: DataFrame, rank1: str, rank2: str, truth: str,
-                     block_rows: int | None = None) -> DataFrame:
-    """Pairs ordered differently by two dense rankings, and those of different truth.
-
-    Each order is cut into equal blocks.  A pair is found in exactly one place:
-    inside a block of order 1, inside a block of order 2 (order-1 blocks
-    differ), or between cells of the block x block count grid.  Blocks hold
-    ``block_rows`` rows, the grid at most MAX_BLOCKS^2 counts; no pairs are made.
+    ``cells`` has the keys, chunk and n0..n63, the rows of each child; a running
+    sum over the chunks of a group gives the earlier rows of each child.
+    """
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.array(*[F.col(f"n{k}") for k in range(FAN)])
+    earlier = F.array(*[F.coalesce(F.sum(f"n{k}").over(before), F.lit(0)) for k in range(FAN)])
+    both = cells.select(F.reverse(F.arrays_zip(here.alias("n"), earlier.alias("b"))).alias("x"))
+    start = F.struct(F.lit(0).cast("long").alias("larger"), F.lit(0).cast("decimal(38,0)").alias("total"))
+    step = lambda s, x: F.struct((s["larger"] + x["b"]).alias("larger"),
+                                 (s["total"] + (x["n"].cast("decimal(18,0)") * s["larger"].cast("decimal(18,0)"))).cast("decimal(38,0)").alias("total"))
+    return both.select(F.aggregate("x", start, step, lambda s: s["total"]).alias("pairs"))
+
+
+def count_inversions(ranked: DataFrame, rank1: str, rank2: str, truth: str, block_rows: int | None = None) -> DataFrame:
+    """Pairs ordered differently by two dense rankings, and those of different truth (decimals of 38 digits).
+
+    Order 1 is a tree: blocks of ``block_rows`` ranks (BLOCK_ROWS unless given), FAN of which make a wider
+    block, and so on up to one.  A pair is found once, in the lowest block that
+    holds both rows: there its children differ, unless it is a lowest block.
+    Order 2 cuts each block into chunks of ``block_rows`` ranks; pairs inside a
+    chunk are counted in its task, pairs between chunks from counts.  No task holds
+    more than ``block_rows`` rows, and no pairs are made.
     """
-    # read four times below
+    block_rows = block_rows or BLOCK_ROWS
+    # read once for each level of the tree
     rows = materialise(ranked.select(F.col(rank1).cast("long").alias("r1"), F.col(rank2).cast("long").alias("r2"),
                                      F.col(truth).cast("int").alias("t")), "ranks")
-    if block_rows is None:
-        block_rows = max(1 << 16, -(-rows.count() // MAX_BLOCKS))
-    rows = rows.withColumn("block", F.floor(F.col("r1") / F.lit(block_rows))) \
-               .withColumn("chunk", F.floor(F.col("r2") / F.lit(block_rows)))
     schema = "total long, same long"
 
     def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,15 +157,20 @@ def count_inversions(ranked: DataFrame, rank1: str, rank2: str, truth: str,
 
     def in_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r2")
-        return pd.DataFrame([_both_counts(pdf["block"].to_numpy(), pdf["t"].to_numpy())], columns=["total", "same"])
-
-    def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = sum(_grid_pairs(g) for _, g in pdf.groupby("t"))
-        return pd.DataFrame([(_grid_pairs(pdf), same)], columns=["total", "same"])
-
-    cells = rows.groupBy("block", "chunk", "t").agg(F.count(F.lit(1)).alias("n"))
-    parts = (rows.groupBy("block").applyInPandas(in_block, schema)
-             .unionByName(rows.groupBy("chunk").applyInPandas(in_chunk, schema))
-             # the whole grid is one group: at most MAX_BLOCKS^2 counts per class
-             .unionByName(cells.groupBy(F.lit(0).alias("_g")).applyInPandas(between, schema)))
-    return parts.agg(F.sum("total").alias("inversions"), F.sum(F.col("total") - F.col("same")).alias("significant"))
+        return pd.DataFrame([_both_counts(pdf["child"].to_numpy(), pdf["t"].to_numpy())], columns=["total", "same"])
+
+    wide = lambda d: d.select(F.col("total").cast("decimal(38,0)").alias("total"), F.col("same").cast("decimal(38,0)").alias("same"))
+    none = F.lit(0).cast("decimal(38,0)")
+    found = wide(rows.withColumn("block", F.floor(F.col("r1") / F.lit(block_rows))).groupBy("block").applyInPandas(in_block, schema))
+    last, span = rows.agg(F.max("r1").alias("last")).first()["last"] or 0, block_rows
+    while span <= last:
+        level = (rows.withColumn("child", (F.floor(F.col("r1") / F.lit(span)) % FAN).cast("int"))
+                 .withColumn("block", F.floor(F.col("r1") / F.lit(span * FAN))).withColumn("chunk", F.floor(F.col("r2") / F.lit(block_rows))))
+        found = found.unionByName(wide(level.groupBy("block", "chunk").applyInPandas(in_chunk, schema)))
+        cells = level.groupBy("block", "chunk", "t").agg(*[F.sum((F.col("child") == k).cast("long")).alias(f"n{k}") for k in range(FAN)])
+        every = cells.groupBy("block", "chunk").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(FAN)])
+        found = found.unionByName(_pairs_between_chunks(every, ["block"]).select(F.col("pairs").alias("total"), none.alias("same")))
+        found = found.unionByName(_pairs_between_chunks(cells, ["block", "t"]).select(none.alias("total"), F.col("pairs").alias("same")))
+        span *= FAN
+    return found.agg(F.coalesce(F.sum("total"), none).cast("decimal(38,0)").alias("inversions"),
+                     F.coalesce(F.sum(F.col("total") - F.col("same")), none).cast("decimal(38,0)").alias("significant"))

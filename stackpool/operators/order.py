@@ -60,6 +60,28 @@ def with_previous(df: DataFrame, idx: str, columns: list[str], chunk_rows: int =
     return out if keep_chunk else out.drop("_chunk")
 
 
+def numbered_with_previous(df: DataFrame, major: str, line: str, column: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Dense position and ``prev_<column>`` in the order (major, line), for rows whose lines are numbered already.
+
+    Lines are cut into chunks of ``chunk_rows`` numbers.  The last row and the
+    size of each chunk meet in a table of one row per chunk, so no row is sorted
+    outside its chunk and nothing is written.
+    """
+    chunked = df.withColumn("_chunk", F.floor(F.col(line) / F.lit(chunk_rows)))
+    totals = chunked.groupBy(major, "_chunk").agg(F.count(F.lit(1)).alias("_size"), F.max_by(column, line).alias("_last"))
+    # one row per chunk
+    order = Window.orderBy(major, "_chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(major, "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+                          F.lag("_last").over(order).alias("_carry"))
+    inside = Window.partitionBy(major, "_chunk").orderBy(line)
+    local = chunked.withColumn("_row", F.row_number().over(inside)).withColumn("_local", F.lag(column).over(inside))
+    return (local.join(carry, [major, "_chunk"])
+            .withColumn(f"prev_{column}", F.when(F.col("_row") > 1, F.col("_local")).otherwise(F.col("_carry")))
+            .withColumn(name, F.col("_start") + F.col("_row") - 1)
+            .drop("_chunk", "_row", "_local", "_start", "_carry"))
+
+
 def run_starts(df: DataFrame, idx: str, value: str, name: str = "run_start",
                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the index at which the current run of equal ``value`` began."""
@@ -134,7 +156,9 @@ def score_curve(df: DataFrame, score: str, positive: str, series: list[str] | No
     writes the three slim columns once first, for rows that are costly to make.
     """
     series = list(series or [])
-    slim = df.select(*series, F.col(score).cast("double").alias("score"), F.col(positive).cast("long").alias("_y"))
+    value, label = F.col(score).cast("double"), F.col(positive).cast("long")
+    bad = F.raise_error(F.lit(f"a score in {score} or a label in {positive} is null or not a number"))
+    slim = df.select(*series, F.when(value.isNull() | F.isnan(value) | label.isNull(), bad).otherwise(value).alias("score"), label.alias("_y"))
     if store:
         slim = materialise(slim, "scores")
     slim = add_bucket(slim, "score", score_buckets(slim, "score", buckets))

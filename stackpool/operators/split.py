@@ -52,17 +52,19 @@ def split_dataset(meta: DataFrame, seed: int = SEED, train: int = TRAIN_PERCENT,
     Per stratum, the first row of a case and all rows without a case are
     shuffled and cut by percentage.  The other rows of a case follow a
     representative of that case: test before validation before train.
+    ``line_no`` must be distinct; a repeated one raises ValueError.
     """
     if train + validation > 100 or min(train, validation) < 0:
         raise ValueError("train and validation percentages must be within 0..100 together")
     rows = strata(meta)
     has_case = F.length(F.coalesce("case_id", F.lit(""))) > 0
     firsts = (rows.filter(has_case).groupBy("stratum", "case_id").agg(F.min("line_no").alias("line_no"))
-              .select("stratum", "line_no", F.lit(True).alias("_first_of_case")))
-    flagged = (rows.join(firsts, ["stratum", "line_no"], "left")
+              .withColumn("_first_of_case", F.lit(True)))
+    flagged = (rows.join(firsts, ["stratum", "case_id", "line_no"], "left")
                .withColumn("_rep", ~has_case | F.coalesce("_first_of_case", F.lit(False))).drop("_first_of_case"))
     # metadata only; read by the representatives, the rest, and the count of frequent cases
     flagged = materialise(flagged, "strata")
+    require_unique(flagged, ["stratum", "line_no"])
 
     reps = flagged.filter("_rep").drop("_rep")
     placed = _positions(reps, "stratum", [shuffle_key(seed, "image"), "line_no"], "_rank", "split")
@@ -88,6 +90,13 @@ def contaminated(rows: DataFrame, key: str) -> DataFrame:
             .filter(F.col("first_split") != F.col("last_split")))
 
 
+def require_unique(rows: DataFrame, keys: list[str]) -> None:
+    """Fail if a key repeats; only the keys are read."""
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").take(1)
+    if found:
+        raise ValueError(f"{' and '.join(keys)} repeat, e.g. {found[0].asDict()}")
+
+
 def require_disjoint(rows: DataFrame, key: str = "image") -> None:
     """Fail before anything is written if an image is in two splits."""
     found = contaminated(rows, key).take(5)

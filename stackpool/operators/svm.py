@@ -10,6 +10,7 @@ there are.  Weights, not rows, come to the driver.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from stackpool.functions.draws import shuffle_key, uniform, uniforms
 from stackpool.functions.scores import linear_score, sigmoid
-from stackpool.operators.features import Preprocessor, random_fourier
+from stackpool.operators.features import Preprocessor, fourier_basis, fourier_map, random_fourier
 from stackpool.operators.metrics import ranking_metrics
 from stackpool.operators.order import global_index
 
@@ -33,6 +34,8 @@ C_LOW, C_SCALE = -16.0, 32.0
 GAMMA_TOP, GAMMA_SPAN = 3.0, 32.0
 FOLDS = 3
 TRIALS = 10
+#: Passes after which a fit that has not converged is an error.
+MAX_ITER = 1000
 TASKS = {"melanoma": 1, "keratosis": 2}
 ALL_ROWS = -1
 # At most this many partial sums reach the driver in one iteration.
@@ -81,103 +84,140 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = FOLDS, see
 
 @dataclass(frozen=True)
 class Setting:
-    """One model: label taken as positive, penalty, and the fold it must not see."""
+    """One model: label taken as positive, penalty, the fold it must not see, and which kernel map its rows go through."""
     positive: int
     c: float
     held_out: int = ALL_ROWS
+    kernel: int = -1
+
+
+Basis = tuple[np.ndarray, np.ndarray]
+
+
+def _mapped(x: np.ndarray, settings: list[Setting], bases: list[Basis]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(columns, rows with the constant feature) for each kernel that the settings use."""
+    kernels = np.array([s.kernel for s in settings])
+    for k in np.unique(kernels):
+        rows = x if k < 0 else fourier_map(x, bases[k])
+        yield np.flatnonzero(kernels == k), np.hstack([rows, np.ones((len(rows), 1))])
 
 
 def _sum_over_rows(df: DataFrame, weights: np.ndarray, settings: list[Setting], features: str, label: str,
-                   partitions: int) -> tuple[np.ndarray, np.ndarray]:
+                   bases: list[Basis] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Summed squared hinge and its gradient per setting, for weights of shape (d + 1, k)."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
+    shared = spark.sparkContext.broadcast((weights, list(bases)))
     positive = np.array([s.positive for s in settings])
     held = np.array([s.held_out for s in settings])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
+        w, maps = shared.value
         loss, grad = np.zeros(w.shape[1]), np.zeros(w.shape)
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = np.stack(pdf[features].to_numpy())
-            x = np.hstack([x, np.ones((len(x), 1))])
-            y = np.where(pdf[label].to_numpy()[:, None] == positive, 1.0, -1.0)
-            slack = np.maximum(0.0, 1.0 - y * (x @ w)) * (pdf["fold"].to_numpy()[:, None] != held)
-            loss += (slack ** 2).sum(axis=0)
-            grad -= 2.0 * x.T @ (y * slack)
+            for at, x in _mapped(np.stack(pdf[features].to_numpy()), settings, maps):
+                y = np.where(pdf[label].to_numpy()[:, None] == positive[at], 1.0, -1.0)
+                slack = np.maximum(0.0, 1.0 - y * (x @ w[:, at])) * (pdf["fold"].to_numpy()[:, None] != held[at])
+                loss[at] += (slack ** 2).sum(axis=0)
+                grad[:, at] -= 2.0 * x.T @ (y * slack)
         yield pd.DataFrame({"part": [np.concatenate([loss, grad.ravel()])]})
 
     schema = T.StructType([T.StructField("part", T.ArrayType(T.DoubleType()))])
     parts = df.select(features, label, "fold").mapInPandas(partial, schema)
-    if partitions <= FAN_IN:
-        # one weight-sized row per partition
-        total = np.sum([r["part"] for r in parts.collect()], axis=0)
-    else:
-        groups = parts.select((F.spark_partition_id() % FAN_IN).alias("g"), array_to_vector("part").alias("part"))
-        summed = groups.groupBy("g").agg(Summarizer.sum(F.col("part")).alias("part"))
-        total = np.sum([r["part"].toArray() for r in summed.collect()], axis=0)
+    # one weight-sized row per partition, added in two levels whatever their number
+    groups = parts.select((F.spark_partition_id() % FAN_IN).alias("g"), array_to_vector("part").alias("part"))
+    summed = groups.groupBy("g").agg(Summarizer.sum(F.col("part")).alias("part"))
+    total = np.sum([r["part"].toArray() for r in sorted(summed.collect(), key=lambda r: r["g"])], axis=0)
     shared.unpersist()
     k = len(settings)
     return total[:k], total[k:].reshape(weights.shape)
 
 
+def _objective(df: DataFrame, w: np.ndarray, settings: list[Setting], features: str, label: str, bases: list[Basis]) -> tuple[np.ndarray, np.ndarray]:
+    """|w|^2 / 2 + C * sum(max(0, 1 - y w.x)^2) and its gradient per setting."""
+    c = np.array([s.c for s in settings])
+    loss, grad = _sum_over_rows(df, w, settings, features, label, bases)
+    return 0.5 * (w ** 2).sum(axis=0) + c * loss, w + c * grad
+
+
+def _with_fold(df: DataFrame) -> DataFrame:
+    return df if "fold" in df.columns else df.withColumn("fold", F.lit(ALL_ROWS - 1))
+
+
+def gradient_ratio(df: DataFrame, weights: np.ndarray, settings: list[Setting], features: str = "features", label: str = "label",
+                   bases: list[Basis] = ()) -> np.ndarray:
+    """Length of the gradient at ``weights`` over that at zero, per setting: how far a fit is from its optimum."""
+    df = _with_fold(df)
+    at, start = (_objective(df, w, settings, features, label, list(bases))[1] for w in (weights, np.zeros_like(weights)))
+    return np.linalg.norm(at, axis=0) / np.maximum(np.linalg.norm(start, axis=0), 1e-12)
+
+
 def fit(df: DataFrame, settings: list[Setting], n_features: int, features: str = "features", label: str = "label",
-        max_iter: int = 100, tol: float = 1e-4, memory: int = 10) -> np.ndarray:
+        max_iter: int | None = None, tol: float = 1e-4, memory: int = 10, bases: list[Basis] = ()) -> np.ndarray:
     """Weights (d + 1, k) minimising |w|^2 / 2 + C * sum(max(0, 1 - y w.x)^2) for every setting.
 
     The constant feature (last row) is penalised like the others.  Limited-
-    memory BFGS with backtracking runs for all settings in step, one pass each.
+    memory BFGS with backtracking runs for all settings in step, one pass each,
+    until every gradient is below ``tol`` times its first length.  Settings with
+    a kernel see the rows through the map ``bases[kernel]``, applied in the pass;
+    ``n_features`` is then the width after the map.  After MAX_ITER passes, or
+    where no step helps, RuntimeError is raised; a caller who sets ``max_iter``
+    gets the weights so far and a warning instead.
     """
-    c = np.array([s.c for s in settings])
-    if "fold" not in df.columns:
-        df = df.withColumn("fold", F.lit(ALL_ROWS - 1))
+    df = _with_fold(df)
     kept = df.storageLevel != StorageLevel.NONE
     if not kept:
         # every iteration reads all rows again
         df = df.select(features, label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _minimise(df, settings, c, n_features, features, label, max_iter, tol, memory)
+        return _minimise(df, settings, n_features, features, label, max_iter, tol, memory, list(bases))
     finally:
         if not kept:
             df.unpersist()
 
 
-def _minimise(df: DataFrame, settings: list[Setting], c: np.ndarray, n_features: int, features: str, label: str,
-              max_iter: int, tol: float, memory: int) -> np.ndarray:
-    k = len(settings)
-    partitions = df.rdd.getNumPartitions()
-
-    def objective(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss, grad = _sum_over_rows(df, w, settings, features, label, partitions)
-        return 0.5 * (w ** 2).sum(axis=0) + c * loss, w + c * grad
+def _minimise(df: DataFrame, settings: list[Setting], n_features: int, features: str, label: str,
+              max_iter: int | None, tol: float, memory: int, bases: list[Basis]) -> np.ndarray:
+    def give_up(reason: str, which: np.ndarray) -> None:
+        said = f"{reason}: {[settings[i] for i in which]}"
+        if max_iter is None:
+            raise RuntimeError(said)
+        warnings.warn(said, stacklevel=4)
 
-    w = np.zeros((n_features + 1, k))
-    f, g = objective(w)
+    w = np.zeros((n_features + 1, len(settings)))
+    f, g = _objective(df, w, settings, features, label, bases)
     start_norm = np.linalg.norm(g, axis=0)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     step = 1.0 / np.maximum(start_norm, 1.0)
-    direction = -g
-    for _ in range(max_iter):
+    direction, steepest = -g, np.ones(len(settings), dtype=bool)
+    for _ in range(max_iter or MAX_ITER):
         active = np.linalg.norm(g, axis=0) > tol * np.maximum(start_norm, 1e-12)
         if not active.any():
-            break
+            return w
         slope = (g * direction).sum(axis=0)
         trial = w + np.where(active, step, 0.0) * direction
-        f_new, g_new = objective(trial)
-        good = active & (f_new <= f + 1e-4 * step * slope)
+        f_new, g_new = _objective(df, trial, settings, features, label, bases)
+        # the last term is what rounding does to the sum of losses
+        good = active & (f_new <= f + 1e-4 * step * slope + 1e-14 * np.abs(f))
         s, y = np.where(good, trial - w, 0.0), np.where(good, g_new - g, 0.0)
         w, f, g = np.where(good, trial, w), np.where(good, f_new, f), np.where(good, g_new, g)
         # a refused step keeps its direction and is halved; the others get a new direction
         step = np.where(good, 1.0, step * 0.5)
-        if (active & (step < 1e-12)).all():
-            break
+        stuck = active & (step < 1e-12)
+        if (stuck & steepest).any():
+            give_up("no step helps", np.flatnonzero(stuck & steepest))
+            return w
         if good.any():
             past = (past + [(s, y)])[-memory:]
-            direction = np.where(good, -_two_loop(g, past), direction)
+            direction, steepest = np.where(good, -_two_loop(g, past), direction), steepest & ~good
             uphill = good & ((g * direction).sum(axis=0) >= 0)
             direction = np.where(uphill, -g, direction)
+        direction = np.where(stuck, -g, direction)
+        step, steepest = np.where(stuck, 1.0 / np.maximum(np.linalg.norm(g, axis=0), 1.0), step), steepest | stuck
+    left = np.flatnonzero(np.linalg.norm(g, axis=0) > tol * np.maximum(start_norm, 1e-12))
+    if len(left):
+        give_up("not converged", left)
     return w
 
 
@@ -201,19 +241,21 @@ def _two_loop(g: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.nd
 
 
 def held_out_scores(df: DataFrame, weights: np.ndarray, settings: list[Setting], features: str = "features",
-                    label: str = "label") -> DataFrame:
+                    label: str = "label", bases: list[Basis] = ()) -> DataFrame:
     """One row per (setting, row of its held-out fold): decision value and 0/1 truth."""
-    shared = df.sparkSession.sparkContext.broadcast(weights)
+    shared = df.sparkSession.sparkContext.broadcast((weights, list(bases)))
     held = np.array([s.held_out for s in settings])
     positive = np.array([s.positive for s in settings])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, maps = shared.value
         for pdf in batches:
-            x = np.stack(pdf[features].to_numpy()) if len(pdf) else np.zeros((0, shared.value.shape[0] - 1))
-            values = np.hstack([x, np.ones((len(x), 1))]) @ shared.value
-            rows, cols = np.nonzero(pdf["fold"].to_numpy()[:, None] == held)
-            yield pd.DataFrame({"setting": cols.astype("int32"), "score": values[rows, cols],
-                                "y": (pdf[label].to_numpy()[rows] == positive[cols]).astype("int32")})
+            if pdf.empty:
+                continue
+            for at, x in _mapped(np.stack(pdf[features].to_numpy()), settings, maps):
+                rows, cols = np.nonzero(pdf["fold"].to_numpy()[:, None] == held[at])
+                yield pd.DataFrame({"setting": at[cols].astype("int32"), "score": (x @ w[:, at])[rows, cols],
+                                    "y": (pdf[label].to_numpy()[rows] == positive[at][cols]).astype("int32")})
     return df.select(features, label, "fold").mapInPandas(score, "setting int, score double, y int")
 
 
@@ -264,12 +306,12 @@ def _best_trials(per_fold: list[tuple], tasks: dict[str, int]) -> dict[str, int]
     return best
 
 
-def _fold_results(df: DataFrame, n_features: int, keys: list[tuple[str, int, int]], penalty: Callable[[int], float],
-                  sizes: dict[int, int], tasks: dict[str, int], max_iter: int, features: str, label: str) -> list[tuple]:
+def _fold_results(df: DataFrame, width: int, keys: list[tuple[str, int, int]], penalty: Callable[[int], float], sizes: dict[int, int],
+                  tasks: dict[str, int], max_iter: int | None, features: str, label: str, bases: list[Basis] = ()) -> list[tuple]:
     """(task, trial, fold, c, gamma, rows, auc) of every key; all keys are fitted in the same passes."""
-    settings = [Setting(tasks[task], penalty(t), f) for task, t, f in keys]
-    weights = fit(df, settings, n_features, features, label, max_iter)
-    scored = held_out_scores(df, weights, settings, features, label)
+    settings = [Setting(tasks[task], penalty(t), f, t if bases else -1) for task, t, f in keys]
+    weights = fit(df, settings, width, features, label, max_iter, bases=bases)
+    scored = held_out_scores(df, weights, settings, features, label, bases)
     aucs = ranking_metrics(scored, "score", "y", ["setting"], store=True)
     auc = {r["setting"]: r["auc"] for r in aucs.select("setting", "auc").collect()}      # one row per setting
     return [(task, t, f, penalty(t), None, sizes.get(f, 0), auc.get(i)) for i, (task, t, f) in enumerate(keys)]
@@ -278,7 +320,7 @@ def _fold_results(df: DataFrame, n_features: int, keys: list[tuple[str, int, int
 _TRIALS = "task string, trial int, fold int, c double, gamma double, n long, auc double"
 
 
-def random_search(df: DataFrame, n_features: int, trials: int = TRIALS, folds: int = FOLDS, max_iter: int = 100,
+def random_search(df: DataFrame, n_features: int, trials: int = TRIALS, folds: int = FOLDS, max_iter: int | None = None,
                   seed: int = 0, features: str = "features", label: str = "label",
                   tasks: dict[str, int] = TASKS) -> tuple[DataFrame, dict[str, list[float]], dict[str, float]]:
     """(trial table, weights per task, best C per task) for rows that carry ``fold``.
@@ -298,37 +340,29 @@ def random_search(df: DataFrame, n_features: int, trials: int = TRIALS, folds: i
         df.unpersist()
 
 
-def kernel_search(df: DataFrame, n_features: int, n_out: int, trials: int = TRIALS, folds: int = FOLDS, max_iter: int = 100,
+def kernel_search(df: DataFrame, n_features: int, n_out: int, trials: int = TRIALS, folds: int = FOLDS, max_iter: int | None = None,
                   seed: int = 0, features: str = "features", label: str = "label",
                   tasks: dict[str, int] = TASKS) -> tuple[DataFrame, dict[str, list[float]], dict[str, dict]]:
     """Random search over C and gamma on random features of the Gaussian kernel.
 
-    Each trial maps the rows once with its gamma and fits its tasks and folds
-    together.  Returns the trial table, weights per task, and per task the
-    chosen C, gamma and map.
+    All trials, tasks and folds are fitted in the same passes; a pass maps the
+    rows with each trial's gamma in the task, so they are kept only as they are.
+    Returns the trial table, weights per task, and per task the chosen C, gamma
+    and map.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}
         low, scale = gamma_range(sum(sizes.values()))
         gamma = [2.0 ** (low + scale * uniforms(seed, "gamma", t)[0]) for t in range(trials)]
-
-        def mapped(t: int) -> DataFrame:
-            return random_fourier(df, features, n_features, n_out, gamma[t], seed).persist(StorageLevel.MEMORY_AND_DISK)
-
-        results: list[tuple] = []
-        for t in range(trials):
-            rows = mapped(t)
-            keys = [(task, t, f) for task in tasks for f in range(folds)]
-            found = _fold_results(rows, n_out, keys, lambda i: draw_c(i, seed), sizes, tasks, max_iter, features, label)
-            results += [(*r[:4], gamma[t], *r[5:]) for r in found]
-            rows.unpersist()
-        weights, chosen = {}, {}
-        for task, t in _best_trials(results, tasks).items():
-            rows = mapped(t)
-            weights[task] = fit(rows, [Setting(tasks[task], draw_c(t, seed))], n_out, features, label, max_iter)[:, 0].tolist()
-            rows.unpersist()
-            chosen[task] = {"c": draw_c(t, seed), "gamma": gamma[t], "n_features": n_features, "n_out": n_out, "seed": seed}
+        bases = [fourier_basis(n_features, n_out, g, seed) for g in gamma]
+        keys = [(task, t, f) for task in tasks for t in range(trials) for f in range(folds)]
+        found = _fold_results(df, n_out, keys, lambda t: draw_c(t, seed), sizes, tasks, max_iter, features, label, bases)
+        results = [(*r[:4], gamma[r[1]], *r[5:]) for r in found]
+        best = _best_trials(results, tasks)
+        final = fit(df, [Setting(tasks[task], draw_c(best[task], seed), kernel=best[task]) for task in tasks], n_out, features, label, max_iter, bases=bases)
+        weights = {task: final[:, i].tolist() for i, task in enumerate(tasks)}
+        chosen = {task: {"c": draw_c(t, seed), "gamma": gamma[t], "n_features": n_features, "n_out": n_out, "seed": seed} for task, t in best.items()}
         return df.sparkSession.createDataFrame(results, _TRIALS), weights, chosen
     finally:
         df.unpersist()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,12 +26,16 @@ def training_rows(meta: DataFrame, blacklist: DataFrame | None = None, seed: int
     """Split, shard and check training metadata.
 
     The check reads two columns of the already placed rows, and fails before
-    the caller can write a dataset.
+    the caller can write a dataset.  A case in two splits only gives a warning:
+    pictures of a case that have different classes may be placed apart.
     """
     if blacklist is not None:
         meta = J.missing(meta, blacklist)
     rows = P.assign_shards(P.split_dataset(meta, seed), [shuffle_key(seed + 1, "image"), "line_no"], per_shard=per_shard)
     P.require_disjoint(rows)
+    cases = P.contaminated(rows.filter("case_id is not null"), "case_id").take(5)
+    if cases:
+        warnings.warn(f"cases in more than one split, e.g. {[r['case_id'] for r in cases]}", stacklevel=2)
     return rows
 
 
@@ -104,7 +110,8 @@ def records_from_files(rows: DataFrame, listing: DataFrame) -> DataFrame:
                 part = pdf.iloc[start:start + FILES_PER_BATCH]
                 data = []
                 for path in part["path"]:
-                    system, name = fs.FileSystem.from_uri(path)
+                    # one store, two names: Hadoop says s3a, Arrow s3
+                    system, name = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
                     with system.open_input_stream(name) as f:
                         data.append(f.read())
                 sizes = [picture_size(d) for d in data]

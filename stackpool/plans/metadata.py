@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stackpool.operators import joins as J
 from stackpool.operators import normalise as N
-from stackpool.operators.order import global_index, with_previous
+from stackpool.operators.order import global_index, numbered_with_previous, with_previous
 
 # Order in which the sources are read; adjacent repeats are judged across it.
 SOURCES = ("atlas", "archive", "challenge", "irma", "ph2", "dermofit")
@@ -59,14 +59,19 @@ def integrate(raw: Mapping[str, DataFrame], images: DataFrame, mode: str,
     """(training table, rejects with reason 'missing', 'duplicate' or 'mismatched').
 
     Missing pictures are dropped first: a row without a picture does not
-    separate two equal neighbours.
+    separate two equal neighbours.  ``line_no`` of the table is the row's place in
+    reading order over all sources, so it is distinct; ``source_line`` is its
+    number in its source, as in the rejects.
     """
     marked = J.mark_existing(union_sources(raw, mode, near_duplicates), images)
-    kept, repeats = dedup_adjacent(marked.filter("exists").drop("exists"), ["source_no", "line_no"])
+    # the rows are numbered already, so nothing is sorted as a whole
+    seen = numbered_with_previous(marked.filter("exists").drop("exists"), "source_no", "line_no", "image", "_pos")
+    repeat = F.col("image").eqNullSafe(F.col("prev_image"))
+    kept, repeats = seen.filter(~repeat).drop("prev_image"), seen.filter(repeat).drop("prev_image")
     slim = ["image", "dataset", "line_no"]
     rejects = (marked.filter(~F.col("exists")).select(*slim, F.lit("missing").alias("reason"))
                .unionByName(repeats.select(*slim, F.lit("duplicate").alias("reason"))))
     if mismatched is not None:
         rejects = rejects.unionByName(mismatched.select("image", F.lit("challenge").alias("dataset"), "line_no",
                                                         F.lit("mismatched").alias("reason")))
-    return kept.drop("_pos"), rejects
+    return kept.withColumn("source_line", F.col("line_no")).withColumn("line_no", F.col("_pos")).drop("_pos"), rejects

@@ -75,7 +75,7 @@ def feature_component(pictures: DataFrame, model: Callable, n_features: int, nam
 
 def train_stack(rows: DataFrame, n_features: int, method: str = "RBF", preprocess: str = "PCA", trials: int = V.TRIALS,
                 grouped: bool = True, key: str = "image", row_id: str | None = None, n_out: int = 512,
-                max_iter: int = 100, seed: int = 0) -> tuple[StackModel, DataFrame]:
+                max_iter: int | None = None, seed: int = 0) -> tuple[StackModel, DataFrame]:
     """(model, trial table) from rows of key, label and features.
 
     Folds keep the rows of one id together unless ``grouped`` is off, in which
@@ -120,11 +120,15 @@ def final_submission(features: DataFrame, model: StackModel, pool: str, key: str
 def evaluate_auc(submission: DataFrame, truth: DataFrame, key: str = "image", by_position: bool = False) -> DataFrame:
     """One row: AUC of each task and their mean; both tasks share one pass.
 
-    ``by_position`` pairs rows by line number instead of by id.
+    ``by_position`` pairs rows by line number instead of by id; unequal lengths
+    fail the query.
     """
     if by_position:
-        joined = submission.select("line_no", "p_m", "p_k").join(
-            truth.select("line_no", "melanoma", "keratosis"), "line_no")
+        here, there = (d.withColumn(n, F.lit(True)) for d, n in ((submission.select("line_no", "p_m", "p_k"), "_here"),
+                                                                 (truth.select("line_no", "melanoma", "keratosis"), "_there")))
+        alone = F.raise_error(F.concat(F.lit("no partner for line "), F.col("line_no").cast("string")))
+        joined = here.join(there, "line_no", "full_outer")
+        joined = joined.withColumn("p_m", F.when(F.col("_here").isNull() | F.col("_there").isNull(), alone).otherwise(F.col("p_m")))
     else:
         joined = J.join_truth(submission, truth, key)
     tasks = joined.select(F.explode(F.array(
@@ -138,13 +142,20 @@ def evaluate_auc(submission: DataFrame, truth: DataFrame, key: str = "image", by
 
 def compare_runs(first: DataFrame, second: DataFrame, truth: DataFrame, key: str = "image",
                  line_no: str = "line_no", block_rows: int | None = None) -> DataFrame:
-    """Per task: rank inversions between two submissions, in all and between different truths."""
+    """Per task: rank inversions between two submissions, in all and between different truths.
+
+    Of an id that repeats in the first submission the last line counts; an id
+    that only the second one has fails the query.
+    """
     out = None
     for task, score in (("melanoma", "p_m"), ("keratosis", "p_k")):
-        one = M.rank_scores(first.select(key, line_no, score), score, line_no, "rank1").select(key, "rank1")
+        last = first.groupBy(key).agg(F.max_by(score, line_no).alias(score), F.max(line_no).alias(line_no))
+        one = M.rank_scores(last, score, line_no, "rank1").select(key, "rank1")
         two = M.rank_scores(J.join_truth(second.select(key, line_no, score), truth.select(key, task), key, (task,)),
                             score, line_no, "rank2").select(key, "rank2", task)
-        part = M.count_inversions(one.join(two, key), "rank1", "rank2", task, block_rows)
+        unknown = F.raise_error(F.concat(F.lit("not in the first submission: "), F.col(key).cast("string")))
+        both = two.join(one, key, "left").withColumn("rank1", F.coalesce("rank1", unknown))
+        part = M.count_inversions(both, "rank1", "rank2", task, block_rows)
         part = part.select(F.lit(task).alias("task"), "inversions", "significant")
         out = part if out is None else out.unionByName(part)
     return out

@@ -103,13 +103,15 @@ def trial_grid(spark, sf):
     return V.trial_table(spark, 30, n).select("trial", r6("c"), r6("gamma"))
 
 
-@query("svm_fit")
+@query("svm_fit", """select positive, c, count(*) as n_weights, 0.0::double as gradient_ratio from (values (1, 0.25::double), (1, 16.0::double), (2, 0.25::double), (2, 16.0::double)) s(positive, c),
+    (select unnest(generate_series(0, 64)) as pos) group by 1, 2""")
 def svm_fit(spark, sf):
-    """Weights of both tasks at two penalties, fitted in the same passes."""
+    # the loss is convex: weights are right where the gradient vanishes against its first length
     settings = [V.Setting(positive, c) for positive in V.TASKS.values() for c in (0.25, 16.0)]
-    w = V.fit(rows(spark, sf), settings, N_FEATURES, max_iter=60)
-    return spark.createDataFrame([(s.positive, s.c, pos, float(w[pos, i])) for i, s in enumerate(settings) for pos in range(N_FEATURES + 1)],
-                                 "positive int, c double, pos int, weight double")
+    w = V.fit(rows(spark, sf), settings, N_FEATURES)
+    ratio = V.gradient_ratio(rows(spark, sf), w, settings)
+    return spark.createDataFrame([(s.positive, s.c, w.shape[0], round(float(ratio[i]), 3)) for i, s in enumerate(settings)],
+                                 "positive int, c double, n_weights long, gradient_ratio double")
 
 
 def _folded(spark, sf):
@@ -119,14 +121,22 @@ def _folded(spark, sf):
 @query("svm_search")
 def svm_search(spark, sf):
     """Trials, folds and held-out AUC of the random search for both tasks."""
-    return V.random_search(_folded(spark, sf), N_FEATURES, trials=10, max_iter=30)[0]
+    return V.random_search(_folded(spark, sf), N_FEATURES, trials=V.TRIALS)[0]
 
 
-@query("rff_features")
+def _draw(text: str, word: int) -> str:
+    return f"('0x' || substr(md5({text}), {8 * word + 1}, 8))::ubigint::double / 4294967296"
+
+
+@query("rff_features", f"""with w as (select cast(i as int) as i, cast(j as int) as j, sqrt(-2 * ln({_draw("concat('0:rff:', i, ':', j)", 0)} + pow(2.0::double, -33)))
+        * cos(2 * pi() * {_draw("concat('0:rff:', i, ':', j)", 1)}) as v from (select unnest(generate_series(0, 63)) as i), (select unnest(generate_series(0, 127)) as j)),
+    b as (select cast(j as int) as j, 2 * pi() * {_draw("concat('0:phase:', j)", 0)} as v from (select unnest(generate_series(0, 127)) as j)),
+    s as (select vec_id, w.j, sum(x * w.v) as s from ({LONG}) l join w on l.pos = w.i group by vec_id, w.j)
+    select vec_id, j as pos, {d6('sqrt(2.0::double / 128) * cos(s + b.v)', 'x')} from s join b using (j)""")
 def rff_features(spark, sf):
     """Gaussian-kernel random features of every row."""
     out = X.random_fourier(rows(spark, sf), "features", N_FEATURES, 128, 0.5)
-    return out.select("vec_id", F.posexplode("features").alias("pos", "x"))
+    return out.select("vec_id", F.posexplode("features").alias("pos", "x")).withColumn("x", r6("x"))
 
 
 # a fixed stack over the fourteen meta-features
@@ -168,7 +178,7 @@ def _meta_rows(spark, sf):
 def train_stack_linear(spark, sf):
     """Meta-model over the fourteen meta-features, then its pooled submission."""
     meta = _meta_rows(spark, sf)
-    model, _ = K.train_stack(meta, 14, "LINEAR_PRIMAL", "NONE", trials=5, max_iter=20)
+    model, _ = K.train_stack(meta, 14, "LINEAR_PRIMAL", "NONE")
     return K.final_submission(meta, model, "xtrm").select("image", "p_m", "p_k")
 
 
@@ -176,5 +186,5 @@ def train_stack_linear(spark, sf):
 def train_stack_rbf(spark, sf):
     """The same with whitening and random features of the Gaussian kernel."""
     meta = _meta_rows(spark, sf)
-    model, _ = K.train_stack(meta, 14, "RBF", "PCA_WHITEN", trials=2, n_out=64, max_iter=15)
+    model, _ = K.train_stack(meta, 14, "RBF", "PCA_WHITEN", trials=4, n_out=16)
     return K.final_submission(meta, model, "avg").select("image", "p_m", "p_k")

@@ -227,13 +227,13 @@ def anti_blacklist(spark, sf):
 
 @query("semi_set", duck("select image, case_id from v_meta where image not in (select image from v_listing)", "v_meta", "v_listing"))
 def semi_set(spark, sf):
-    return J.difference(view(spark, sf, "v_meta").select("image", "case_id"), view(spark, sf, "v_listing"), "image")
+    return J.missing(view(spark, sf, "v_meta").select("image", "case_id"), view(spark, sf, "v_listing"), "image")
 
 
 @query("new_files", "select o_orderkey, o_orderdate::varchar as day from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def new_files(spark, sf):
     now = view(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("day"))
-    return J.difference(now, view(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+    return J.missing(now, view(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
 @query("zip_join", duck("""select m.line_no, m.image, m.age, t.melanoma from raw_challenge_meta m join
@@ -289,7 +289,9 @@ def _integration(key: str, mode: str):
         select * exclude (prev) from e where prev is null or prev <> image""", *RAWS, "v_listing", "v_neardup"))
     def run(spark, sf):
         near = view(spark, sf, "v_neardup") if mode == "DEPLOY" else None
-        return G.integrate(_raw(spark, sf), view(spark, sf, "v_listing"), mode, near)[0]
+        out = G.integrate(_raw(spark, sf), view(spark, sf, "v_listing"), mode, near)[0]
+        # line numbers of the sources
+        return out.drop("line_no").withColumnRenamed("source_line", "line_no")
 
 
 _integration("integrate_sources", "DEPLOY")

@@ -34,8 +34,7 @@ def class_counts(spark, sf):
 
 @query("split", duck(f"with {SPLIT} select image, case_id, stratum, line_no, split from final", "v_meta"))
 def split(spark, sf):
-    # a low limit makes the frequent cases be spread over tasks
-    return P.split_dataset(view(spark, sf, "v_meta"), rows_per_task=4).select("image", "case_id", "stratum", "line_no", "split")
+    return P.split_dataset(view(spark, sf, "v_meta")).select("image", "case_id", "stratum", "line_no", "split")
 
 
 @query("split_orders", """with z as (select o_orderkey, case when o_orderpriority='1-URGENT' then 'melanoma' when o_orderpriority='2-HIGH' then 'keratosis' else 'other' end as stratum from orders),

@@ -129,10 +129,8 @@ def duck(body: str, *names: str) -> str:
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picture table: image, height, width, channels, data (RGB bytes), truth."""
     source = view(spark, sf_dir, "v_picture_size")
-    cores = spark.sparkContext.defaultParallelism
-    if source.rdd.getNumPartitions() < cores:
-        # a table of a few small files: spread it, so that the kernels use every core
-        source = source.repartition(cores, "image")
+    # sizes are a few bytes and pictures many: spread the rows before they are made
+    source = source.repartition("image")
     return source.selectExpr(
         "image", "height", "width", "channels", "truth",
         """unhex(array_join(transform(sequence(0, height * width * 3 - 1),

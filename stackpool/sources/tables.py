@@ -58,20 +58,18 @@ register_dataset("skin_lesions", lambda spark, folder, split: read_split(spark,
 # --- writers --------------------------------------------------------------------
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a written table is complete at ``path`` (any Hadoop file system)."""
-    try:
-        spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path).limit(1).count()
-        return True
-    except Exception as e:      # AnalysisException: path does not exist
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
+    """Whether a written table is complete at ``path``: its writer left ``_SUCCESS`` (any Hadoop file system)."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Build and write a table only if it is not there yet; the work is skipped, not just the write."""
+    """Build and write a table only if it is not there whole; the work is skipped, not just the write.
+
+    What an unfinished run left is written over.
+    """
     if not exists(spark, path):
-        build().write.mode("ignore").parquet(path)
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
