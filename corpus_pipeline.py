@@ -10,32 +10,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stackpool.llm import minmax, packing, quality, secrets
+from stackpool.llm.common import small_batches
 from stackpool.session import materialise, ship_package
 
 CAPACITY = 2048
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    small_batches(spark)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    ship_package(spark)
+    _prepare(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    ship_package(spark)
+    _prepare(spark)
     return minmax.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced."""
-    ship_package(spark)
+    _prepare(spark)
     return secrets.redact_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of CAPACITY tokens."""
-    ship_package(spark)
+    _prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
 
 

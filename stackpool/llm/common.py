@@ -68,3 +68,17 @@ def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array,
         flat = flat.filter(pc.not_equal(flat, ""))
     coded = flat.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, many
+
+
+#: Bytes of one Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of the session at BATCH_BYTES, unless it keeps them smaller: rows of texts and sets are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    units = {"k": 10, "m": 20, "g": 30}
+    now = spark.conf.get(key).lower().removesuffix("b")
+    size = int(now[:-1]) << units[now[-1]] if now[-1:] in units else int(now)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")

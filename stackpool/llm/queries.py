@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackpool.llm import bpe, brown, dualtree, minmax, packing, quality, rpforest, secrets, shards, unigram
-from stackpool.llm.common import table
+from stackpool.llm.common import small_batches, table
 from stackpool.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,7 @@ def query(key: str, oracle: str | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            small_batches(spark)
             return fn(spark, sf_dir)
         QUERIES[key] = run
         if oracle:
