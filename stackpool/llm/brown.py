@@ -98,7 +98,8 @@ def best_class(counts: np.ndarray, right: np.ndarray, left: np.ndarray, own: flo
     rows = _xlogx(n + right) - _xlogx(n)
     cols = _xlogx(n + left[:, None]) - _xlogx(n)
     gain = rows.sum(axis=1) - np.diag(rows) + cols.sum(axis=0) - np.diag(cols) + _xlogx(inside + right + left + own) - _xlogx(inside)
-    out, into = n.sum(axis=1), n.sum(axis=0)
+    # all that the members of a class are followed by and follow, the unit included
+    out, into = n.sum(axis=1) + left, n.sum(axis=0) + right
     gain -= _xlogx(out + right.sum() + own) - _xlogx(out) + _xlogx(into + left.sum() + own) - _xlogx(into)
     gain[0] = -np.inf  # the end stays alone
     best = int(np.argmax(gain))

@@ -11,8 +11,8 @@ Pieces find their own place by their number among the pieces of their length.
 
 from __future__ import annotations
 
-import itertools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -98,6 +98,10 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Ids of many texts by a tokenizer that drops white space, a distinct word at a time.
 
@@ -113,21 +117,22 @@ class WordIds:
     def __init__(self, model_text: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model_text)
-        self.kept: dict[str, list[int]] = {"": []}
+        self.kept: dict[str, bytes] = {"": b""}
 
-    def pretoken(self, letters: str) -> list[int]:
+    def pretoken(self, letters: str) -> bytes:
         found = self.kept.get(letters)
         if found is None:
             # byte-level alphabet: bytes of printable Latin-1 characters stand for themselves, the others come after 255
             seen = letters if letters.isascii() else "".join(BYTE_LETTERS[b] for b in letters.encode())
-            found = [t.id for t in self.tokenizer.model.tokenize(seen)]
+            found = _packed([t.id for t in self.tokenizer.model.tokenize(seen)])
             if len(letters) <= CACHED_WORD:
                 self.kept[letters] = found
         return found
 
-    def words(self, words: list[str]) -> list[list[int]]:
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as bytes of unsigned 32-bit numbers."""
         if len(self.kept) > CACHE_WORDS:
-            self.kept = {"": []}
+            self.kept = {"": b""}
         out: list = [None] * len(words)
         odd = []
         for i, word in enumerate(words):
@@ -138,7 +143,7 @@ class WordIds:
             else:
                 odd.append(i)
         for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
-            out[i] = e.ids
+            out[i] = _packed(e.ids)
         return out
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +151,8 @@ class WordIds:
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.flatten().dictionary_encode()
         own = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        flat = np.fromiter(itertools.chain.from_iterable(own), dtype="<u4", count=int(sizes.sum()))
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        flat = np.frombuffer(b"".join(own), dtype="<u4")
         starts = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         many = sizes[which]
@@ -182,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
         coder, part = word_coder(model.value), task_number()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for a, b in slices(batch.column(1), 8 << 20):
+            for a, b in slices(batch.column(1)):
                 ids, ends = coder.texts(batch.column(1)[a:b])
                 raw = memoryview(ids).cast("B")
                 cols: tuple[list, ...] = ([], [], [], [], [], [], [])

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from stackpool.llm.common import id_crc, id_text, slices, words_of
 
 #: Rows that the model is fitted on, at most.
-POSITIVES, UNLABELLED = 8192, 16384
+POSITIVES, UNLABELLED = 4096, 8192
 STEPS, RATE, WEIGHT_DECAY = 300, 0.05, 1e-2
 PAIR_BINS = 512
+#: Bytes of text that are counted at a time.
+SLICE = 1 << 20
 N_FEATURES = 256 + PAIR_BINS + 8
 
 
@@ -65,11 +67,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     """Minimise the non-negative risk with the logistic loss, all rows in each step."""
     if not len(positive) or not len(unlabelled):
         # nothing to learn from: every text gets the prior
-        d = positive.shape[1]
+        d = N_FEATURES
         return Model(np.zeros(d), np.ones(d), np.zeros(d), float(np.log(prior / (1 - prior))))
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8).astype(np.float32) for x in (positive, unlabelled))
+    both = np.concatenate([positive, unlabelled]).astype(np.float32)
+    mean, scale = both.mean(axis=0, dtype=np.float64), both.std(axis=0, dtype=np.float64) + 1e-3
+    p, u = np.split(np.clip((both - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8), [len(positive)])
     w, b = np.zeros(p.shape[1], dtype=np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -94,7 +96,7 @@ def _featured(rows: DataFrame) -> DataFrame:
     """(positive, features as bytes of 16-bit numbers) of (doc_id, text, positive) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 4 << 20):
+            for a, b in slices(batch.column(1), SLICE):
                 found = features(batch.column(1)[a:b]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], pa.array([r.tobytes() for r in found], pa.binary())], ["positive", "features"])
     return rows.mapInArrow(run, "positive boolean, features binary")
@@ -120,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     sides = []
     for wanted in (True, False):
         rows = taken.filter(pa.compute.equal(taken["positive"], wanted))["features"].to_pylist()
-        sides.append(np.frombuffer(b"".join(rows), dtype=np.float16).reshape(len(rows), N_FEATURES).astype(np.float64))
+        sides.append(np.frombuffer(b"".join(rows), dtype=np.float16).reshape(len(rows), N_FEATURES))
     return fit(*sides, prior)
 
 
@@ -130,7 +132,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 4 << 20):
+            for a, b in slices(batch.column(1), SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(held.value.scores(features(batch.column(1)[a:b])))], ["doc_id", "score"])
     return docs.mapInArrow(run, "doc_id long, score double")
 
@@ -161,6 +163,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         found = pa.array(texts.fillna(""), pa.string())
-        parts = [held.value.scores(features(found[a:b])) >= 0.5 for a, b in slices(found, 4 << 20)]
+        parts = [held.value.scores(features(found[a:b])) >= 0.5 for a, b in slices(found, SLICE)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0, dtype=bool))
     return docs.filter(good(F.col(text_col).cast("string")))
