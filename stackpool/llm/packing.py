@@ -28,7 +28,7 @@ from stackpool.session import materialise
 
 END_ID = 0
 #: Words kept between documents; a forgotten or longer word is only encoded again.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 3 << 17
 CACHED_WORD = 64
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
         coder, part = word_coder(model.value), task_number()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 6 << 20):
                 ids, ends = coder.texts(batch.column(1)[a:b])
                 raw = memoryview(ids).cast("B")
                 cols: tuple[list, ...] = ([], [], [], [], [], [], [])
