@@ -52,7 +52,11 @@ def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     block = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
-    return ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield a, b
+    # what the slices took goes back to the system
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:

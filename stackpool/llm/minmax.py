@@ -32,8 +32,8 @@ PERMUTATIONS, ROWS = 95, 5
 #: How far below the threshold signatures may estimate a pair (five standard errors at 0.8), and the estimate below which
 #: a node is not kept with a centre: a node linked to it meets it in other buckets, which such a centre is not in.
 SLACK, FAR = 0.16, 0.5
-#: Nodes of a block.
-BLOCK = 1024
+#: Nodes of a block, and bytes of text taken at a time.
+BLOCK, SLICE = 1024, 1 << 20
 WORDS = 4
 _U = np.uint64
 
@@ -91,7 +91,7 @@ def sign(docs: DataFrame, width: int = WORDS, permutations_: int = PERMUTATIONS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE):
                 n, keys, sigs, found = [], [], [], []
                 for s in shingle_sets(batch.column(1)[a:b], width):
                     n.append(len(s))
@@ -117,7 +117,7 @@ def sets_of(docs: DataFrame, width: int = WORDS, id_col: str = "doc_id", text_co
     """(node, shingles) with the sorted set as bytes of unsigned 64-bit numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE):
                 sets = [s.tobytes() for s in shingle_sets(batch.column(1)[a:b], width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())], ["node", "shingles"])
     return id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, "node long, shingles binary")
