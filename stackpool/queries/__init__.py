@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("scalars", "metadata", "splits", "pools", "evaluation", "learning", "pictures", "tables")
+_MODULES = ("scalars", "metadata", "splits", "pools", "evaluation", "learning", "pictures", "tables", "deploy")
 
 
 def load():

@@ -70,3 +70,41 @@ def test_metrics_row_has_seven_columns(spark):
     rows = [(i % 3, [0.2 + 0.1 * ((i + k) % 3) for k in range(3)], i % 2) for i in range(30)]
     df = spark.createDataFrame(rows, "truth int, probabilities array<double>, prediction int")
     assert M.metrics_row(df, "truth", "c").columns == ["checkpoint", "acc", "auc1", "auc2", "map1", "map2", "isbi"]
+
+
+def test_repeated_truth_gives_its_last_line_and_no_row(spark):
+    from stackpool.operators import joins as J
+    sub = spark.createDataFrame([("a", 0.1, 0.2), ("b", 0.3, 0.4)], "image string, p_m double, p_k double")
+    truth = [("a", 0, 0, 0), ("b", 1, 0, 1), ("a", 1, 1, 2)]
+    numbered = spark.createDataFrame(truth, "image string, melanoma int, keratosis int, line_no long")
+    rows = {r["image"]: (r["melanoma"], r["keratosis"]) for r in J.join_truth(sub, numbered).collect()}
+    assert rows == {"a": (1, 1), "b": (1, 0)} and J.join_truth(sub, numbered).count() == 2
+    with pytest.raises(Exception, match="differing rows"):
+        J.join_truth(sub, numbered.drop("line_no")).collect()
+
+
+def test_unequal_lengths_and_unknown_ids_fail(spark):
+    sub = spark.createDataFrame([("a", 0, 0.1, 0.2), ("b", 1, 0.3, 0.4)], "image string, line_no long, p_m double, p_k double")
+    truth = spark.createDataFrame([("a", 0, 0, 1), ("b", 1, 1, 0), ("c", 2, 1, 0)], "image string, line_no long, melanoma int, keratosis int")
+    with pytest.raises(Exception, match="no partner"):
+        K.evaluate_auc(sub, truth, by_position=True).collect()
+    with pytest.raises(Exception, match="not in the first"):
+        K.compare_runs(sub.filter("image = 'a'"), sub, truth).collect()
+    assert [r["inversions"] for r in K.compare_runs(sub, sub.filter("image = 'a'"), truth).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("score", [None, float("nan")])
+def test_undefined_scores_are_not_ranked(spark, score):
+    rows = spark.createDataFrame([(0.5, 1), (score, 0)], "s double, y int")
+    with pytest.raises(Exception, match="not a number"):
+        M.ranking_metrics(rows, "s", "y").collect()
+
+
+def test_inversions_on_several_levels(spark):
+    import random
+    rng, n = random.Random(2), 900
+    second = rng.sample(range(n), n)
+    rows = [(i, second[i], rng.randint(0, 2)) for i in range(n)]
+    got = M.count_inversions(spark.createDataFrame(rows, "a long, b long, t int"), "a", "b", "t", block_rows=3).first()
+    pairs = [(x, y) for k, x in enumerate(rows) for y in rows[:k] if y[1] > x[1]]
+    assert (int(got["inversions"]), int(got["significant"])) == (len(pairs), sum(x[2] != y[2] for x, y in pairs))

@@ -160,3 +160,34 @@ def test_shared_folder_comes_from_the_session(spark):
     from stackpool.session import scratch_path, shared_root
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_sources_that_share_line_numbers_lose_and_gain_no_row(spark):
+    from stackpool.plans import metadata as G
+    rows = case_table(120, seed=8)
+    meta = "line_no long, image string, case_id string, melanoma int, keratosis int"
+    one = spark.createDataFrame([r for r in rows if r[0] < 60], meta).withColumn("source_no", F.lit(0))
+    two = spark.createDataFrame([(r[0] - 60, *r[1:]) for r in rows if r[0] >= 60], meta).withColumn("source_no", F.lit(1))
+    seen = G.numbered_with_previous(one.unionByName(two), "source_no", "line_no", "image", "pos", chunk_rows=7)
+    numbered = seen.drop("line_no").withColumnRenamed("pos", "line_no")
+    assert {(r["line_no"], r["image"]) for r in numbered.collect()} == {(r[0], r[1]) for r in rows}
+    assert [r["prev_image"] for r in seen.orderBy("pos").collect()] == [None, *[r[1] for r in rows[:-1]]]
+    out = P.split_dataset(numbered).collect()
+    assert len(out) == len(rows) and {r["line_no"]: r["split"] for r in out} == oracle(rows)
+    # the numbers of the sources repeat, and that is refused
+    with pytest.raises(ValueError, match="repeat"):
+        P.split_dataset(one.unionByName(two))
+
+
+def test_a_case_in_two_splits_gives_a_warning(spark):
+    with pytest.warns(UserWarning, match="cases in more than one split"):
+        D.training_rows(frame(spark, case_table(200)))
+
+
+def test_an_unfinished_folder_is_not_a_table(spark, tmp_path):
+    folder = tmp_path / "half"
+    (folder / "_temporary").mkdir(parents=True)
+    assert not T.exists(spark, str(folder)) and not T.exists(spark, str(tmp_path / "none"))
+    assert T.write_once(spark, str(folder), lambda: spark.range(3)).count() == 3
+    assert T.exists(spark, str(folder))
+    assert T.write_once(spark, str(folder), lambda: spark.range(9)).count() == 3
