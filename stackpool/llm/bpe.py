@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from stackpool.llm.common import id_text, slices
 
-#: Words kept between slices, and the length up to which they are; others are encoded again.
-CACHE_WORDS, CACHED_WORD = 1 << 19, 64
+#: Words kept between slices (twice over), and the length up to which they are; others are encoded again.
+CACHE_WORDS, CACHED_WORD = 3 << 17, 64
 #: Words of one query, and bytes of text taken at a time.
-QUERY_WORDS, SLICE = 25_000, 4 << 20
+QUERY_WORDS, SLICE = 50_000, 6 << 20
 #: Characters beyond which a word is contracted at all pairs of least rank at once, so that its steps are at most the ranks it meets.
 LONG_WORD = 256
 #: Ids decoded by one query.
@@ -91,14 +91,21 @@ class Coder:
             join vocabulary l on l.piece = left(w.piece, w.cut) join vocabulary r on r.piece = substr(w.piece, w.cut + 1)""")
         self.db.unregister("given")
         self.letter = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        # words of late, and those before them
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, ids of each word); each word is encoded by itself."""
         if len(self.kept) > CACHE_WORDS:
-            self.kept = {}
-        own = {}
-        new = [w for w in words if w not in self.kept]
+            self.kept, self.older = {}, self.kept
+        own, new = {}, []
+        for w in words:
+            if w not in self.kept:
+                if w in self.older:
+                    self.kept[w] = self.older[w]
+                else:
+                    new.append(w)
         for query, some in ((_ENCODE, [w for w in new if len(w) <= LONG_WORD]), (_ENCODE_LONG, [w for w in new if len(w) > LONG_WORD])):
             for at in range(0, len(some), QUERY_WORDS):
                 own.update(self._contracted(query, some[at:at + QUERY_WORDS]))
