@@ -72,7 +72,19 @@ def op7(spark, sf):
     return bpe.digest(bpe.round_trip(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN))
 
 
-@query("op8_minmax")
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+# all pairs that share a shingle, then everything that links reach
+@query("op8_minmax", f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    t as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w where len(w) >= 4),
+    g as (select doc_id, x, lead(x, 1) over o as x1, lead(x, 2) over o as x2, lead(x, 3) over o as x3 from t window o as (partition by doc_id order by i)),
+    e as (select distinct doc_id, hash(x, x1, x2, x3) as x from g where x3 is not null union all select doc_id, hash(w) from w where len(w) between 1 and 3),
+    n as (select doc_id, count(e.x) as n from w left join e using (doc_id) group by doc_id),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+    l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+    r(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, l.b from r join l on r.other = l.a)
+    select doc_id, any_value(n.n)::bigint as n_shingles, min(r.other) as component_id, min(r.other) = doc_id as kept from n join r using (doc_id) group by doc_id""")
 def op8(spark, sf):
     return minmax.near_duplicates(table(spark, sf, "documents"))
 
@@ -80,8 +92,8 @@ def op8(spark, sf):
 _INTEGER = "floor(256 * x::double)::bigint"
 
 
-@query("op9_dualtree", f"""with v as (select vec_id, list_transform(embedding, x -> {_INTEGER}) as e from embeddings
-        where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+@query("op9_dualtree", f"""with v as (select vec_id, list_transform(embedding, lambda x: {_INTEGER}) as e from embeddings
+        where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e::double[], c.e::double[])::bigint as score
         from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
