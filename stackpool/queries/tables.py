@@ -101,11 +101,10 @@ def write_features(spark, sf):
     return spark.read.parquet(f"{folder}/header")
 
 
-@query("feature_text", "select cast(vec_id as varchar) as id, cast(label as varchar) as truth, printf('%.16f', embedding[1]::double) as \"feature[0]\", "
-       "printf('%.16f', embedding[64]::double) as \"feature[1]\" from embeddings")
+@query("feature_text", "select cast(vec_id as varchar) as id, cast(label as varchar) as truth, "
+       + ", ".join(f"printf('%.16f', embedding[{i + 1}]::double) as \"feature[{i}]\"" for i in range(64)) + " from embeddings")
 def feature_text(spark, sf):
-    ends = _features(spark, sf).withColumn("features", F.array(F.col("features")[0], F.col("features")[63]))
-    return T.feature_text(ends, 2)
+    return T.feature_text(_features(spark, sf), 64)
 
 
 _SETS = "case feature_set " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(E.FEATURE_ORDER)) + " end"
@@ -135,6 +134,25 @@ def write_scores(spark, sf):
     return spark.read.option("header", True).schema("image string, truth string, `other[0]` string, `melanoma[1]` string, `keratosis[2]` string, prediction string").csv(folder)
 
 
+@query("write_row_count", "select count(*) as num_samples from lineitem")
+def write_row_count(spark, sf):
+    pooled = view(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("image"), F.col("l_linenumber").alias("truth"),
+                                                F.array("l_discount", "l_tax", F.col("l_quantity") / 64).alias("probabilities"),
+                                                (F.col("l_suppkey") % 3).alias("prediction"))
+    folder = scratch_path(spark, "scores")
+    T.write_scores(pooled, f"{folder}/rows")
+    T.write_row_count(spark, f"{folder}/rows", f"{folder}/header")
+    return spark.read.schema("num_samples long").json(f"{folder}/header")
+
+
+@query("write_metadata_summary", """select 'event_type' as "column", count(event_type) as "values", count(distinct event_type) as distinct_values from events union all
+    select 'user_id', count(user_id), count(distinct user_id) from events""")
+def write_metadata_summary(spark, sf):
+    folder = scratch_path(spark, "summary")
+    T.write_metadata_summary(view(spark, sf, "events"), ["event_type", "user_id"], folder)
+    return spark.read.schema("column string, values long, distinct_values long").json(folder)
+
+
 @query("write_submission", duck(f"select cast(vec_id as varchar) as image, {d6('p_m', 'p_m')}, {d6('p_k', 'p_k')} from v_pred2", "v_pred2"))
 def write_submission(spark, sf):
     folder = scratch_path(spark, "submission")

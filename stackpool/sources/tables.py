@@ -74,13 +74,15 @@ def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -
 
 
 def write_shards(rows: DataFrame, folder: str, mode: str = "errorifexists", placed: bool = False) -> None:
-    """Parquet by split and shard; each shard is written by one task, rows in shard order.
+    """Parquet with a folder for each split and the shard number as a column.
 
+    Each shard is written by one task, rows in shard order, and a file holds
+    whole shards, so folders and files do not grow with the number of shards.
     ``placed`` says that the rows already lie that way and need no shuffle.
     """
     if not placed:
         rows = rows.repartition("split", "shard").sortWithinPartitions("split", "shard", "pos")
-    rows.write.mode(mode).partitionBy("split", "shard").parquet(folder)
+    rows.write.mode(mode).partitionBy("split").parquet(folder)
 
 
 def write_split_logs(rows: DataFrame, folder: str, key: str = "image", mode: str = "errorifexists") -> None:
@@ -104,6 +106,19 @@ def write_scores(pooled: DataFrame, folder: str, mode: str = "errorifexists") ->
     score_text(pooled).write.mode(mode).option("header", True).option("quote", "").csv(folder)
 
 
+def write_row_count(spark: SparkSession, folder: str, target: str, mode: str = "errorifexists") -> None:
+    """Number of rows of a written text with header, as a one-row table beside it."""
+    rows = spark.read.option("header", True).csv(folder)
+    rows.agg(F.count(F.lit(1)).alias("num_samples")).write.mode(mode).json(target)
+
+
+def write_metadata_summary(rows: DataFrame, columns: list[str], folder: str, mode: str = "errorifexists") -> None:
+    """Per column of a metadata table: its name, how many values there are and how many differ, as JSON lines."""
+    counts = rows.agg(*[F.count(c).alias(f"n_{c}") for c in columns], *[F.count_distinct(c).alias(f"d_{c}") for c in columns])
+    each = [F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("values"), F.col(f"d_{c}").alias("distinct_values")) for c in columns]
+    counts.select(F.explode(F.array(*each)).alias("s")).select("s.*").write.mode(mode).json(folder)
+
+
 def feature_text(rows: DataFrame, width: int) -> DataFrame:
     """Feature rows as text columns: id, truth, one column per feature."""
     return rows.select("id", F.col("label").cast("string").alias("truth"),

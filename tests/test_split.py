@@ -191,3 +191,18 @@ def test_an_unfinished_folder_is_not_a_table(spark, tmp_path):
     assert T.write_once(spark, str(folder), lambda: spark.range(3)).count() == 3
     assert T.exists(spark, str(folder))
     assert T.write_once(spark, str(folder), lambda: spark.range(9)).count() == 3
+
+
+def test_folders_do_not_grow_with_the_shards(spark, tmp_path):
+    import glob
+    folder = str(tmp_path / "many")
+    placed = D.training_rows(frame(spark, case_table(400)), per_shard=8)
+    T.write_shards(placed, folder)
+    assert len(glob.glob(f"{folder}/*=*")) <= 3 and not glob.glob(f"{folder}/*/*=*")
+    where = {}
+    for f in glob.glob(f"{folder}/split=*/*.parquet"):
+        rows = [(r["shard"], r["pos"]) for r in spark.read.parquet(f).select("shard", "pos").collect()]
+        assert rows == sorted(rows)
+        for shard in {s for s, _ in rows}:
+            assert where.setdefault((f.split("/")[-2], shard), f) == f
+    assert spark.read.parquet(folder).count() == 400
