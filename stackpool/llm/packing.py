@@ -27,8 +27,8 @@ from stackpool.llm.common import id_text, slices, task_number
 from stackpool.session import materialise
 
 END_ID = 0
-#: Words kept between documents; a forgotten or longer word is only encoded again.
-CACHE_WORDS = 3 << 17
+#: Words kept between documents (twice over); a forgotten or longer word is only encoded again.
+CACHE_WORDS = 1 << 17
 CACHED_WORD = 64
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
@@ -117,10 +117,14 @@ class WordIds:
     def __init__(self, model_text: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model_text)
+        # words of late, and those before them
         self.kept: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def pretoken(self, letters: str) -> bytes:
         found = self.kept.get(letters)
+        if found is None and (found := self.older.get(letters)) is not None:
+            self.kept[letters] = found
         if found is None:
             # byte-level alphabet: bytes of printable Latin-1 characters stand for themselves, the others come after 255
             seen = letters if letters.isascii() else "".join(BYTE_LETTERS[b] for b in letters.encode())
@@ -132,7 +136,7 @@ class WordIds:
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as bytes of unsigned 32-bit numbers."""
         if len(self.kept) > CACHE_WORDS:
-            self.kept = {"": b""}
+            self.kept, self.older = {"": b""}, self.kept
         out: list = [None] * len(words)
         odd = []
         for i, word in enumerate(words):
