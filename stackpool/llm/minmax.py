@@ -8,8 +8,9 @@ Documents of equal shingle sets share one node.  In every bucket of a band all
 nodes are compared with one centre, the node that meets most others over all
 bands; a large group of copies thus costs one comparison a node.  What is then
 in another component than its centre is compared with the other nodes of that
-centre, in blocks of fixed size.  Signatures only screen; whole shingle sets
-confirm every link.
+centre, in blocks of fixed size.  Nodes that are loosely similar to the centre of a
+bucket are compared with the rest of that bucket itself, in blocks too.  Signatures
+only screen; whole shingle sets confirm every link.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from stackpool.session import materialise
 #: Values of a signature (two a permutation) and values a band: at a similarity of 0.8 a pair misses all bands once in four million.
 PERMUTATIONS, ROWS = 95, 5
 #: How far below the threshold signatures may estimate a pair (five standard errors at 0.8), and the estimate below which
-#: a node is not kept with a centre: a node linked to it meets it in other buckets, which such a centre is not in.
+#: a node is not kept with a centre but compared within the bucket.
 SLACK, FAR = 0.16, 0.5
 #: Nodes of a block, and bytes of text taken at a time.
 BLOCK, SLICE = 1024, 1 << 20
@@ -189,7 +190,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def centred(buckets: DataFrame) -> DataFrame:
-    """Distinct (centre, node) from (bucket, node) rows, a node with the centre of each of its buckets.
+    """(bucket, centre, node) from (bucket, node) rows, a node with the centre of each of its buckets.
 
     The centre is the node with the greatest sum of the sizes of all its buckets.
     """
@@ -197,14 +198,50 @@ def centred(buckets: DataFrame) -> DataFrame:
     shared = materialise(buckets.join(sizes, "bucket"), "buckets")
     met = shared.groupBy("node").agg(F.sum("size").alias("met"))
     chosen = shared.join(met, "node").groupBy("bucket").agg(F.max_by("node", "met").alias("centre"))
-    return shared.select("bucket", "node").join(chosen, "bucket").filter("node <> centre").select("centre", "node").distinct()
+    return shared.select("bucket", "node").join(chosen, "bucket").filter("node <> centre").select("bucket", "centre", "node")
 
 
-def estimated(members: DataFrame, signed: DataFrame, lowest: float) -> DataFrame:
-    """(centre, node) rows with the similarity that signatures estimate, where it is at least ``lowest``."""
+def estimated(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Distinct (centre, node) rows with the similarity that signatures estimate."""
     sig = lambda name, end: signed.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"))
     both = members.join(sig("node", "x"), "node").join(sig("centre", "y"), "centre")
-    return materialise(both.withColumn("near", estimate("sig_x", "sig_y")).filter(F.col("near") >= lowest).drop("sig_x", "sig_y"), "estimated")
+    return materialise(both.withColumn("near", estimate("sig_x", "sig_y")).drop("sig_x", "sig_y"), "estimated")
+
+
+def loose_pairs(seats: DataFrame, held: DataFrame, signed: DataFrame, labels: DataFrame, percent: int, far: float) -> DataFrame:
+    """Distinct pairs (x, y) of different components that share a bucket, not both near its centre, and that signatures let pass.
+
+    Signatures differ by a metric, so whoever passes with a node that is far from a
+    centre is itself less than ``far`` plus the difference allowed to it: the others
+    need not be compared.  The far nodes are dealt out in blocks against all that are
+    left; a task holds two blocks.
+    """
+    lowest = percent / 100 - SLACK
+    rows = seats.join(held.filter(F.col("near") < far + 1 - lowest).select("centre", "node", "near"), ["centre", "node"])
+    rows = rows.withColumn("far", F.col("near") < far).select("bucket", "node", "far")
+    sizes = rows.groupBy("bucket").agg(F.sum(F.col("far").cast("long")).alias("many"), F.count(F.lit(1)).alias("all")).filter("many > 0 and all > 1")
+    rows = materialise(rows.join(sizes, "bucket").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "loose")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    placed = rows.withColumn("alone", F.ceil(F.col("many") / BLOCK).cast("long")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("long"))
+    left = placed.filter("far").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), "alone")).withColumn("j", each(F.col("blocks"))).withColumn("side", F.lit(0))
+    right = placed.withColumn("j", F.pmod(F.xxhash64("node"), "blocks")).withColumn("i", each(F.col("alone"))).withColumn("side", F.lit(1))
+    cols = ["bucket", "i", "j", "side", "node", "label", "far"]
+    dealt = left.select(*cols).unionByName(right.select(*cols)).join(signed.select("node", "sig", "n"), "node")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = (group[group.side == s] for s in (0, 1))
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        if len(one) and len(two):
+            sig, other = (np.frombuffer(b"".join(x.sig), dtype=np.uint8).reshape(len(x), -1) for x in (one, two))
+            names, labs, n, distant = (two[c].to_numpy() for c in ("node", "label", "n", "far"))
+            for k, (node, label, size) in enumerate(zip(one.node, one.label, one.n)):
+                # two that are both far meet from either side: keep one order
+                want = (labs != label) & (~distant | (names > node)) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * percent)
+                at = np.flatnonzero(want)
+                at = at[_agreement(other[at], sig[k]) >= lowest]
+                out.append(np.stack([np.minimum(names[at], node), np.maximum(names[at], node)], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["x", "y"])
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "x long, y long").distinct()
 
 
 def rest_links(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -273,7 +310,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, id_c
     first = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     signed = (full.join(first, ["set_key"]).filter("doc_id = node").select("node", "set_key", "n", "sig", "bands"))
     signed = materialise(signed.dropDuplicates(["node", "set_key"]), "nodes")
-    members = estimated(centred(signed.select(F.explode("bands").alias("bucket"), "node")), signed, FAR)
+    seats = materialise(centred(signed.select(F.explode("bands").alias("bucket"), "node")), "seats")
+    held = estimated(seats.select("centre", "node").distinct(), signed)
+    far = min(FAR, percent / 100 - SLACK)
+    members = held.filter(F.col("near") >= far)
     screened = members.filter((F.col("near") >= percent / 100 - SLACK) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent))
     pairs = screened.select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
     links = confirmed(pairs, docs, percent, width, id_col, text_col)
@@ -281,7 +321,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, id_c
     same = full.join(first, "set_key").filter("doc_id <> node").join(signed.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
     links = materialise(links.union(same.select(F.col("node").alias("x"), F.col("doc_id").alias("y")).distinct()), "links")
     labels = components(links)
-    more = materialise(rest_links(members, labels, docs, percent, width, id_col, text_col), "links")
+    loose = materialise(loose_pairs(seats, held, signed, labels, percent, far), "loose")
+    more = rest_links(members, labels, docs, percent, width, id_col, text_col)
+    if not loose.isEmpty():
+        more = more.union(confirmed(loose, docs, percent, width, id_col, text_col))
+    more = materialise(more, "links")
     if not more.isEmpty():
         labels = components(more.union(links), labels)
     out = stored.select("doc_id", "n", "set_key").join(first, "set_key", "left").join(labels, "node", "left")

@@ -364,6 +364,26 @@ def test_blocks_of_one_centre(spark, monkeypatch):
     assert [out[i] for i in range(len(texts))] == label
 
 
+def loosely_similar(n=6000, pairs=400, places=40, seed=3):
+    """Texts of ``places`` passages in one of two versions each, some 0.3 alike, and copies of ``pairs`` of them with three other versions."""
+    rng = random.Random(seed)
+    rows = [[rng.randrange(2) for _ in range(places)] for _ in range(n)]
+    for k in range(pairs):
+        other = set(rng.sample(range(places), 3))
+        rows.append([v ^ (i in other) for i, v in enumerate(rows[k])])
+    return [" ".join(f"p{i}v{v}w{j}" for i, v in enumerate(r) for j in range(12)) for r in rows]
+
+
+def test_pairs_among_loosely_similar_texts(spark):
+    texts = loosely_similar()
+    sets = [shingles(t) for t in texts[:400] + texts[6000:]]
+    assert all(0.8 <= len(sets[k] & sets[400 + k]) / len(sets[k] | sets[400 + k]) < 0.9 for k in range(400))
+    assert np.mean([len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(399)]) < 0.4
+    out = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(frame(spark, texts)).collect()}
+    # others, if any, are alike by chance
+    assert [k for k in range(400) if out[k] != out[6000 + k]] == []
+
+
 def test_min_max_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     perms, found = minmax.permutations(95), []
