@@ -48,8 +48,8 @@ def features(texts: pa.Array) -> np.ndarray:
     again = np.bincount(at[1:][(which[1:] == which[:-1]) & (at[1:] == at[:-1])], minlength=n)
     per = lambda x, y: x / np.maximum(y, 1)
     digit, upper, lower = single[:, 48:58].sum(axis=1), single[:, 65:91].sum(axis=1), single[:, 97:123].sum(axis=1)
-    shape = np.stack([np.log1p(sizes), np.log1p(many), per(distinct, many), per(again, many), per(sizes - many, many) / 10, per(digit, sizes),
-                      per(upper, upper + lower), per(single[:, 10], many)], axis=1)
+    shape = np.stack([np.log1p(sizes), np.log1p(many), per(distinct, many), per(again, many), np.log1p(per(sizes - many, many) / 10), per(digit, sizes),
+                      per(upper, upper + lower), np.log1p(per(single[:, 10], many))], axis=1)
     # roots of shares: rare signs count too
     return np.concatenate([np.sqrt(single / np.maximum(sizes, 1)[:, None]), np.sqrt(double / np.maximum(sizes, 1)[:, None]), shape], axis=1)
 
@@ -93,11 +93,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """(positive, features as bytes of 16-bit numbers) of (doc_id, text, positive) rows."""
+    """(positive, features as bytes of 32-bit numbers) of (doc_id, text, positive) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE):
-                found = features(batch.column(1)[a:b]).astype(np.float16)
+                found = features(batch.column(1)[a:b]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], pa.array([r.tobytes() for r in found], pa.binary())], ["positive", "features"])
     return rows.mapInArrow(run, "positive boolean, features binary")
 
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     sides = []
     for wanted in (True, False):
         rows = taken.filter(pa.compute.equal(taken["positive"], wanted))["features"].to_pylist()
-        sides.append(np.frombuffer(b"".join(rows), dtype=np.float16).reshape(len(rows), N_FEATURES))
+        sides.append(np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), N_FEATURES))
     return fit(*sides, prior)
 
 

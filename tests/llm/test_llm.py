@@ -482,6 +482,14 @@ def test_classifier_hard_rows(spark, hard, nothing):
     assert {round(r["score"], 6) for r in quality.classify(hard, labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_with_one_long_blank_and_one_long_word(spark):
+    docs = frame(spark, prose(60, 8) + ["\n" * 100_000, "x" * 1_000_000])
+    labels = spark.createDataFrame([(i, int(i % 2 or i > 59)) for i in range(62)], "doc_id long, quality int")
+    fitted = quality.train(docs.select("doc_id", "text"), labels)
+    assert np.isfinite(fitted.weights).all() and np.isfinite(fitted.scale).all() and np.isfinite(fitted.bias)
+    assert all(0 <= r["score"] <= 1 for r in quality.score(docs.select("doc_id", "text"), fitted).collect())
+
+
 def test_features_count_the_whole_text():
     texts = ["", "ab ab cd\n", "x" * 5000 + "|"]
     rows = quality.features(pa.array(texts))
