@@ -186,5 +186,5 @@ def train_stack_linear(spark, sf):
 def train_stack_rbf(spark, sf):
     """The same with whitening and random features of the Gaussian kernel."""
     meta = _meta_rows(spark, sf)
-    model, _ = K.train_stack(meta, 14, "RBF", "PCA_WHITEN", trials=4, n_out=16)
+    model, _ = K.train_stack(meta, 14, "RBF", "PCA_WHITEN")
     return K.final_submission(meta, model, "avg").select("image", "p_m", "p_k")

@@ -182,3 +182,23 @@ def test_training_options_are_checked(spark):
             K.train_stack(df, 2, **{"method": "LINEAR_DUAL", "preprocess": "NONE", **options})
     model, table = K.train_stack(rings(spark, 90), 2, "LINEAR_PRIMAL", "NONE", trials=1, grouped=False, row_id="row", max_iter=3)
     assert table.count() == 6 and set(model.classifiers) == {"melanoma", "keratosis"}
+
+
+def test_rbf_query_searches_with_the_defaults(monkeypatch):
+    import inspect
+    from stackpool.queries import learning as L
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def train(*args, **options):
+        asked.append(inspect.signature(original).bind(*args, **options))
+        asked[0].apply_defaults()
+        raise Stop
+    original = K.train_stack
+    monkeypatch.setattr(L, "_meta_rows", lambda spark, sf: None)
+    monkeypatch.setattr(L.K, "train_stack", train)
+    with pytest.raises(Stop):
+        L.train_stack_rbf(None, "")
+    assert (asked[0].arguments["trials"], asked[0].arguments["n_out"]) == (10, 512)
