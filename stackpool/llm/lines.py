@@ -61,7 +61,7 @@ def streamed(rows: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.lag("doc_id").over(in_order)) & (F.col("doc_id").isNotNull() | F.col("text_hash").eqNullSafe(F.lag("text_hash").over(in_order)))
     at = F.row_number().over(in_order)
     marked = ranged.withColumn("_new", ((at == 1) | ~same).cast("long")).withColumn("_first", (F.rank().over(in_order) == 1))
-    # written once: the sketch and the ranges would be made again for the counts of parts
+    # written once: the ranges would be made again for the counts of parts
     counted = materialise(marked.withColumn("_docs", F.sum("_new").over(Window.partitionBy(*group))).drop("_new"), "lines")
     # one row for each part of a heavy hash: HEAVY * PARTS at most, but for hashes that agree in 64 bits
     parts = counted.filter("heavy and _first").groupBy(*group).agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("_least"), F.max("_docs").alias("_docs"))
@@ -97,7 +97,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_f
     An empty table gives none.
     """
     drop = (F.col("n_docs") >= min_docs) if not keep_first else (F.col("n_docs") >= min_docs) & ~F.col("first")
-    lengths = _run_lengths(streamed(line_rows(docs, min_chars, id_col, text_col)).filter(drop).select(*_DOC, "place"))
+    # written once: the sketch, the sample for the ranges and the shuffle all read these slim rows, not the texts
+    hashed = materialise(line_rows(docs, min_chars, id_col, text_col), "hashed")
+    lengths = _run_lengths(streamed(hashed).filter(drop).select(*_DOC, "place"))
     rows = _identified(docs, id_col, text_col)
     n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("int")
     known = rows.select(*_DOC, n_lines.alias("n_lines")).distinct()
