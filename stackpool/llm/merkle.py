@@ -2,11 +2,12 @@
 
 Rows are leaves of one tree a group, whose roots are the leaves of one tree above.
 Every STRIDE levels of a tree are built at once from runs of 2^STRIDE consecutive
-nodes and stored as rows (tree, tier, pos): digest, parent (the next tier's row that
-the run makes) and the siblings met on the way there.  A recursive query starts at
-every leaf and follows the links, appending siblings and folding the digest, through
-the group's root up to the manifest's.  A step climbs STRIDE levels, so a billion
-rows take a few steps.
+nodes and stored as rows (tree, tier, pos): digest, link to the parent (the next
+tier's row that the run makes) and the siblings met on the way there.  A recursive
+query starts at every leaf and follows the links, appending siblings and folding the
+digest, through the group's root up to the manifest's.  A step climbs STRIDE
+levels, so a billion rows take four steps, and only the small tiers above the
+leaves are joined.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from stackpool.session import materialise
 
 #: Levels that one stored tier spans: a run of 2^STRIDE digests is built in one task.
 STRIDE = 10
-#: Number of the tree over the roots of all others.
-TOP = -1
+#: Numbers of the tree over the roots of all others, and of what its root links to.
+TOP, END = -1, -2
 _NO_LIMIT = {"spark.sql.cteRecursionRowLimit": "-1"}
-_EDGE = "tree long, tier int, pos long, up_tree long, up_tier int, up_pos long, path array<struct<left:string,right:string>>"
+_LINK = ["tree", "tier", "pos", "up_tree", "up_tier", "up_pos", "path"]
+_BUILT = "doc_id long, leaf binary, seen binary, tree long, tier int, pos long, up_tree long, up_tier int, up_pos long, path array<struct<left:binary,right:binary>>, digest binary, size long"
 
 
 def _field(value: Column) -> Column:
@@ -61,45 +63,49 @@ def climb_run(digests: list[str], arity: int) -> tuple[str, list[list[tuple[str,
 
 
 def _tier(nodes: DataFrame, run: int, arity: int, levels: int) -> tuple[DataFrame, DataFrame]:
-    """(edges, next tier's nodes) from nodes (tree, tier, pos, digest, size), ``size`` being the tree's nodes on that tier.
+    """(linked rows, next tier's nodes) from nodes (doc_id, seen, tree, tier, pos, digest, size), ``size`` counting the tree's nodes on that tier.
 
-    A full run climbs ``levels`` levels, also where it has fewer nodes: a node left
-    alone goes through them hashed by itself, as in a tree built level by level.  A
-    tree of one run ends when one node remains.
+    The last run of a tree climbs ``levels`` levels like the others, also where it has
+    fewer nodes: one left alone goes through them hashed by itself.  A tree of one
+    run ends when one node remains, and links to its place in the tree above.
     """
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         tree, tier, size = int(pdf.tree.iloc[0]), int(pdf.tier.iloc[0]), int(pdf["size"].iloc[0])
-        root, paths = climb_run(pdf.digest.tolist(), arity)
+        root, paths = climb_run([d.hex() for d in pdf.digest], arity)
+        pos = pdf.pos.to_numpy()
+        up = (tree, tier + 1, int(pos[0]) // run)
         if size > run:
-            # the other runs go on, so the short last one climbs as many levels
-            for _ in range(levels - (len(paths[0]) if paths else 0)):
+            for _ in range(levels - len(paths[0])):
                 root = _digest(root)
-                for p in paths:
-                    p.append(("", ""))
-        pos = pdf.pos.to_numpy()
-        up = pos // run
-        return pd.DataFrame({"tree": tree, "tier": tier, "pos": pos, "up_tree": tree, "up_tier": tier + 1, "up_pos": up,
-                             "path": [[{"left": a, "right": b} for a, b in p] for p in paths], "digest": [root] * len(pos),
-                             "size": -(-size // run)})
-    made = materialise(nodes.groupBy("tree", F.floor(F.col("pos") / run).alias("run")).applyInPandas(
-        build, _EDGE + ", digest string, size long").withColumn("lead", F.col("pos") % run == 0), "merkle")
-    above = made.filter("lead").select("tree", F.col("up_tier").alias("tier"), F.col("up_pos").alias("pos"), "digest", "size")
-    return made.drop("digest", "size", "lead"), above
-
-
-def _forest(nodes: DataFrame, stride: int, arity: int) -> tuple[DataFrame, DataFrame]:
-    """(all edges, roots as (tree, tier, digest)) of trees given by their tier-0 nodes (tree, tier, pos, digest, size)."""
+        else:
+            up = (END, 0, 0) if tree == TOP else (TOP, 0, tree)
+        linked = [[{"left": bytes.fromhex(a), "right": bytes.fromhex(b)} for a, b in p] for p in paths]
+        if size > run:
+            alone = [{"left": b"", "right": b""}] * (levels - len(paths[0]))
+            linked = [p + alone for p in linked]
+        return pd.DataFrame({"doc_id": pdf.doc_id, "leaf": pdf.digest, "seen": pdf.seen, "tree": tree, "tier": tier, "pos": pos, "up_tree": up[0], "up_tier": up[1],
+                             "up_pos": up[2], "path": linked, "digest": [bytes.fromhex(root)] * len(pos), "size": -(-size // run)})
+    runs = nodes.groupBy("tree", F.floor(F.col("pos") / run).alias("run"))
+    made = materialise(runs.applyInPandas(build, _BUILT), "merkle")
+    above = made.filter(F.col("pos") % run == 0).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("seen"), "tree", (F.col("tier") + 1).alias("tier"),
+        F.floor(F.col("pos") / run).alias("pos"), "digest", "size")
+    return made, above
+
+
+def _forest(nodes: DataFrame, stride: int, arity: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(rows of tier 0, rows of each tier above, roots as (tree, digest)) of trees given by their nodes of tier 0."""
     run = arity ** stride
-    edges, roots, left = None, None, nodes
+    tiers, roots, left = [], None, nodes
     while True:
         made, above = _tier(left, run, arity, stride)
-        edges = made if edges is None else edges.unionByName(made)
-        done = above.filter("size = 1").select("tree", "tier", "digest")
+        tiers.append(made)
+        done = above.filter("size = 1").select("tree", "digest")
         roots = done if roots is None else roots.unionByName(done)
         left = above.filter("size > 1")
         if left.isEmpty():
-            return edges, roots
+            return tiers[0], tiers[1:], roots
 
 
 def _positions(rows: DataFrame, group: str, order: list) -> DataFrame:
@@ -138,30 +144,36 @@ def manifest(docs: DataFrame, fields: list[str], group: str = "lang", id_col: st
     spark = docs.sparkSession
     changed = tampered or {}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(group).cast("string").alias("_group_of"),
-                       leaf_digest([F.col(f) for f in fields]).alias("leaf"),
-                       leaf_digest([changed.get(f, F.col(f)) for f in fields]).alias("seen"))
-    leaves = materialise(_positions(rows, "_group_of", [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("seen")]), "leaves")
+                       F.unhex(leaf_digest([F.col(f) for f in fields])).alias("digest"),
+                       F.unhex(leaf_digest([changed.get(f, F.col(f)) for f in fields])).alias("seen"))
+    # a leaf that is seen as it is needs no second digest
+    rows = rows.withColumn("seen", F.nullif("seen", "digest"))
     tier0 = F.lit(0).alias("tier")
-    edges, subroots = _forest(leaves.select("tree", tier0, "pos", F.col("leaf").alias("digest"), "size"), stride, arity)
+    placed = _positions(rows, "_group_of", [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("seen")])
+    leaves, tiers, subroots = _forest(placed.select("doc_id", "seen", "tree", tier0, "pos", "digest", "size"), stride, arity)
+    subroots = materialise(subroots, "subroots")
     many = subroots.count()
     if not many:
-        return leaves.select("doc_id", "leaf", *[F.lit(None).cast("string").alias(c) for c in ("subroot", "root", "proof", "folded_root")], F.lit(False).alias("verified"))
+        none = F.lit(None).cast("string")
+        return leaves.select("doc_id", *[none.alias(c) for c in ("leaf", "subroot", "root", "proof", "folded_root")], F.lit(False).alias("verified"))
     # the trees are numbered in the order of their groups
-    over = subroots.select(F.lit(TOP).cast("long").alias("tree"), tier0, F.col("tree").alias("pos"), "digest", F.lit(many).cast("long").alias("size"))
-    above, roots = _forest(over, stride, arity)
-    root = roots.first()
-    # a subroot is a leaf of the tree above: same place, no sibling
-    bridge = subroots.select("tree", "tier", F.lit(0).cast("long").alias("pos"), F.lit(TOP).cast("long").alias("up_tree"), tier0.alias("up_tier"),
-                             F.col("tree").alias("up_pos"), F.array().cast("array<struct<left:string,right:string>>").alias("path"))
-    stored = materialise(edges.unionByName(above).unionByName(bridge), "nodes")
+    over = subroots.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("seen"), F.lit(TOP).cast("long").alias("tree"), tier0,
+                           F.col("tree").alias("pos"), "digest", F.lit(many).cast("long").alias("size"))
+    first, more, roots = _forest(over, stride, arity)
+    root = roots.first()["digest"].hex()
+    nodes = first
+    for t in (*tiers, *more):
+        nodes = nodes.unionByName(t)
+    stored = materialise(nodes.select(*_LINK), "nodes")
+    fold = "unhex(aggregate(n.path, lower(hex({})), (h, s) -> sha2(concat(lower(hex(s.left)), h, lower(hex(s.right))), 256)))".format
+    append = "aggregate(n.path, {}, (p, s) -> concat(p, s.left, s.right))".format
     done = _recursive(spark, f"""with recursive climb(doc_id, leaf, home, tree, tier, pos, folded, proof) as (
-            select doc_id, leaf, tree, tree, 0, pos, seen, '' from {{leaves}}
+            select doc_id, leaf, tree, up_tree, up_tier, up_pos, {fold("coalesce(n.seen, n.leaf)")}, {append("x''")} from {{leaves}} n
             union all
-            select c.doc_id, c.leaf, c.home, n.up_tree, n.up_tier, n.up_pos,
-                aggregate(n.path, c.folded, (h, s) -> sha2(concat(s.left, h, s.right), 256)),
-                concat(c.proof, array_join(transform(n.path, s -> concat(s.left, s.right)), ''))
+            select c.doc_id, c.leaf, c.home, n.up_tree, n.up_tier, n.up_pos, {fold("c.folded")}, {append("c.proof")}
             from climb c join {{nodes}} n on c.tree = n.tree and c.tier = n.tier and c.pos = n.pos)
-        select doc_id, leaf, home, folded, proof from climb where tree = {TOP} and tier = {root["tier"]}""", "climb", leaves=leaves, nodes=stored)
-    named = subroots.select(F.col("tree").alias("home"), F.col("digest").alias("subroot"))
-    return done.join(named, "home").select("doc_id", "leaf", "subroot", F.lit(root["digest"]).alias("root"), "proof", F.col("folded").alias("folded_root"),
-                                           (F.col("folded") == root["digest"]).alias("verified"))
+        select doc_id, leaf, home, folded, proof from climb where tree = {END}""", "climb", leaves=leaves, nodes=stored)
+    named = subroots.select(F.col("tree").alias("home"), F.lower(F.hex("digest")).alias("subroot"))
+    text = lambda c: F.lower(F.hex(c))
+    return done.join(named, "home").select("doc_id", text("leaf").alias("leaf"), "subroot", F.lit(root).alias("root"), text("proof").alias("proof"),
+                                           text("folded").alias("folded_root"), (text("folded") == root).alias("verified"))
