@@ -48,13 +48,41 @@ def preprocess_pca(spark, sf):
     return out.select("vec_id", r6(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x), "squared_length"))
 
 
-@query("preprocess_pca_whiten", "select pos, 1.0::double as variance, 0.0::double as mean from (select unnest(generate_series(0, 63)) as pos)")
+def _reduced(m: str, d: int) -> str:
+    """SQL: the matrix ``m`` (a list of d rows) after Gauss-Jordan elimination of its first d columns.
+
+    A fold over matrices: each further one has a pivot's number in its only cell.
+    """
+    pivot = "(z[1][1] + 1)::int"
+    return f"""list_reduce(list_prepend({m}, list_transform(range({d}), lambda k: [[k::double]])),
+        lambda a, z: list_transform(a, lambda r, i: case when i = {pivot} then list_transform(r, lambda v: v / r[{pivot}])
+            else list_transform(r, lambda v, j: v - r[{pivot}] * a[{pivot}][j] / a[{pivot}][{pivot}]) end))"""
+
+
+_COVARIANCE = f"""c as (select vec_id, pos, x - avg(x) over (partition by pos) as x from ({LONG})),
+    a as (select p.pos as i, q.pos as j, sum(p.x * q.x) / (count(*) - 1) as v from c p join c q using (vec_id) group by all)"""
+
+
+@query("pca_moments", f"""with {_COVARIANCE}, b as (select l.i, r.j, sum(l.v * r.v) as v from a l join a r on l.j = r.i group by all)
+    select 1 as power, {d6('(select sum(v) from a where i = j)', 'total')} union all select 2, {d6('(select sum(v) from b where i = j)')}
+    union all select 3, {d6('(select sum(l.v * r.v) from a l join b r on l.i = r.j and l.j = r.i)')}""")
+def pca_moments(spark, sf):
+    """Sums of powers of the components' variances: those of the covariance's eigenvalues only if the axes are its eigenvectors."""
+    df = rows(spark, sf)
+    out = X.fit_preprocessor(df, "PCA").transform(df).select(F.posexplode("features").alias("pos", "x"))
+    found = out.groupBy("pos").agg(F.variance("x").alias("v")).select("v", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("power"))
+    return found.groupBy("power").agg(r6(F.sum(F.pow("v", F.col("power"))), "total"))
+
+
+@query("preprocess_pca_whiten", f"""with {_COVARIANCE}, m as (select list(r order by i) as m from (select i, list_concat(list(v order by j), list_transform(range(64), lambda k: (k = i)::int::double)) as r from a group by i)),
+    inv as (select list_transform({_reduced("m", 64)}, lambda r: r[65:]) as g from m),
+    e as (select vec_id, list(x order by pos) as e from c group by vec_id)
+    select vec_id, {d6('list_dot_product(e, list_transform(g, lambda r: list_dot_product(r, e)))', 'squared_length')} from e, inv""")
 def preprocess_pca_whiten(spark, sf):
-    # whitened components have mean 0 and sample variance 1
+    # the squared length of a whitened row is its Mahalanobis distance, for axes along the eigenvectors alone
     df = rows(spark, sf)
     out = X.fit_preprocessor(df, "PCA_WHITEN").transform(df)
-    return out.select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(
-        r6(F.variance("x"), "variance"), r6(F.avg("x"), "mean"))
+    return out.select("vec_id", r6(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x), "squared_length"))
 
 
 @query("pca_project")
@@ -103,15 +131,24 @@ def trial_grid(spark, sf):
     return V.trial_table(spark, 30, n).select("trial", r6("c"), r6("gamma"))
 
 
-@query("svm_fit", """select positive, c, count(*) as n_weights, 0.0::double as gradient_ratio from (values (1, 0.25::double), (1, 16.0::double), (2, 0.25::double), (2, 16.0::double)) s(positive, c),
-    (select unnest(generate_series(0, 64)) as pos) group by 1, 2""")
+# ten Newton steps: the normal equations of the rows within the margin, solved by elimination
+@query("svm_fit", f"""with recursive x as (select vec_id, label % 3 as label, list_append(list_transform(embedding, lambda v: v::double), 1.0::double) as e from embeddings),
+    s(positive, c) as (values (1, 0.25::double), (1, 16.0::double), (2, 0.25::double), (2, 16.0::double)),
+    it as (select 0 as k, positive, c, list_transform(range(65), lambda i: 0.0::double) as w from s
+        union all
+        select k, positive, c, list_transform({_reduced("m", 65)}, lambda r: r[66]) as w from (select k, positive, c, list(r order by i) as m from (
+            select k, positive, c, i, list(v order by j) as r from (
+                select k + 1 as k, positive, c, i, j, (i = j)::int + 2 * c * sum(e[i] * (case when j <= 65 then e[j] else y end)) as v from (
+                    select k, positive, c, e, case when label = positive then 1.0::double else -1.0::double end as y from it, x
+                    where k < 10 and (case when label = positive then 1 else -1 end) * list_dot_product(w, e) < 1),
+                    (select unnest(range(1, 66)) as i), (select unnest(range(1, 67)) as j) group by k, positive, c, i, j) group by k, positive, c, i) group by k, positive, c))
+    select positive, c, (generate_subscripts(w, 1) - 1)::int as pos, {d6('unnest(w)', 'weight')} from it where k = 10""")
 def svm_fit(spark, sf):
-    # the loss is convex: weights are right where the gradient vanishes against its first length
+    """All weights (the last one is the constant's) of both tasks for a weak and a strong penalty."""
     settings = [V.Setting(positive, c) for positive in V.TASKS.values() for c in (0.25, 16.0)]
-    w = V.fit(rows(spark, sf), settings, N_FEATURES)
-    ratio = V.gradient_ratio(rows(spark, sf), w, settings)
-    return spark.createDataFrame([(s.positive, s.c, w.shape[0], round(float(ratio[i]), 3)) for i, s in enumerate(settings)],
-                                 "positive int, c double, n_weights long, gradient_ratio double")
+    w = V.fit(rows(spark, sf), settings, N_FEATURES, tol=1e-11)
+    listed = [(s.positive, s.c, pos, float(v)) for i, s in enumerate(settings) for pos, v in enumerate(w[:, i])]
+    return spark.createDataFrame(listed, "positive int, c double, pos int, weight double").withColumn("weight", r6("weight"))
 
 
 def _folded(spark, sf):
