@@ -3,8 +3,9 @@
 All (task, C, fold) models are columns of one weight matrix.  One pass sums the
 products of features for each kernel map and fold; with these every model has the
 Hessian that it would have if each of its rows were within the margin.  Quasi-Newton
-steps preconditioned by it need some ten passes where plain ones need thousands,
-also for penalties of 2^16.  In a pass each task turns its Arrow batches into two
+steps preconditioned by it need some ten passes where plain ones need thousands.
+Models that need more, such as those of strong penalties on parted classes, follow
+their penalty upwards by Newton steps on the rows within their margin.  In a pass each task turns its Arrow batches into two
 matrix products and emits one row of summed losses and gradients; partial rows are
 added in two levels, so the last step sees few of them however many partitions
 there are.  Weights and sums, not rows, come to the driver.
@@ -43,8 +44,10 @@ TASKS = {"melanoma": 1, "keratosis": 2}
 ALL_ROWS = -1
 # At most this many partial sums reach the driver in one iteration.
 FAN_IN = 32
-# Bytes of feature products that a task sums up in one pass (further kernel maps take further passes), and values in one row of them.
+# Bytes of feature products that a task sums up in one pass, and values in one row of them.
 PRODUCT_BYTES, PRODUCT_ROW = 64 << 20, 1 << 14
+# Passes after which models that are left follow their penalty, by steps of this factor.
+QUICK, PENALTY_STEP = 24, 16.0
 
 
 def gamma_range(n_samples: int) -> tuple[float, float]:
@@ -139,74 +142,114 @@ def _sum_over_rows(df: DataFrame, weights: np.ndarray, settings: list[Setting],
     return total[:k], total[k:].reshape(weights.shape)
 
 
-def _feature_products(df: DataFrame, width: int, settings: list[Setting], features: str, label: str, bases: list[Basis]) -> dict[tuple[int, int], np.ndarray]:
-    """Sum of x x^T over the rows that a (kernel, held-out fold) leaves, for each one that the settings name.
+def _summed_products(df: DataFrame, width: int, columns: list[str], keys: list[int], task: Callable[[list[int], Iterator[pd.DataFrame]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """Sum over all tasks of the symmetric matrices ``task(keys, batches)`` gives per key.
 
-    A task sums per kernel and fold that some setting holds out, and all other rows
-    together; the upper triangles are cut into short rows and added on the executors.
+    A task holds PRODUCT_BYTES of them at most, further keys take further passes.
+    Upper triangles travel in short rows; each adding task streams over all partial
+    rows of its share of the values.
     """
-    held = sorted({s.held_out for s in settings} - {ALL_ROWS})
-    kernels = sorted({s.kernel for s in settings})
     upper = np.triu_indices(width)
-    per_pass = max(1, PRODUCT_BYTES // (8 * len(upper[0]) * (len(held) + 1)))
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for start in range(0, len(kernels), per_pass):
-        group = [Setting(0, 0.0, kernel=k) for k in kernels[start:start + per_pass]]
-        shared = df.sparkSession.sparkContext.broadcast((group, held, list(bases)))
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            members, folds, maps = shared.value
-            total = {(s.kernel, f): np.zeros((width, width)) for s in members for f in [*folds, ALL_ROWS]}
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                own = np.where(np.isin(pdf["fold"].to_numpy(), folds), pdf["fold"].to_numpy(), ALL_ROWS)
-                for at, x in _mapped(np.stack(pdf[features].to_numpy()), members, maps):
-                    for f in np.unique(own):
-                        rows = x if (own == f).all() else x[own == f]
-                        total[members[at[0]].kernel, int(f)] += rows.T @ rows
-            for (kernel, f), t in total.items():
-                flat = t[np.triu_indices(width)]
-                for a in range(0, len(flat), PRODUCT_ROW):
-                    yield pd.DataFrame({"kernel": [kernel], "of": [f], "at": [a], "part": [flat[a:a + PRODUCT_ROW]]})
+    per_pass = max(1, PRODUCT_BYTES // (8 * len(upper[0])))
+    out: dict[int, np.ndarray] = {}
+    for start in range(0, len(keys), per_pass):
+        group = keys[start:start + per_pass]
+
+        def partial(batches: Iterator[pd.DataFrame], group=group) -> Iterator[pd.DataFrame]:
+            for key, total in task(group, batches).items():
+                flat = total[np.triu_indices(width)]
+                for at in range(0, len(flat), PRODUCT_ROW):
+                    yield pd.DataFrame({"key": [key], "at": [at], "part": [flat[at:at + PRODUCT_ROW]]})
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: dict[tuple[int, int, int], np.ndarray] = {}
+            total: dict[tuple[int, int], np.ndarray] = {}
             for pdf in batches:
-                for kernel, f, a, part in pdf.itertuples(index=False):
-                    total[kernel, f, a] = total.get((kernel, f, a), 0.0) + part
-            for (kernel, f, a), t in total.items():
-                yield pd.DataFrame({"kernel": [kernel], "of": [f], "at": [a], "part": [t]})
-
-        schema = "kernel int, of int, at int, part array<double>"
-        parts = df.select(features, "fold").mapInPandas(partial, schema)
-        # each task streams over all partial rows of its share of the values
-        summed = parts.repartition(FAN_IN, "kernel", "of", "at").mapInPandas(add, schema)
-        flats = {(s.kernel, f): np.zeros(len(upper[0])) for s in group for f in [*held, ALL_ROWS]}
-        # as many values as the products have
+                for key, at, part in pdf.itertuples(index=False):
+                    total[key, at] = total.get((key, at), 0.0) + part
+            for (key, at), t in total.items():
+                yield pd.DataFrame({"key": [key], "at": [at], "part": [t]})
+
+        schema = "key int, at int, part array<double>"
+        summed = df.select(*columns).mapInPandas(partial, schema).repartition(FAN_IN, "key", "at").mapInPandas(add, schema)
+        flats = {key: np.zeros(len(upper[0])) for key in group}
         for batch in summed.toArrow().to_batches():
-            for kernel, f, a, part in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
-                flats[kernel, f][a:a + PRODUCT_ROW] = part.values.to_numpy()
+            for key, at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                flats[key][at:at + PRODUCT_ROW] = part.values.to_numpy()
         for key, flat in flats.items():
             full = np.zeros((width, width))
             full[upper] = flat
-            sums[key] = full + np.triu(full, 1).T
-        shared.unpersist()
-    whole = {k: sum(sums[k, f] for f in [*held, ALL_ROWS]) for k in kernels}
+            out[key] = full + np.triu(full, 1).T
+    return out
+
+
+def _feature_products(df: DataFrame, width: int, settings: list[Setting], features: str, bases: list[Basis]) -> dict[tuple[int, int], np.ndarray]:
+    """Sum of x x^T over the rows that a (kernel, held-out fold) leaves, for each one that the settings name.
+
+    Rows are summed per kernel and fold that some setting holds out, all others together.
+    """
+    folds = [*sorted({s.held_out for s in settings} - {ALL_ROWS}), ALL_ROWS]
+    kernels = sorted({s.kernel for s in settings})
+    shared = df.sparkSession.sparkContext.broadcast(list(bases))
+
+    def task(keys: list[int], batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        total = {key: np.zeros((width, width)) for key in keys}
+        members = [Setting(0, 0.0, kernel=k) for k in sorted({kernels[key // len(folds)] for key in keys})]
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            fold = pdf["fold"].to_numpy()
+            own = np.where(np.isin(fold, folds), fold, ALL_ROWS)
+            for at, x in _mapped(np.stack(pdf[features].to_numpy()), members, shared.value):
+                base = kernels.index(members[at[0]].kernel) * len(folds)
+                for j, f in enumerate(folds):
+                    if base + j in total and (own == f).any():
+                        rows = x[own == f]
+                        total[base + j] += rows.T @ rows
+        return total
+
+    sums = _summed_products(df, width, [features, "fold"], list(range(len(kernels) * len(folds))), task)
+    shared.unpersist()
     wanted = {(s.kernel, s.held_out) for s in settings}
-    return {(k, f): whole[k] if f == ALL_ROWS else whole[k] - sums[k, f] for k, f in wanted}
+    per = {k: [sums[i * len(folds) + j] for j in range(len(folds))] for i, k in enumerate(kernels)}
+    return {(k, f): sum(p for j, p in enumerate(per[k]) if f == ALL_ROWS or folds[j] != f) for k, f in wanted}
+
+
+def _active_products(df: DataFrame, w: np.ndarray, which: np.ndarray, settings: list[Setting], features: str, label: str, bases: list[Basis]) -> dict[int, np.ndarray]:
+    """Sum of x x^T over the rows within the margin, for each setting of ``which``."""
+    shared = df.sparkSession.sparkContext.broadcast((w, list(bases)))
+
+    def task(keys: list[int], batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        weights, maps = shared.value
+        total = {key: np.zeros((len(weights), len(weights))) for key in keys}
+        members = [settings[key] for key in keys]
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            for at, x in _mapped(np.stack(pdf[features].to_numpy()), members, maps):
+                for i in at:
+                    y = np.where(pdf[label].to_numpy() == members[i].positive, 1.0, -1.0)
+                    rows = x[(y * (x @ weights[:, keys[i]]) < 1.0) & (pdf["fold"].to_numpy() != members[i].held_out)]
+                    total[keys[i]] += rows.T @ rows
+        return total
+
+    sums = _summed_products(df, len(w), [features, label, "fold"], [int(i) for i in which], task)
+    shared.unpersist()
+    return sums
 
 
 class _Preconditioner:
     """Inverse of I + 2 C sum(x x^T) per setting; settings that see the same rows share one decomposition."""
 
     def __init__(self, products: dict[tuple[int, int], np.ndarray], settings: list[Setting]):
-        self.parts = []
+        self.c = np.array([s.c for s in settings])
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for key, product in products.items():
-            at = np.flatnonzero([(s.kernel, s.held_out) == key for s in settings])
-            values, basis = np.linalg.eigh(product)
-            scale = 1.0 + 2.0 * np.maximum(values, 0.0)[:, None] * np.array([settings[i].c for i in at])
-            self.parts.append((at, basis, scale))
+            self.set(np.flatnonzero([(s.kernel, s.held_out) == key for s in settings]), product)
+
+    def set(self, at: np.ndarray, product: np.ndarray) -> None:
+        values, basis = np.linalg.eigh(product)
+        kept = [(np.setdiff1d(i, at), b, v[:, ~np.isin(i, at)]) for i, b, v in self.parts]
+        self.parts = [p for p in kept if len(p[0])] + [(at, basis, 1.0 + 2.0 * np.maximum(values, 0.0)[:, None] * self.c[at])]
 
     def __call__(self, v: np.ndarray) -> np.ndarray:
         out = np.empty_like(v)
@@ -240,7 +283,8 @@ def fit(df: DataFrame, settings: list[Setting], n_features: int, features: str =
 
     The constant feature (last row) is penalised like the others.  Limited-
     memory BFGS with backtracking, preconditioned by the Hessian of all rows of
-    the setting, runs for all settings in step, one pass each, until every
+    the setting, runs for all settings in step, one pass each; what QUICK passes
+    leave open is done by ``_follow_penalty``, until every
     gradient is below ``tol`` times its first length.  Settings with
     a kernel see the rows through the map ``bases[kernel]``, applied in the pass;
     ``n_features`` is then the width d after the map.  The driver holds (d + 1)^2
@@ -269,13 +313,14 @@ def _minimise(df: DataFrame, settings: list[Setting], n_features: int, features:
         warnings.warn(said, stacklevel=4)
 
     w = np.zeros((n_features + 1, len(settings)))
-    ready = _Preconditioner(_feature_products(df, n_features + 1, settings, features, label, bases), settings)
+    ready = _Preconditioner(_feature_products(df, n_features + 1, settings, features, bases), settings)
     f, g = _objective(df, w, settings, features, label, bases)
     start_norm = np.linalg.norm(g, axis=0)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     step = np.ones(len(settings))
     direction, steepest = -ready(g), np.ones(len(settings), dtype=bool)
-    for _ in range(max_iter or MAX_ITER):
+    limit = max_iter or MAX_ITER
+    for _ in range(min(limit, QUICK)):
         active = np.linalg.norm(g, axis=0) > tol * np.maximum(start_norm, 1e-12)
         if not active.any():
             return w
@@ -290,8 +335,7 @@ def _minimise(df: DataFrame, settings: list[Setting], n_features: int, features:
         step = np.where(good, 1.0, step * 0.5)
         stuck = active & (step < 1e-12)
         if (stuck & steepest).any():
-            give_up("no step helps", np.flatnonzero(stuck & steepest))
-            return w
+            break
         if good.any():
             past = (past + [(s, y)])[-memory:]
             direction, steepest = np.where(good, -_two_loop(g, past, ready), direction), steepest & ~good
@@ -302,11 +346,52 @@ def _minimise(df: DataFrame, settings: list[Setting], n_features: int, features:
             direction = np.where(stuck, -ready(g), direction)
             step, steepest = np.where(stuck, 1.0, step), steepest | stuck
     left = np.flatnonzero(np.linalg.norm(g, axis=0) > tol * np.maximum(start_norm, 1e-12))
+    if len(left) and limit > QUICK:
+        w[:, left], open_ = _follow_penalty(df, [settings[i] for i in left], start_norm[left], n_features, features, label, limit - QUICK, tol, bases)
+        left = left[open_]
     if len(left):
         give_up("not converged", left)
     return w
 
 
+def _follow_penalty(df: DataFrame, settings: list[Setting], start_norm: np.ndarray, n_features: int, features: str, label: str,
+                    limit: int, tol: float, bases: list[Basis]) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, which are still open after ``limit`` passes): Newton steps while the penalty grows to its value.
+
+    Few rows stay within the margin under a strong penalty, and a Newton step from
+    afar brings most of them back.  From the optimum of a weaker penalty the set of
+    such rows changes little, so some steps lead to the next one.
+    """
+    full = np.array([s.c for s in settings])
+    now = full / PENALTY_STEP ** np.ceil(np.log(np.maximum(full, 1.0)) / np.log(PENALTY_STEP))
+    w = np.zeros((n_features + 1, len(settings)))
+    loss, grad = _sum_over_rows(df, w, settings, features, label, bases)
+    value = lambda v, c, sums: 0.5 * (v ** 2).sum(axis=0) + c * sums
+    step, direction = np.ones(len(settings)), np.zeros_like(w)
+    fresh = np.ones(len(settings), dtype=bool)
+    for _ in range(limit):
+        while True:
+            g = w + now * grad
+            near = np.linalg.norm(g, axis=0) <= tol * np.maximum(start_norm * now / full, 1e-12)
+            if not (near & (now < full)).any():
+                break
+            now = np.where(near, np.minimum(now * PENALTY_STEP, full), now)
+        if near.all():
+            break
+        at = np.flatnonzero(fresh & ~near)
+        for k, product in _active_products(df, w, at, settings, features, label, bases).items() if len(at) else ():
+            direction[:, k] = -np.linalg.solve(np.eye(len(w)) + 2.0 * now[k] * product, g[:, k])
+            step[k] = 1.0
+        trial = w + np.where(near, 0.0, step) * direction
+        loss_new, grad_new = _sum_over_rows(df, trial, settings, features, label, bases)
+        f = value(w, now, loss)
+        good = ~near & (value(trial, now, loss_new) <= f + 1e-4 * step * (g * direction).sum(axis=0) + 1e-14 * np.abs(f))
+        w, loss, grad = np.where(good, trial, w), np.where(good, loss_new, loss), np.where(good, grad_new, grad)
+        step, fresh = np.where(good, 1.0, step * 0.5), good
+    g = w + full * grad
+    return w, np.linalg.norm(g, axis=0) > tol * np.maximum(start_norm, 1e-12)
+
+
 def _two_loop(g: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]], ready: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Inverse-Hessian product per column, starting from the preconditioner; pairs without positive curvature are skipped."""
     q, alphas = g.copy(), []

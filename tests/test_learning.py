@@ -39,14 +39,14 @@ def test_fit_reaches_the_optimum_of_every_setting(spark):
 def test_strong_penalties_and_kernel_maps_converge_in_few_passes(spark, monkeypatch, recwarn):
     x, label, df = blobs(spark)
     bases = [X.fourier_basis(5, 96, g, 0) for g in (0.001, 0.3)]
-    settings = [V.Setting(p, c, h, k) for p in (1, 2) for c in (2.0 ** -16, 2.0 ** 16) for h in (V.ALL_ROWS, 1) for k in (0, 1)]
+    settings = [V.Setting(p, c, h, k) for p, h in ((1, V.ALL_ROWS), (2, 1)) for c in (2.0 ** -16, 2.0 ** 16) for k in (0, 1)]
     folded = V.group_folds(df, "id")
     passes, once = [], V._sum_over_rows
     monkeypatch.setattr(V, "_sum_over_rows", lambda *a, **k: passes.append(1) or once(*a, **k))
-    # two kernels and two groups of folds do not fit into one pass of products
-    monkeypatch.setattr(V, "PRODUCT_BYTES", 8 * 97 * 98 // 2 * 2)
+    # four sums, so that one pass does not hold them
+    monkeypatch.setattr(V, "PRODUCT_BYTES", 8 * 97 * 98 // 2 * 3)
     w = V.fit(folded, settings, 96, bases=bases)
-    assert len(passes) < 60 and not [r for r in recwarn if "converged" in str(r.message)]
+    assert len(passes) < 120 and not [r for r in recwarn if "converged" in str(r.message)]
     fold = {r["row"]: r["fold"] for r in folded.select("row", "fold").collect()}
     for i, s in enumerate(settings):
         keep = np.array([fold[j] != s.held_out for j in range(len(x))])
