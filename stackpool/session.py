@@ -73,9 +73,32 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+_owned: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/stackpool/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this application that goes when the application ends."""
+    root = f"{shared_root(spark)}/stackpool/{spark.sparkContext.applicationId}"
+    if root not in _owned:
+        fs, at = _hadoop(spark, root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _owned.add(root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and nothing will read again; other frames are left alone."""
+    path = df.__dict__.pop("_scratch", None)
+    if path:
+        fs, at = _hadoop(df.sparkSession, path)
+        fs.delete(at, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -83,12 +106,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
     Used where later steps need *one* fixed evaluation of a plan, such as row
     positions of a sampled range sort.  Readers prune columns, and a lost
-    executor costs only its own tasks.
+    executor costs only its own tasks.  The table goes with the application, or
+    earlier by ``discard``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.__dict__["_scratch"] = path
+    return stored
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
