@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from stackpool.llm.common import id_text, slices, words_of
-from stackpool.session import materialise
+from stackpool.llm.common import id_filter, id_text, slices, spread_lookup, words_of
+from stackpool.session import discard, materialise
 
 #: Values of a signature (two a permutation) and values a band: at a similarity of 0.8 a pair misses all bands once in four million.
 PERMUTATIONS, ROWS = 95, 5
@@ -114,14 +114,22 @@ def sign(docs: DataFrame, width: int = WORDS, permutations_: int = PERMUTATIONS,
     return texts.mapInArrow(run, "doc_id long, n long, set_key binary, sig binary, bands array<long>")
 
 
-def sets_of(docs: DataFrame, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, shingles) with the sorted set as bytes of unsigned 64-bit numbers."""
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, shingles) of the documents that ``nodes`` names: the sorted set as bytes of unsigned 64-bit numbers.
+
+    A filter of the ids goes to the scan, so that sets, not texts, meet the ids.
+    """
+    wanted = nodes.select("node").distinct()
+    may_hold = id_filter(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), SLICE):
+            batch = batch.filter(pa.array(may_hold(batch.column(0).to_numpy(zero_copy_only=False))))
+            for a, b in slices(batch.column(1), SLICE) if len(batch) else ():
                 sets = [s.tobytes() for s in shingle_sets(batch.column(1)[a:b], width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())], ["node", "shingles"])
-    return id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(run, "node long, shingles binary")
+    texts = id_text(docs, id_col, text_col).filter("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    return texts.mapInArrow(run, "node long, shingles binary").join(wanted, "node", "left_semi")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,8 +155,7 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def sets_for(nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """Whole sets of the documents named in the column node, written once."""
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col)).join(nodes.select("node").distinct(), "node", "left_semi")
-    return materialise(sets_of(texts, width, "node", text_col), "sets")
+    return materialise(sets_of(docs, nodes, width, id_col, text_col), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -182,10 +189,13 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         step = (now.join(heard, "node", "left").join(told, now["label"] == told["root"], "left")
                 .select("node", F.col("label").alias("before"), F.least("label", F.coalesce("heard", "label"), F.coalesce("told", "label")).alias("label")))
         step = materialise(step, "labels")
+        discard(now)
         up = step.select(F.col("node").alias("root"), F.col("label").alias("above"))
         jumped = step.join(up, step["label"] == up["root"], "left").select("node", "before", F.least("label", F.coalesce("above", "label")).alias("label"))
         now = materialise(jumped, "labels")
+        discard(step)
         if now.filter("before <> label").isEmpty():
+            discard(links)
             return now.select("node", "label")
 
 
@@ -307,9 +317,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, id_c
     """
     stored = materialise(sign(docs, width, id_col=id_col, text_col=text_col), "signed")
     full = stored.filter("n > 0 and doc_id is not null")
-    first = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    signed = (full.join(first, ["set_key"]).filter("doc_id = node").select("node", "set_key", "n", "sig", "bands"))
-    signed = materialise(signed.dropDuplicates(["node", "set_key"]), "nodes")
+    first = materialise(full.groupBy("set_key").agg(F.min("doc_id").alias("node")), "firsts")
+    # the row that gave the least id carries the signature: both columns deal a large group of copies out
+    own = full.join(first.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"], "left_semi")
+    signed = materialise(own.select(F.col("doc_id").alias("node"), "set_key", "n", "sig", "bands").dropDuplicates(["node", "set_key"]), "nodes")
     seats = materialise(centred(signed.select(F.explode("bands").alias("bucket"), "node")), "seats")
     held = estimated(seats.select("centre", "node").distinct(), signed)
     far = min(FAR, percent / 100 - SLACK)
@@ -318,7 +329,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, id_c
     pairs = screened.select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y")).distinct()
     links = confirmed(pairs, docs, percent, width, id_col, text_col)
     # several sets under one doc_id hang together by it
-    same = full.join(first, "set_key").filter("doc_id <> node").join(signed.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+    several = full.select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    same = full.select("doc_id", "set_key").distinct().join(several.select("doc_id"), "doc_id").join(first, "set_key").filter("doc_id <> node")
     links = materialise(links.union(same.select(F.col("node").alias("x"), F.col("doc_id").alias("y")).distinct()), "links")
     labels = components(links)
     loose = materialise(loose_pairs(seats, held, signed, labels, percent, far), "loose")
@@ -328,7 +340,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, id_c
     more = materialise(more, "links")
     if not more.isEmpty():
         labels = components(more.union(links), labels)
-    out = stored.select("doc_id", "n", "set_key").join(first, "set_key", "left").join(labels, "node", "left")
+    named = materialise(first.join(labels, "node", "left"), "named")
+    for t in (signed, seats, held, links, more, loose):
+        discard(t)
+    out = spread_lookup(stored.select("doc_id", "n", "set_key"), named, "set_key", "doc_id")
     reached = F.when(F.col("n") > 0, F.coalesce("label", "node", "doc_id")).otherwise(F.col("doc_id"))
     reached = F.when(F.col("doc_id").isNotNull(), reached)
     return out.select("doc_id", F.col("n").alias("n_shingles"), reached.alias("component_id"), F.coalesce(F.col("doc_id") == reached, F.lit(True)).alias("kept"))
@@ -339,8 +354,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat one doc_id and text one stays.  Rows without doc_id all stay.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
-    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    mine, copy, at = (next(f"{n}{k}" for k in range(len(docs.columns) + 1) if f"{n}{k}" not in docs.columns) for n in ("_kept", "_copies", "_once"))
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias(mine)).distinct()
+    rows = docs.join(kept, F.col(id_col).cast("long") == F.col(mine), "left_semi")
+    # only ids that occur twice can have rows that repeat: their texts alone are compared
+    twice = materialise(docs.groupBy(F.col(id_col).cast("long").alias(mine)).agg(F.count(F.lit(1)).alias(copy)).filter(F.col(copy) > 1).select(mine), "twice")
+    again = F.col(id_col).cast("long") == F.col(mine)
     once = Window.partitionBy(id_col, text_col).orderBy(F.lit(0))
-    rows = rows.withColumn("_once", F.row_number().over(once)).filter("_once = 1").drop("_once")
-    return rows.unionByName(docs.filter(F.col(id_col).isNull()))
+    firsts = rows.join(twice, again, "left_semi").withColumn(at, F.row_number().over(once)).filter(F.col(at) == 1).drop(at)
+    return rows.join(twice, again, "left_anti").unionByName(firsts).unionByName(docs.filter(F.col(id_col).isNull()))
