@@ -300,6 +300,53 @@ def score_replicas(df: DataFrame, make_predict_fn: Callable, n_out: int, name: s
     return df.select("image", "height", "width", "channels", source).mapInPandas(run, schema)
 
 
+def score_models(df: DataFrame, models: dict[str, tuple[Callable, str, int, int, dict]], n_out: int, count: int,
+                 batch_size: int = 64, seed: int = 0, out: str = "logits") -> DataFrame:
+    """The same for many models at once: a picture is read and decoded once, whatever their number.
+
+    ``models`` maps a name to (make_predict_fn, treatment, height, width, options).
+    Models of equal treatment and size see the same replicas, drawn once.  Result:
+    component (the name), image, replica, and the array ``out``.
+    """
+    if count < 1 or not models:
+        raise ValueError("at least one replica and one model are needed")
+    groups: dict[tuple, list[str]] = {}
+    for name, (_, treatment, height, width, options) in models.items():
+        groups.setdefault((treatment, height, width, tuple(sorted(options.items()))), []).append(name)
+    steps = [(*_treatment(t, h, w, count > 1, dict(o)), members) for (t, h, w, o), members in groups.items()]
+    source, token = _sample_column(df), uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, (make, *_) in models.items():
+            if token + name not in _models:
+                _models[token + name] = make()
+        waiting: list[list[tuple]] = [[] for _ in steps]
+
+        def flush(g: int) -> Iterator[pd.DataFrame]:
+            part, waiting[g] = waiting[g], []
+            if part:
+                views = np.stack([p for _, _, p in part])
+                for name in steps[g][2]:
+                    scores = np.asarray(_models[token + name](views), np.float64)
+                    yield pd.DataFrame({"component": name, "image": [i for i, _, _ in part], "replica": [k for _, k, _ in part], out: list(scores)})
+
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                decoded: dict[float, np.ndarray] = {}
+                for g, (step, scale, _) in enumerate(steps):
+                    if scale not in decoded:
+                        decoded[scale] = _read(r, source, scale)
+                    for k in range(count):
+                        waiting[g].append((r["image"], k, step(decoded[scale], Row(r["image"], k, seed, r)).astype(np.float32)))
+                        if len(waiting[g]) == batch_size:
+                            yield from flush(g)
+        for g in range(len(steps)):
+            yield from flush(g)
+    schema = T.StructType([T.StructField("component", T.StringType()), df.schema["image"], T.StructField("replica", T.IntegerType()),
+                           T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.select("image", "height", "width", "channels", source).mapInPandas(run, schema)
+
+
 def score(df: DataFrame, make_predict_fn: Callable, n_out: int, batch_size: int, shape: tuple[int, int, int],
           out: str = "logits", keep: list[str] = ("replica",)) -> DataFrame:
     """Batch-score pictures of one shape with a user's model; pixels are dropped after scoring.

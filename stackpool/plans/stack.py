@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from stackpool.operators import svm as V
 from stackpool.operators.features import fit_preprocessor
 from stackpool.operators.order import global_index
 from stackpool.operators.svm import StackModel
+from stackpool.session import discard, materialise
+from stackpool.sources.tables import exists
 
 SVM_METHODS = ("RBF", "LINEAR_DUAL", "LINEAR_PRIMAL")
 ADD_SCORES = ("none", "probs", "logits")
@@ -52,6 +55,47 @@ def score_component(pictures: DataFrame, model: Callable, name: str, height: int
     return P.pool_scores(scored, ["image"], "logits", pool, n_classes)
 
 
+@dataclass(frozen=True)
+class Component:
+    """One trained model of the ensemble and how its pictures are prepared."""
+    name: str
+    model: Callable
+    treatment: str
+    height: int
+    width: int
+    options: dict = field(default_factory=dict)
+
+
+def predict_components(pictures: DataFrame, components: list[Component], folder: str, count: int, pool: str,
+                       seed: int = 0, n_classes: int = 3) -> DataFrame:
+    """Predictions of all components in one reading of the pictures: component, image, p_m, p_k.
+
+    Each component's pooled lines are a table of its own below ``folder``; one that is
+    there whole is not computed again, so a run that was cut off goes on with the others.
+    An empty table of pictures gives empty tables.
+    """
+    if len({c.name for c in components}) < len(components):
+        raise ValueError("component names must differ")
+    check_scoring(pool, "avg", False, "none", False)
+    spark = pictures.sparkSession
+    path = lambda c: f"{folder.rstrip('/')}/{c.name}"
+    left = [c for c in components if not exists(spark, path(c))]
+    if left:
+        models = {c.name: (c.model, c.treatment, c.height, c.width, c.options) for c in left}
+        scored = I.score_models(pictures, models, n_classes, count, seed=seed)
+        # replicas combine before the shuffle; the pooled rows are few numbers an image
+        pooled = materialise(P.pool_scores(scored, ["component", "image"], "logits", pool, n_classes).select(
+            "component", "image", F.col("probabilities")[1].alias("p_m"), F.col("probabilities")[2].alias("p_k")), "components")
+        for c in left:
+            pooled.filter(F.col("component") == c.name).drop("component").write.mode("overwrite").parquet(path(c))
+        discard(pooled)
+    out = None
+    for c in components:
+        part = spark.read.parquet(path(c)).select(F.lit(c.name).alias("component"), "image", "p_m", "p_k")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def feature_component(pictures: DataFrame, model: Callable, n_features: int, name: str, height: int, width: int,
                       count: int, pool_scores: str = "avg", pool_features: str = "avg", add_scores: str = "logits",
                       seed: int = 0, n_classes: int = 3, **treatment) -> DataFrame:

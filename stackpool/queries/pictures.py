@@ -10,6 +10,7 @@ from stackpool.queries import registry
 from stackpool.queries.registry import query
 from stackpool.queries.scalars import P as PROBS
 from stackpool.queries.views import duck, duck_sample, pictures, view
+from stackpool.session import scratch_path
 from stackpool.sources.images import scan_images
 
 # Samples are compared at nine places: fewer can hit exact halves, as weights are short binary fractions.
@@ -285,10 +286,13 @@ HEAD = [[0.5, -1.0, 0.75], [-0.25, 1.5, -0.5], [1.25, 0.25, -1.0]]
 BIAS = [0.125, -0.25, 0.0]
 
 
-def head(with_features: bool = False):
-    """make_predict_fn of the fixed head; optionally appends the channel means as features."""
+def head(with_features: bool = False, scale: float = 1.0, shift: float = 0.0):
+    """make_predict_fn of the fixed head; optionally appends the channel means as features.
+
+    ``scale`` times the weights and ``shift`` times the class number make heads that differ.
+    """
     def make():
-        w, b = np.array(HEAD), np.array(BIAS)
+        w, b = scale * np.array(HEAD), np.array(BIAS) + shift * np.arange(3)
 
         def predict(batch):
             means = np.asarray(batch, np.float64).mean(axis=(1, 2))
@@ -335,3 +339,18 @@ def component_scores(spark, sf):
 def component_features(spark, sf):
     out = K.feature_component(pictures(spark, sf), head(True), 3, "dermatologic", 5, 5, REPLICAS)
     return out.select("image", *[r4(F.col("features")[j], f"f{j}") for j in range(6)])
+
+
+# seven models by three folds
+_SCALE, _SHIFT = "(1 + f * 0.125)", "(k * 0.0625)"
+
+
+@query("component_predictions", duck(f"""{_POOLED}, w as (select image, 'model' || f || '.' || k as component, {', '.join(
+    f"(z{j} - ({BIAS[j]})) * {_SCALE} + ({BIAS[j]}) + {j} * {_SHIFT} as z{j}" for j in range(3))}
+    from z, (select unnest(range(7)) as f), (select unnest(range(1, 4)) as k))
+    select component, image, {d4(f'avg({PROBS[1]})', 'p_m')}, {d4(f'avg({PROBS[2]})', 'p_k')} from w group by component, image""", V1))
+def component_predictions(spark, sf):
+    """All 21 predictions of every picture from one reading of it."""
+    parts = [K.Component(f"model{f}.{k}", head(False, 1 + f * 0.125, k * 0.0625), "dermatologic", 5, 5) for f in range(7) for k in (1, 2, 3)]
+    found = K.predict_components(pictures(spark, sf), parts, scratch_path(spark, "predictions"), REPLICAS, "avg")
+    return found.select("component", "image", r4(F.col("p_m"), "p_m"), r4(F.col("p_k"), "p_k"))

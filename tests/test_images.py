@@ -197,3 +197,40 @@ def test_scoring_in_one_crossing_equals_scoring_stored_pixels(spark):
     two = {(r["image"], r["replica"]): r["logits"] for r in I.score(views, make, 3, 4, (6, 6, 3)).collect()}
     assert one.keys() == two.keys() and len(one) == 15
     assert all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
+
+
+def test_components_share_one_reading_and_resume(spark, tmp_path):
+    from stackpool.plans import stack as K
+    pics = table(spark, {f"p{i}": mesh(6 + i % 2, 7) * (i + 1) % 256 for i in range(9)}).repartition(3)
+
+    def head(scale, fails=False):
+        def make():
+            if fails:
+                raise RuntimeError("must not run")
+            return lambda batch: np.asarray(batch, np.float64).mean(axis=(1, 2)) * scale
+        return make
+    parts = [K.Component(f"c{i}", head(i + 1), "dermatologic", 4 + i // 3, 4, {"normalise": 0}) for i in range(5)]
+    got = K.predict_components(pics, parts, str(tmp_path / "run"), 3, "avg")
+    rows = {(r["component"], r["image"]): (r["p_m"], r["p_k"]) for r in got.collect()}
+    assert len(rows) == 5 * 9
+    for c in parts:
+        one = K.component_projection(K.score_component(pics, c.model, c.treatment, c.height, c.width, 3, "avg", normalise=0))
+        for r in one.collect():
+            assert rows[c.name, r["image"]] == pytest.approx((r["p_m"], r["p_k"]), abs=1e-9)
+    # a run that was cut off: one component is whole, one was left without its mark
+    again = tmp_path / "again"
+    got.filter("component = 'c1'").drop("component").write.parquet(str(again / "c1"))
+    got.filter("component = 'c2'").drop("component").limit(2).write.parquet(str(again / "c2"))
+    (again / "c2" / "_SUCCESS").unlink()
+    parts[1] = K.Component("c1", head(2, True), "dermatologic", 4, 4, {"normalise": 0})
+    resumed = K.predict_components(pics, parts, str(again), 3, "avg")
+    assert {(r["component"], r["image"]): (r["p_m"], r["p_k"]) for r in resumed.collect()} == rows
+    with pytest.raises(ValueError):
+        K.predict_components(pics, [parts[0], parts[0]], str(again), 3, "avg")
+
+
+def test_components_read_the_pictures_once(spark):
+    pics = table(spark, {"p": mesh(6, 6)})
+    models = {f"m{i}": (None, "dermatologic", 4, 4, {}) for i in range(21)}
+    text = I.score_models(pics, models, 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInPandas") == 1
