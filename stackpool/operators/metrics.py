@@ -16,15 +16,19 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def ranking_metrics(df: DataFrame, score: str, positive: str, series: list[str] | None = None,
-                    buckets: int | None = None, store: bool = False) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Per series: exact ROC AUC (ties count half) and average precision.
 
     ``ap`` sums precision over recall steps; ``ap_trapezoid`` joins the points
     by straight lines, starting at recall 0 and precision 1.  A metric that is
     undefined because one class is missing is null.
     """
+    return curve_metrics(score_curve(df, score, positive, series, buckets), series)
+
+
+def curve_metrics(c: DataFrame, series: list[str] | None = None) -> DataFrame:
+    """The same from a curve."""
     series = list(series or [])
-    c = score_curve(df, score, positive, series, buckets, store)
     p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp = (F.col("pos_total") - F.col("pos_below")).cast("double")
     fp = (F.col("neg_total") - F.col("neg_below")).cast("double")
@@ -73,7 +77,7 @@ def confusion_matrix(df: DataFrame, truth: str, prediction: str) -> DataFrame:
 
 def metrics_row(pooled: DataFrame, truth: str, checkpoint: str, n_classes: int = 3) -> DataFrame:
     """One row: checkpoint, acc, auc of classes 1 and 2, ap of classes 1 and 2, mean auc."""
-    m = ranking_metrics(one_vs_rest(pooled, "probabilities", truth, n_classes), "score", "y", ["class"], store=True)
+    m = ranking_metrics(one_vs_rest(pooled, "probabilities", truth, n_classes), "score", "y", ["class"])
     cells = m.select(F.explode(F.array(
         F.struct(F.concat(F.lit("auc"), F.col("class").cast("string")).alias("name"), F.col("auc").alias("value")),
         F.struct(F.concat(F.lit("map"), F.col("class").cast("string")).alias("name"), F.col("ap").alias("value")))).alias("cell"))

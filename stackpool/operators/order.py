@@ -4,6 +4,7 @@
 ``with_previous``    value of the row before, over a dense index, in fixed-size chunks
 ``run_starts``       start position of the run of equal values a row belongs to
 ``running_before``   running aggregate of all earlier rows of a series
+``score_counts``     positives and negatives at each distinct score, which merge
 ``score_curve``      per distinct score: counts at and below it, for AUC and AP
 
 A series or value that holds a third of all rows is spread over many chunks;
@@ -143,32 +144,41 @@ def add_bucket(df: DataFrame, score: str, borders: list[float], name: str = "_bu
     return found.withColumn(name, F.col("_b").cast("int")).drop("_b")
 
 
-def score_curve(df: DataFrame, score: str, positive: str, series: list[str] | None = None,
-                buckets: int | None = None, store: bool = False) -> DataFrame:
-    """Per (series, distinct score): positives and negatives at it, below it and in total.
-
-    Equal scores collapse in a map-side partial aggregate before any shuffle,
-    so a score shared by a third of the rows costs one row.  A bucket then holds
-    at most about 1/n of the rows, whatever the distribution of the score.
+def score_counts(df: DataFrame, score: str, positive: str, series: list[str] | None = None) -> DataFrame:
+    """Positives and negatives at each distinct score of a series: (series, score, pos, neg).
 
-    The rows are read three times: for the borders, for the totals per bucket
-    (both combine to a few numbers per task) and for the scores.  ``store``
-    writes the three slim columns once first, for rows that are costly to make.
+    Counts of disjoint rows add up, so tables of them can be merged.
     """
     series = list(series or [])
     value, label = F.col(score).cast("double"), F.col(positive).cast("long")
     bad = F.raise_error(F.lit(f"a score in {score} or a label in {positive} is null or not a number"))
     slim = df.select(*series, F.when(value.isNull() | F.isnan(value) | label.isNull(), bad).otherwise(value).alias("score"), label.alias("_y"))
-    if store:
-        slim = materialise(slim, "scores")
-    slim = add_bucket(slim, "score", score_buckets(slim, "score", buckets))
-    pos, neg = F.sum("_y"), F.sum(1 - F.col("_y"))
-    by_score = slim.groupBy(*series, "_bucket", "score").agg(pos.alias("pos"), neg.alias("neg"))
+    return slim.groupBy(*series, "score").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
+
+
+def score_curve(df: DataFrame, score: str, positive: str, series: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Per (series, distinct score): positives and negatives at it, below it and in total.
+
+    The rows are read once: equal scores collapse in a map-side partial aggregate,
+    so a score shared by a third of the rows costs one row, and the counts of
+    distinct scores are stored.
+    """
+    return curve_of_counts(materialise(score_counts(df, score, positive, series), "scores"), series, buckets)
+
+
+def curve_of_counts(counts: DataFrame, series: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """The curve of a stored table of ``score_counts``.
+
+    Its rows are read for the borders of the ranges of scores, for the totals of
+    the ranges (both combine to a few numbers per task) and for the ranks within.
+    """
+    series = list(series or [])
+    ranged = add_bucket(counts, "score", score_buckets(counts, "score", buckets))
     inside = Window.partitionBy(*series, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    local = by_score.select("*", F.coalesce(F.sum("pos").over(inside), F.lit(0)).alias("_pin"),
-                            F.coalesce(F.sum("neg").over(inside), F.lit(0)).alias("_nin"))
-    # at most n buckets per series; taken from the rows, so that no large shuffle is repeated for them
-    sums = slim.groupBy(*series, "_bucket").agg(pos.alias("_p"), neg.alias("_n"))
+    local = ranged.select("*", F.coalesce(F.sum("pos").over(inside), F.lit(0)).alias("_pin"),
+                          F.coalesce(F.sum("neg").over(inside), F.lit(0)).alias("_nin"))
+    # at most n buckets per series
+    sums = ranged.groupBy(*series, "_bucket").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     whole = Window.partitionBy(*series)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(

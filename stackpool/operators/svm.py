@@ -489,7 +489,7 @@ def _fold_results(df: DataFrame, width: int, keys: list[tuple[str, int, int]], p
     settings = [Setting(tasks[task], penalty(t), f, t if bases else -1) for task, t, f in keys]
     weights = fit(df, settings, width, features, label, max_iter, bases=bases)
     scored = held_out_scores(df, weights, settings, features, label, bases)
-    aucs = ranking_metrics(scored, "score", "y", ["setting"], store=True)
+    aucs = ranking_metrics(scored, "score", "y", ["setting"])
     auc = {r["setting"]: r["auc"] for r in aucs.select("setting", "auc").collect()}      # one row per setting
     return [(task, t, f, penalty(t), None, sizes.get(f, 0), auc.get(i)) for i, (task, t, f) in enumerate(keys)]
 

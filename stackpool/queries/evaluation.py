@@ -96,7 +96,7 @@ OVR = "o as (" + " union all ".join(
 def _ovr(spark, sf):
     rows = M.one_vs_rest(pooled_scores(spark, sf), "probabilities", "truth", 3)
     # sums of doubles differ in the last bit between engines; scores are compared at twelve places
-    return M.ranking_metrics(rows.withColumn("score", F.round("score", 12)), "score", "y", ["class"], store=True)
+    return M.ranking_metrics(rows.withColumn("score", F.round("score", 12)), "score", "y", ["class"])
 
 
 @query("auc_ovr", duck(f"with pooled as ({pooled_sql('avg')}), {OVR} select class, {d6('auc', 'auc')}, {d6('ap', 'ap')} from ({metric_sql('o', 'class')})", "v_logits"))
@@ -263,3 +263,25 @@ def stream_checkpoints(spark, sf):
         .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+_MODEL = "concat('m', cast(vec_id % 3 as string))"
+
+
+@query("stream_metrics", duck(f"""with pooled as ({pooled_sql('avg')}), pr as (select {_MODEL} as model, *, {ARGMAX.format('p0', 'p1', 'p2')} as prediction from pooled),
+    o as ({" union all ".join(f"select model, {j} as class, round(p{j}, 12) as score, case when truth={j} then 1 else 0 end as y from pr" for j in (1, 2))}),
+    a as ({metric_sql('o', 'model, class')}), c as (select model, count(*) as n, avg(case when truth=prediction then 1.0 else 0.0 end) as acc from pr group by model),
+    w as (select model, max(case when class=1 then auc end) as a1, max(case when class=2 then auc end) as a2, max(case when class=1 then ap end) as m1, max(case when class=2 then ap end) as m2 from a group by model)
+    select model, n, {d6('acc', 'acc')}, {d6('a1', 'auc1')}, {d6('a2', 'auc2')}, {d6('m1', 'map1')}, {d6('m2', 'map2')}, {d6('(a1+a2)/2', 'isbi')} from c join w using (model)""", "v_logits"))
+def stream_metrics(spark, sf):
+    """Predictions arrive in four micro-batches; the metrics after the last one."""
+    out = scratch_path(spark, "evaluation")
+    rows = pooled_scores(spark, sf).select(F.expr(_MODEL).alias("model"), F.col("truth").cast("int").alias("truth"), F.col("prediction").cast("int").alias("prediction"),
+                                           F.transform("probabilities", lambda p: F.round(p, 12)).alias("probabilities"), F.pmod(F.xxhash64("vec_id"), F.lit(4)).alias("part"))
+    rows.repartition(4, "part").drop("part").write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    L.run_evaluation(spark, stream, f"{out}/found", f"{out}/state").awaitTermination()
+    found = spark.read.parquet(f"{out}/found/metrics")
+    last = found.groupBy("model").agg(F.max("batch").alias("batch"))
+    found = found.join(last, ["model", "batch"])
+    return found.select("model", "n", *[r6(c) for c in ("acc", "auc1", "auc2", "map1", "map2", "isbi")])

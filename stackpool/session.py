@@ -93,12 +93,17 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own, if it is there."""
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and nothing will read again; other frames are left alone."""
     path = df.__dict__.pop("_scratch", None)
     if path:
-        fs, at = _hadoop(df.sparkSession, path)
-        fs.delete(at, True)
+        remove(df.sparkSession, path)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

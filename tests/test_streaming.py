@@ -42,3 +42,64 @@ def test_newest_checkpoint_and_best(spark):
     files = spark.createDataFrame([("m", "a", 1), ("m", "c", 3), ("m", "b", 3)], "model string, path string, t int")
     assert L.latest(files, ["model"], "path", "t").first()["path"] == "c"
     assert L.best_score(files.withColumn("score", F.col("t") * 1.0)).first()["best"] == 3.0
+
+
+def test_a_hot_model_is_spread_over_chunks(spark, tmp_path, monkeypatch):
+    from stackpool.operators import order
+    monkeypatch.setattr(order.running_before, "__defaults__", (64,))
+    rows = [("hot" if i % 3 else f"m{i % 5}", f"c{i}", i, None if i % 11 == 0 else (i * 37 % 101) / 50) for i in range(900)]
+    one, two = (spark.createDataFrame([r for r in rows if lo <= r[2] < hi], SCHEMA) for lo, hi in ((0, 500), (500, 900)))
+    known = L.advanced(one, None).groupBy("model").agg(F.max("score").alias("best"))
+    got = L.advanced(one, None).unionByName(L.advanced(two, known))
+    want = L.improvements(spark.createDataFrame(rows, SCHEMA))
+    cols = ["model", "seq", "best_before", "improved"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in text and "Python" not in text
+
+
+PREDICTIONS = "model string, truth int, prediction int, probabilities array<double>"
+
+
+def predictions(n, seed):
+    import random
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        p = [rng.randint(0, 9) / 10 for _ in range(3)]
+        out.append(("a" if rng.random() < 0.7 else "b", rng.randrange(3), max(range(3), key=p.__getitem__), p))
+    return out
+
+
+def test_metrics_follow_the_stream_without_reading_again(spark, tmp_path):
+    from stackpool.operators import metrics as M
+    source, folder, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    parts = [predictions(40, 1), predictions(25, 2), [("c", 1, 1, [0.1, 0.8, 0.1])]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, PREDICTIONS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(PREDICTIONS).parquet(source)
+        L.run_evaluation(spark, stream, folder, state).awaitTermination()
+        so_far = [r for part in parts[:k + 1] for r in part]
+        got = {r["model"]: r for r in spark.read.parquet(f"{folder}/metrics/batch={k}").collect()}
+        assert set(got) == {r[0] for r in rows}
+        for model, r in got.items():
+            mine = spark.createDataFrame([x for x in so_far if x[0] == model], PREDICTIONS)
+            want = M.metrics_row(mine, "truth", "x").first()
+            assert r["n"] == mine.count()
+            for c in ("acc", "auc1", "auc2", "map1", "map2", "isbi"):
+                assert (r[c] is None) == (want[c] is None) and (r[c] is None or abs(r[c] - want[c]) < 1e-12)
+    # one model of one class: undefined metrics are null; two versions of the counts stay
+    assert got["c"]["auc1"] is None
+    assert sorted(p.name for p in (tmp_path / "out" / "scores").iterdir()) == ["v=1", "v=2"]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("m", "c1", 1, 0.5), ("m", "c2", 2, 0.7)], SCHEMA)
+    folder = str(tmp_path / "state")
+    for _ in range(2):
+        L._leave(rows.groupBy("model").agg(F.max("score").alias("best")), folder, 0)
+    for _ in range(2):
+        known = L._version(spark, folder, 1)
+        again = L.advanced(spark.createDataFrame([("m", "c3", 3, 0.7005)], SCHEMA), known).collect()
+        assert [(r["best_before"], r["improved"]) for r in again] == [(0.7, False)]
+        L._leave(known, folder, 1)
