@@ -86,19 +86,24 @@ class CoverTree:
 class _Best:
     """The k best of each query so far, by score, then by smaller id."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, repeats: bool = False):
         self.k = k
+        # whether an id may come more than once: it then counts with its best score alone
+        self.repeats = repeats
         self.scores = [np.zeros(0)] * queries
         self.ids = [np.zeros(0, dtype=np.int64)] * queries
         self.worst = np.full(queries, -np.inf)
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        if len(scores) > self.k:
+        if len(scores) > self.k and not self.repeats:
             keep = scores >= max(self.worst[q], np.partition(scores, -self.k)[-self.k])
         else:
             keep = scores >= self.worst[q]
         scores, ids = np.concatenate([self.scores[q], scores[keep]]), np.concatenate([self.ids[q], ids[keep]])
-        best = np.lexsort((ids, -scores))[:self.k]
+        best = np.lexsort((ids, -scores))
+        if self.repeats:
+            best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+        best = best[:self.k]
         self.scores[q], self.ids[q] = scores[best], ids[best]
         if len(best) == self.k:
             self.worst[q] = scores[best[-1]]
@@ -106,7 +111,7 @@ class _Best:
 
 def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int):
     """Rows (query id, vec id, score) of the k best of each query among the data; ids are given by place."""
-    best = _Best(len(query_ids), k)
+    best = _Best(len(query_ids), k, len(np.unique(data_ids)) < len(data_ids))
 
     def compare(q: int, nodes: np.ndarray) -> None:
         """Meet a query node with data nodes: prune, then divide the data, then the queries."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stackpool.llm import lines, merkle, whitening
+from stackpool.llm import dualtree, lines, merkle, rpforest, whitening
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, h1 long, place int, size long"
 BLANK = " \t\n\x0b\x0c\r"
@@ -220,3 +220,24 @@ def test_deviations_of_any_size():
     n = 10 ** 6
     sums = [10 ** 12 + 5, 10 ** 12 - 7]
     assert whitening._deviations(x, n, sums).tolist() == [sum((n * int(a) - s) ** 2 for a, s in zip(x[0], sums))]
+
+
+# --- searches over repeated ids ---------------------------------------------------------------------
+
+def test_copies_of_an_id_take_one_place(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 4)).round(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in range(1, 60) for _ in range(6)]
+    # another vector under an id that is there already
+    rows += [(5, x[6].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = df.filter("vec_id = 0")
+    whole = {i: [np.floor(256 * np.array(v)) for j, v in rows if j == i] for i in range(60)}
+    score = {i: max(int(whole[0][0] @ v) for v in vs) for i, vs in whole.items() if i}
+    want = sorted(score.items(), key=lambda r: (-r[1], r[0]))[:5]
+    for chunk in (16, 4096):
+        got = dualtree.top_k(df, asked, 5, chunk=chunk).orderBy("rank").collect()
+        assert [(r["vec_id"], r["score"]) for r in got] == want
+    far = {i: min(np.linalg.norm(x[0] - np.array(v)) for j, v in rows if j == i) for i in range(1, 60)}
+    near = rpforest.nearest(df, asked, 10).orderBy("rank").collect()
+    assert [r["vec_id"] for r in near] == [i for i, _ in sorted(far.items(), key=lambda r: (r[1], r[0]))[:10]]
