@@ -170,7 +170,7 @@ def _summed_products(df: DataFrame, width: int, columns: list[str], keys: list[i
                 yield pd.DataFrame({"key": [key], "at": [at], "part": [t]})
 
         schema = "key int, at int, part array<double>"
-        summed = df.select(*columns).mapInPandas(partial, schema).repartition(FAN_IN, "key", "at").mapInPandas(add, schema)
+        summed = df.select(*columns).mapInPandas(partial, schema).repartition("key", "at").mapInPandas(add, schema)
         flats = {key: np.zeros(len(upper[0])) for key in group}
         for batch in summed.toArrow().to_batches():
             for key, at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
