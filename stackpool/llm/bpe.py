@@ -5,10 +5,16 @@ recursive query holds one row per token position, joins neighbours with the merg
 table and contracts the least-ranked pair of each word until no pair is left.
 Decoding joins the ids with the vocabulary and aggregates their bytes in order.
 
-In long words all occurrences of the least-ranked pair are contracted in one step,
-the leftmost first where they overlap.  That equals one at a time, leftmost first:
-a contraction never makes a pair of lower rank, if every vocabulary entry encodes
-to itself, as in any vocabulary made by merges.
+The rows of a query are bounded: after a number of steps that follows from its
+letters, words that are not done go on in another query from where they stand.
+
+A long word is cut into blocks that overlap; each is contracted by itself, and two
+neighbours are joined at a token that both have at the same place.  That is exact.
+Contraction inside two tokens that end up side by side never looks beyond them, so
+a row of tokens is the encoding of its bytes if and only if every two neighbours
+are the encoding of theirs; and every two neighbours of the joined row are
+neighbours in some block.  Where no token is shared, a block that starts at a token
+bridges the gap, twice as long each time, up to the whole word.
 """
 
 from __future__ import annotations
@@ -29,13 +35,15 @@ from stackpool.llm.common import id_text, slices
 CACHE_WORDS, CACHED_WORD = 3 << 17, 64
 #: Words of one query, and bytes of text taken at a time.
 QUERY_WORDS, SLICE = 50_000, 6 << 20
-#: Characters beyond which a word is contracted at all pairs of least rank at once, so that its steps are at most the ranks it meets.
-LONG_WORD = 256
+#: Letters and, about, rows of all steps of one query.
+QUERY_LETTERS, QUERY_ROWS = 500_000, 6_000_000
+#: Characters beyond which a word is encoded by blocks; bytes of a block, and from one block to the next.
+LONG_WORD, BLOCK, STRIDE = 128, 128, 96
 #: Ids decoded by one query.
 DECODE_IDS = 1 << 20
 
-_LAST = ("select t.word, list(tok order by pos) as ids from t join (select word, max(step) as step from t group by word) l "
-         "on t.word = l.word and t.step = l.step group by t.word")
+_LAST = ("select t.word, list(tok order by pos) as ids, any_value(t.step) as step from t join (select word, max(step) as step from t group by word) l "
+         "on t.word = l.word and t.step = l.step group by t.word order by t.word")
 # the leftmost pair of least rank of every word: a key holds rank and place, nxt the place of the token behind (-1: none)
 _ENCODE = f"""
 with recursive t(word, pos, tok, nxt, step) as (
@@ -46,10 +54,11 @@ with recursive t(word, pos, tok, nxt, step) as (
         select word, (min(key) >> 20)::int as best, (min(key) & 1048575)::int as at, arg_min(behind, key) as gone, arg_min(after, key) as after from (
             select x.word, y.pos as behind, y.nxt as after, (m.merged::bigint << 20) + x.pos as key
             from t x join t y on y.word = x.word and y.pos = x.nxt join merges m on m.a = x.tok and m.b = y.tok) group by word) g on n.word = g.word
-    where n.pos <> g.gone
+    where n.pos <> g.gone and n.step < getvariable('steps')
 )
 {_LAST}"""
-# all pairs of least rank of every word in one step
+# all pairs of least rank of every word in one step, the leftmost first where they overlap: equal to one at a time, since a
+# contraction never makes a pair of lower rank if every entry of the vocabulary encodes to itself
 _ENCODE_LONG = f"""
 with recursive t(word, pos, tok, step) as (
     select word, pos, tok, 0 from letters
@@ -61,7 +70,7 @@ with recursive t(word, pos, tok, step) as (
                     select *, coalesce(merged = best, false) as hit from (
                         select *, min(merged) over (partition by word) as best from (
                             select n.*, m.merged
-                            from (select *, lead(tok) over (partition by word order by pos) as next from t) n
+                            from (select *, lead(tok) over (partition by word order by pos) as next from t where step < getvariable('steps')) n
                             left join merges m on m.a = n.tok and m.b = n.next)))))
         where best is not null)
     where not gone
@@ -91,6 +100,8 @@ class Coder:
             join vocabulary l on l.piece = left(w.piece, w.cut) join vocabulary r on r.piece = substr(w.piece, w.cut + 1)""")
         self.db.unregister("given")
         self.letter = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.width[list(ranks.values())] = list(map(len, ranks))
         # words of late, and those before them
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -106,26 +117,92 @@ class Coder:
                     self.kept[w] = self.older[w]
                 else:
                     new.append(w)
-        for query, some in ((_ENCODE, [w for w in new if len(w) <= LONG_WORD]), (_ENCODE_LONG, [w for w in new if len(w) > LONG_WORD])):
-            for at in range(0, len(some), QUERY_WORDS):
-                own.update(self._contracted(query, some[at:at + QUERY_WORDS]))
+        short, long = [w for w in new if len(w) <= LONG_WORD], [w for w in new if len(w) > LONG_WORD]
+        own.update(self._contracted(_ENCODE, short))
+        own.update(zip(long, self._by_blocks([w.encode() for w in long])))
         found = [own[w] if w in own else self.kept[w] for w in words]
         self.kept.update((w, ids) for w, ids in own.items() if len(w) <= CACHED_WORD)
         return np.frombuffer(b"".join(found), dtype="<i4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
 
     def _contracted(self, query: str, words: list[str]) -> dict[str, bytes]:
-        raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        letters = pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
-                            "pos": (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
-                            "tok": self.letter[np.frombuffer(b"".join(raw), dtype=np.uint8)]})
-        self.db.register("letters", letters)
+        return dict(zip(words, self._fixpoints(query, [w.encode() for w in words])))
+
+    def _fixpoints(self, query: str, raw: list[bytes]) -> list[bytes]:
+        """Ids of each byte string, contracted until no pair is left."""
+        out = [b""] * len(raw)
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        block = np.maximum((ends - 1) // QUERY_LETTERS, 0) * len(raw) + np.arange(len(raw)) // QUERY_WORDS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(raw)]
+        for a, b in zip(cuts, cuts[1:]):
+            which = list(range(a, b))
+            lists = [self.letter[np.frombuffer(raw[i], dtype=np.uint8)] for i in which]
+            while which:
+                steps = max(4, QUERY_ROWS // (sum(map(len, lists)) + 1))
+                lists, last = self._steps(query, lists, steps)
+                going = []
+                for k, i in enumerate(which):
+                    if last[k] < steps:
+                        out[i] = lists[k].astype("<i4").tobytes()
+                    else:
+                        going.append(k)
+                which, lists = [which[k] for k in going], [lists[k] for k in going]
+        return out
+
+    def _steps(self, query: str, lists: list[np.ndarray], steps: int) -> tuple[list[np.ndarray], list[int]]:
+        """The tokens of each word after at most ``steps`` steps, and the steps it took."""
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self.db.register("letters", pa.table({
+            "word": np.repeat(np.arange(len(lists), dtype=np.int32), sizes),
+            "pos": (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), "tok": np.concatenate(lists)}))
+        self.db.execute(f"set variable steps = {steps}")
         found = self.db.sql(query).to_arrow_table()
         self.db.unregister("letters")
-        lists = found["ids"].combine_chunks()
-        flat = lists.flatten().to_numpy().astype("<i4").tobytes()
-        ends = (4 * np.cumsum(lists.value_lengths().to_numpy())).tolist()
-        return {words[i]: flat[a:b] for i, a, b in zip(found["word"].to_pylist(), [0, *ends], ends)}
+        ids = found["ids"].combine_chunks()
+        flat, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy()).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)], found["step"].to_pylist()
+
+    def _by_blocks(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each long word."""
+        out: list[bytes] = []
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(words)]
+        for a, b in zip(cuts, cuts[1:]):
+            blocks = list(dict.fromkeys(w[at:at + BLOCK] for w in words[a:b] for at in _starts(w)))
+            known = dict(zip(blocks, self._fixpoints(_ENCODE, blocks)))
+            out += [self._joined(w, known) for w in words[a:b]]
+        return out
+
+    def _joined(self, word: bytes, known: dict[bytes, bytes]) -> bytes:
+        """Ids of a word from those of its blocks."""
+        parts, at, tail = [], 0, np.frombuffer(known[word[:BLOCK]], dtype="<i4")
+        for start in _starts(word)[1:]:
+            end = min(start + BLOCK, len(word))
+            if at + int(self.width[tail].sum()) >= end:
+                continue  # a bridge went as far
+            head = np.frombuffer(known[word[start:end]], dtype="<i4")
+            kept = self._shared(tail, at, head, start)
+            tries = len(tail) // 2
+            while kept is None:
+                start = at + int(self.width[tail[:tries]].sum())
+                end = min(max(end, start + 2 * (end - start)), len(word))
+                piece = word[start:end]
+                if piece not in known:
+                    known[piece] = self._fixpoints(_ENCODE if len(piece) <= 4 * BLOCK else _ENCODE_LONG, [piece])[0]
+                head = np.frombuffer(known[piece], dtype="<i4")
+                kept = self._shared(tail, at, head, start)
+                if kept is None and tries == 0 and end == len(word):
+                    return self._fixpoints(_ENCODE_LONG, [word])[0]
+                tries //= 2
+            parts.append(tail[:kept[0]])
+            at, tail = start + int(self.width[head[:kept[1]]].sum()), head[kept[1]:]
+        return np.concatenate([*parts, tail]).astype("<i4").tobytes()
+
+    def _shared(self, a: np.ndarray, a_at: int, b: np.ndarray, b_at: int) -> tuple[int, int] | None:
+        """Places of the first token that stands in both rows of tokens at the same place of the word."""
+        a_starts, b_starts = a_at + np.cumsum(self.width[a]) - self.width[a], b_at + np.cumsum(self.width[b]) - self.width[b]
+        _, i, j = np.intersect1d(a_starts, b_starts, assume_unique=True, return_indices=True)
+        same = np.flatnonzero(a[i] == b[j])
+        return (int(i[same[0]]), int(j[same[0]])) if len(same) else None
 
     def decode(self, lists: pa.Array) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -140,6 +217,11 @@ class Coder:
         return out
 
 
+def _starts(word: bytes) -> range:
+    """Where the blocks of a word start; the last one reaches its end."""
+    return range(0, max(1, len(word) - BLOCK + STRIDE), STRIDE)
+
+
 _coders: dict[int, Coder] = {}
 
 

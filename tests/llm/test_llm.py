@@ -294,6 +294,33 @@ def test_both_ways_of_contraction_agree():
     assert sizes.max() == 1 and flat.tolist() == list(entries.values())
 
 
+def test_long_words_equal_the_library(monkeypatch):
+    import tiktoken
+    ranks, rng = bpe.read_ranks(RANKS), random.Random(5)
+    whole = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.Coder(ranks)
+
+    def drawn(n, letters):
+        return "".join(rng.choices(letters, k=n))
+
+    def hold(words):
+        flat, sizes = coder.encode_words(words)
+        for w, ids in zip(words, np.split(flat, np.cumsum(sizes)[:-1])):
+            assert ids.tolist() == whole.encode_ordinary(w), w[:80]
+
+    alphabets = ("abcdefghijklmnopqrstuvwxyz", "ABCDabcd0123+/", "ab", "a", "é日x", "-=", "then ", "01")
+    mixed = [drawn(rng.randint(100, 500), a) for a in alphabets for _ in range(12)]
+    periodic = [(drawn(rng.randint(1, 9), a) * 400)[:rng.randint(200, 900)] for a in alphabets for _ in range(6)]
+    hold(mixed + periodic)
+    # words of 40,000 letters, and many of 200, which together go beyond one query
+    hold([drawn(40_000, alphabets[0]), "-" * 30_000, "abc" * 10_000] + [drawn(200, alphabets[0]) for _ in range(2_600)])
+    # blocks too short to share tokens: bridges, and whole words; queries that stop after four steps
+    monkeypatch.setattr(bpe, "BLOCK", 12)
+    monkeypatch.setattr(bpe, "STRIDE", 11)
+    monkeypatch.setattr(bpe, "QUERY_ROWS", 1)
+    hold([w[:150] for w in mixed + periodic if len(w) > 150][::4])
+
+
 # --- near duplicates ----------------------------------------------------------------------------
 
 def shingles(text):
