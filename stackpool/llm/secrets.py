@@ -1,10 +1,15 @@
 """Secret scan: three base patterns, and assignment-aware lexing of source and configuration text.
 
-The lexer starts at every separator (``=``, ``:``, ``:=``, ``=>``) that stands
-between a name and a value, and reads name and value around it.  A value is a
-quoted literal, several joined by ``+``, a bare word, or another name.  Names
-bound to literals are propagated through ``a = b`` in any order.  A literal is
-scored by the words of every name it reaches and by its own shape.
+One pass from left to right over the lines that hold a separator (``=``, ``:``,
+``:=``, ``=>``) or an element reads names, quoted literals (single and triple
+quotes), brackets and operators.  A name (or a quoted key, or the index of a
+subscript) before a separator gets the value behind it: quoted literals and names
+joined by ``+``, or one bare word.  ``name: Type = value`` is one assignment, the
+type is not its value.  ``<name>value</name>`` and ``key="name" value="..."`` are
+assignments too.  A name in a value stands for what it was assigned last before
+that place, or first behind it if it was not yet.  A literal is scored by the words
+of every name that it reaches and by its own shape.  Scopes are not told apart.
+Time is linear in the text.
 """
 
 from __future__ import annotations
@@ -25,20 +30,34 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-_SEPARATOR = re.compile(r":=|=>|(?<![=!<>:+\-*/%&|^~])=(?![=~])|:(?![:/=])")
-_NAME_CHAR = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
-_QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
-_PLUS = re.compile(r"[ \t]*(?:\+|\\\n)[ \t]*")
-_NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?(?![A-Za-z0-9+/=@%])")
-_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+_TOKEN = re.compile(r"""
+    (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.\-$]+[A-Za-z0-9_]+)*)
+  | (?P<quote>\"{3}|\'{3}|["'`])
+  | (?P<sep>:=|=>|(?<![=!<>:+\-*/%&|^~])=(?![=~])|(?<!:):(?![:/=]))
+  | (?P<line>\n)
+""", re.X)
+# what follows an opening quote; the quote itself is the group's name
+_CLOSED = {q: re.compile(p) for q, p in {
+    '"': r'((?:[^"\\\n]|\\.)*+)"', "'": r"((?:[^'\\\n]|\\.)*+)'", "`": r"([^`\n]*+)`",
+    '"""': r'([\s\S]*?)"""', "'''": r"([\s\S]*?)'''"}.items()}
+_BLANK = re.compile(r"[ \t]*")
+_PLUS = re.compile(r"[ \t]*(?:\+[ \t]*(?:\\?\r?\n[ \t]*)?|\\\r?\n[ \t]*)")
+_OPERAND = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*+)\}?(?![A-Za-z0-9+/=@%$!#^&*~?:|\\(\[])")
+_TYPE = re.compile(r"[A-Za-z_][\w.\[\]<>|?, ]{0,80}?(?==)")
+_BARE = re.compile(r"([^\s\"'`,;(){}\[\]<>=:]++(?::[^\s\"'`,;(){}\[\]<>=:]++)*+)(={0,2})(?![^\s\"'`,;){}\]<>])")
+_RUN = re.compile(r"[^\s\"'`,;(){}\[\]<>=]*+")
+_KEY = re.compile(r"[\w.$ \-]{1,64}")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]{0,63})>([^<>\n]++)</(?=([A-Za-z_][\w.\-]{0,63})>)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
+_PREFIXES = frozenset(("b", "r", "f", "u", "br", "rb", "fr", "rf"))
+
 #: Weight of a word in a name; a literal needs THRESHOLD in all.
 NAME_WEIGHT = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 3.0, "pass": 2.0, "secret": 3.0, "token": 2.5, "credential": 2.5,
                "credentials": 2.5, "apikey": 3.0, "auth": 1.5, "private": 1.5, "access": 1.0, "api": 1.0, "client": 0.5, "signing": 1.0,
                "encryption": 1.0, "key": 1.5, "salt": 1.0, "bearer": 2.0, "cookie": 1.0, "session": 1.0}
 THRESHOLD = 4.0
-PLACEHOLDERS = frozenset(("changeme", "example", "password", "secret", "placeholder", "none", "null", "true", "false", "undefined", "todo", "required"))
+PLACEHOLDERS = frozenset(("changeme", "example", "password", "secret", "placeholder", "none", "null", "true", "false", "undefined", "todo", "required", "[secret]"))
 
 
 def name_weight(name: str) -> float:
@@ -57,83 +76,135 @@ def shape_weight(literal: str) -> float:
     return min(1.5, max(0.0, entropy - 2.0) * 0.75) + (0.5 * (kinds - 1) if kinds > 1 else -0.5) + (0.5 if n >= 16 else 0.0)
 
 
-def _name_before(text: str, at: int) -> tuple[str, int]:
-    """The name that ends before position ``at``, with its start; '' if there is none."""
-    i = at
-    while i and text[i - 1] in " \t":
-        i -= 1
-    quote = text[i - 1] if i and text[i - 1] in "\"'`" else ""
-    if quote:
-        i -= 1
-    if i and text[i - 1] == "]":  # settings["name"] = ...
-        i -= 1
-        if i and text[i - 1] in "\"'":
-            i -= 1
-    j = i
-    while j and text[j - 1] in _NAME_CHAR:
-        j -= 1
-    return text[j:i].strip(".-$"), j
-
-
-def _value_after(text: str, at: int) -> tuple[list[tuple[int, int]], str]:
-    """Spans of the literals after position ``at``, or the name that stands there."""
-    while at < len(text) and text[at] in " \t":
-        at += 1
-    spans = []
-    while m := _QUOTED.match(text, at):
-        spans.append(next(m.span(g) for g in (1, 2, 3) if m.group(g) is not None))
-        joined = _PLUS.match(text, m.end())
+def _literal(text: str, at: int, stuck: dict[str, int]) -> tuple[int, int, int] | None:
+    """(start, end, place behind) of the quoted literal that opens at ``at``; ``stuck`` tells up to where a quote is known not to close."""
+    quote = text[at:at + 3] if text[at:at + 3] in ('"""', "'''") else text[at]
+    if at < stuck.get(quote, 0):
+        quote = text[at]
+    if at < stuck.get(quote, 0):
+        return None
+    if m := _CLOSED[quote].match(text, at + len(quote)):
+        return m.start(1), m.end(1), m.end()
+    end = text.find("\n", at) if len(quote) == 1 else -1
+    stuck[quote] = len(text) if end < 0 else end
+    return _literal(text, at, stuck) if len(quote) == 3 else None
+
+
+def _value(text: str, at: int, stuck: dict[str, int]) -> tuple[list[tuple[int, int]], list[str], bool, int]:
+    """(spans of literals, names, whether the one name may be a bare word, place to go on from) of the value at ``at``."""
+    spans, names = [], []
+    start = at = _BLANK.match(text, at).end()
+    while at < len(text):
+        if text[at] in "\"'`":
+            found = _literal(text, at, stuck)
+            if not found:
+                break
+            spans.append(found[:2])
+            at = found[2]
+        elif m := _OPERAND.match(text, at):
+            names.append(m.group(1))
+            at = m.end()
+        else:
+            break
+        joined = _PLUS.match(text, at)
         if not joined:
             break
         at = joined.end()
     if spans:
-        return [s for s in spans if s[0] < s[1]], ""
-    if (m := _NAME.match(text, at)) and (m.end() == len(text) or text[m.end()] in " \t\r\n;,)}"):
-        return [], m.group(1)
-    m = _BARE.match(text, at)
-    return ([m.span()] if m else []), ""
-
-
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], str]]:
-    """All (name, literal spans, other name) that the text assigns, in order."""
-    out = []
-    for m in _SEPARATOR.finditer(text):
-        name, _ = _name_before(text, m.start())
-        if name:
-            spans, other = _value_after(text, m.end())
-            if spans or other:
-                out.append((name, spans, other))
+        return [x for x in spans if x[0] < x[1]], names, False, at
+    if names:
+        # the name may be the target of the next assignment
+        return [], names, len(names) == 1, start
+    if m := _BARE.match(text, start):
+        return [m.span()], [], False, m.end()
+    # a word that a separator follows: go on at the last name in it
+    run = _RUN.match(text, start).group()
+    return [], [], False, start + max(run.rstrip(":").rfind(":"), 0)
+
+
+def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[str], tuple[int, int] | None]]:
+    """All (name, literal spans, names of the value, span of a lone name) that the text assigns, in order."""
+    out: list[tuple[str, list[tuple[int, int]], list[str], tuple[int, int] | None]] = []
+    stuck: dict[str, int] = {}
+    ahead = {"=": -1, ":": -1}
+    at, name, name_end, key = 0, "", -1, ""
+    while m := _TOKEN.search(text, at):
+        at = m.end()
+        kind = m.lastgroup
+        if kind == "name":
+            name, name_end = m.group(), at
+        elif kind == "line":
+            name, key = "", ""
+            # on to the next line that can hold an assignment
+            for c, place in ahead.items():
+                if place < at:
+                    found_at = text.find(c, at)
+                    ahead[c] = len(text) if found_at < 0 else found_at
+            at = max(at, text.rfind("\n", at, min(ahead.values())))
+            if min(ahead.values()) == len(text):
+                break
+        elif kind == "quote":
+            opened = m.start()
+            if opened and text[opened - 1].isalnum() and not (opened == name_end and name.lower() in _PREFIXES):
+                continue  # an apostrophe
+            found = _literal(text, opened, stuck)
+            if not found:
+                at = opened + 1
+                continue
+            a, b, at = found
+            name = text[a:b].strip() if _KEY.fullmatch(text, a, b) else ""
+            name_end = at + 1 if text[at:at + 1] == "]" else at
+        elif name and not text[name_end:m.start()].strip(" \t?"):
+            kind = ""
+            if m.group() == ":" and (t := _TYPE.match(text, _BLANK.match(text, at).end())) and text[t.end() + 1:t.end() + 2] not in ("=", ">", "~"):
+                kind, at = t.group().strip(), t.end() + 1
+            target = key if name.lower() == "value" and key else name
+            here = _BLANK.match(text, at).end()
+            spans, names, bare, at = _value(text, at, stuck)
+            if name.lower() in ("key", "name") and len(spans) == 1 and _KEY.fullmatch(text, *spans[0]):
+                key = text[slice(*spans[0])]
+            if spans or names:
+                lone = (here, here + len(names[0])) if bare and text.startswith(names[0], here) else None
+                # what looks like a type may be the assigned name: "log: password=..."
+                out += [(n, spans, names, lone) for n in ((target, kind) if kind and name_weight(kind) else (target,))]
+            name = ""
+        else:
+            name = ""
+    if "</" in text:
+        out += [(m.group(1), [m.span(2)], [], None) for m in _ELEMENT.finditer(text) if m.group(1) == m.group(3)]
     return out
 
 
 def method_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose names and shape speak for a secret."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     found = pairs(text)
-    literals: dict[str, list[list[tuple[int, int]]]] = {}
-    given: dict[str, list[str]] = {}
-    for name, spans, other in found:
-        if spans:
-            literals.setdefault(name, []).append(spans)
-        if other:
-            given.setdefault(other, []).append(name)
-    out = set()
-    for name, groups in literals.items():
-        # the heaviest name that the constant reaches
-        weight, todo, seen = name_weight(name), [name], {name}
+    first: dict[str, int] = {}
+    for i, (name, *_) in enumerate(found):
+        first.setdefault(name, i)
+    # the assignments whose values each assignment takes over
+    last: dict[str, int] = {}
+    sources: list[list[int]] = []
+    for i, (name, _, names, _) in enumerate(found):
+        sources.append([last.get(n, first.get(n, i)) for n in names])
+        last[name] = i
+    # heaviest first, each assignment is reached once
+    own = [name_weight(name) for name, *_ in found]
+    weight = [0.0] * len(found)
+    for i in sorted((i for i, w in enumerate(own) if w > 0), key=lambda i: -own[i]):
+        todo = [i]
         while todo:
-            for target in given.get(todo.pop(), ()):
-                if target not in seen:
-                    seen.add(target)
-                    todo.append(target)
-                    weight = max(weight, name_weight(target))
-        if weight <= 0:
-            continue
-        for spans in groups:
-            joined = "".join(text[a:b] for a, b in spans)
-            if weight + shape_weight(joined) >= THRESHOLD:
-                out.update(spans)
+            j = todo.pop()
+            if not weight[j]:
+                weight[j] = own[i]
+                todo += sources[j]
+    out = set()
+    for (_, spans, names, lone), w in zip(found, weight):
+        if lone and names[0] not in first and "." not in names[0] and any(c.isdigit() for c in names[0]):
+            spans = [lone]
+        if spans and w > 0 and w + shape_weight("".join(text[a:b] for a, b in spans)) >= THRESHOLD:
+            out.update(spans)
     return sorted(out)
 
 
@@ -174,7 +245,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, base and all spans (lists of start, kind, end in code points).
 
-    A null text is empty and has no spans; repeated rows are scanned each for itself.
+    A null text is empty and has no spans; repeated rows are scanned each for itself; a text of any length takes
+    time linear in it.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 

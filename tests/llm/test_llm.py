@@ -180,6 +180,40 @@ def test_prose_is_left_alone():
         assert not [1 for _, k, _ in secrets.scan(text)[1] if secrets.KINDS[k] == "pair"]
 
 
+def pair_literals(text):
+    return [text[a:b] for a, k, b in secrets.scan(text)[1] if secrets.KINDS[k] == "pair"]
+
+
+@pytest.mark.parametrize("text,found", [
+    ('title: str = "Xk29fjq0w9Zq"\npassword: str = ""', []),
+    ('password: Optional[str] = "Xk29fjq0w9Zq"', ["Xk29fjq0w9Zq"]),
+    ('prefix = "p"\npassword = prefix + "aB3$kdk29sQ"', ["aB3$kdk29sQ"]),
+    ("export DB_PASSWD=hunter2abcX9\nsecret: abc/def+99Zq==\n", ["hunter2abcX9", "abc/def+99Zq=="]),
+    ('<password>aB3$kdk29sQ</password> <add key="ApiToken" value="zZ91kkq0Pw1"/>', ["aB3$kdk29sQ", "zZ91kkq0Pw1"]),
+    ("it's password = 'aB3$kdk29sQ' don't", ["aB3$kdk29sQ"]),
+    ("log: password=aB3$kdk29sQ!", ["aB3$kdk29sQ!"]),
+    ('password = """aB3$kdk29sQ"""', ["aB3$kdk29sQ"]),
+    ('x = "Old9fjq0w9Zq"\nx = "plain"\npassword = x\n', []),
+    ('password = x\nx = "Old9fjq0w9Zq"\n', ["Old9fjq0w9Zq"]),
+    ('connect(user="bob", password="zZ91kkq0Pw1")', ["zZ91kkq0Pw1"]),
+    ("token: get_token2() 12:30 secret = conf.key9", []),
+    ('password = "[SECRET]"', []),
+    ('password = "never closed aB3$kdk29sQ\ntoken = "zZ91kkq0Pw1"', ["zZ91kkq0Pw1"]),
+])
+def test_lexer(text, found):
+    assert pair_literals(text) == found
+
+
+@pytest.mark.parametrize("part", ["a:", "a=", 'x="\\"', "ab cd: ", "a='''b", 'p="a"+', "<a>b</", "a: b[", "`'\"=:", "b: c\n", "a.", "=", "a-$", "x"])
+def test_scan_time_is_linear(part):
+    """A megabyte that a scan which goes back or looks ahead without bound would take hours for."""
+    import time
+    text = (part * (1_000_000 // len(part) + 1))[:1_000_000] + '=1\npassword = "aB3$kdk29sQ"\n'
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 40
+
+
 def test_scan_query_columns(spark, hard, nothing):
     texts = HARD + ['my token = "f6f4b6c25fd9db1a3d0f51bedd389b0833f73c65" é']
     out = {r["doc_id"]: r for r in secrets.digest(secrets.scan_secrets(frame(spark, texts))).collect()}
