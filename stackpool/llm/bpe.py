@@ -43,7 +43,7 @@ LONG_WORD, BLOCK, STRIDE = 128, 128, 96
 DECODE_IDS = 1 << 20
 
 _LAST = ("select t.word, list(tok order by pos) as ids, any_value(t.step) as step from t join (select word, max(step) as step from t group by word) l "
-         "on t.word = l.word and t.step = l.step group by t.word order by t.word")
+         "on t.word = l.word and t.step = l.step group by t.word")
 # the leftmost pair of least rank of every word: a key holds rank and place, nxt the place of the token behind (-1: none)
 _ENCODE = f"""
 with recursive t(word, pos, tok, nxt, step) as (
@@ -130,36 +130,36 @@ class Coder:
     def _fixpoints(self, query: str, raw: list[bytes]) -> list[bytes]:
         """Ids of each byte string, contracted until no pair is left."""
         out = [b""] * len(raw)
-        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
-        block = np.maximum((ends - 1) // QUERY_LETTERS, 0) * len(raw) + np.arange(len(raw)) // QUERY_WORDS
+        lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        block = (np.cumsum(lengths) // QUERY_LETTERS) * len(raw) + np.arange(len(raw)) // QUERY_WORDS
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(raw)]
         for a, b in zip(cuts, cuts[1:]):
-            which = list(range(a, b))
-            lists = [self.letter[np.frombuffer(raw[i], dtype=np.uint8)] for i in which]
-            while which:
-                steps = max(4, QUERY_ROWS // (sum(map(len, lists)) + 1))
-                lists, last = self._steps(query, lists, steps)
-                going = []
-                for k, i in enumerate(which):
-                    if last[k] < steps:
-                        out[i] = lists[k].astype("<i4").tobytes()
-                    else:
-                        going.append(k)
-                which, lists = [which[k] for k in going], [lists[k] for k in going]
+            which, sizes = np.arange(a, b), lengths[a:b]
+            flat = self.letter[np.frombuffer(b"".join(raw[a:b]), dtype=np.uint8)]
+            while len(which):
+                # a word of n letters makes at most n (n + 1) / 2 rows
+                whole = int((sizes * (sizes + 1) // 2).sum()) <= QUERY_ROWS
+                steps = int(sizes.max()) + 1 if whole else max(4, QUERY_ROWS // int(sizes.sum()))
+                order, flat, sizes, last = self._steps(query, flat, sizes, steps)
+                which, ends = which[order], np.cumsum(sizes)
+                data, done = flat.tobytes(), last < steps
+                for i, x, y, final in zip(which.tolist(), (4 * (ends - sizes)).tolist(), (4 * ends).tolist(), done.tolist()):
+                    if final:
+                        out[i] = data[x:y]
+                flat, which, sizes = flat[np.repeat(~done, sizes)], which[~done], sizes[~done]
         return out
 
-    def _steps(self, query: str, lists: list[np.ndarray], steps: int) -> tuple[list[np.ndarray], list[int]]:
-        """The tokens of each word after at most ``steps`` steps, and the steps it took."""
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    def _steps(self, query: str, flat: np.ndarray, sizes: np.ndarray, steps: int) -> tuple[np.ndarray, ...]:
+        """After at most ``steps`` steps: numbers of the words as they come back, their tokens in a row, tokens of each, steps of each."""
         self.db.register("letters", pa.table({
-            "word": np.repeat(np.arange(len(lists), dtype=np.int32), sizes),
-            "pos": (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), "tok": np.concatenate(lists)}))
+            "word": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
+            "pos": (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), "tok": flat}))
         self.db.execute(f"set variable steps = {steps}")
         found = self.db.sql(query).to_arrow_table()
         self.db.unregister("letters")
         ids = found["ids"].combine_chunks()
-        flat, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy()).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)], found["step"].to_pylist()
+        return (found["word"].to_numpy(), ids.flatten().to_numpy().astype("<i4"),
+                ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), found["step"].to_numpy())
 
     def _by_blocks(self, words: list[bytes]) -> list[bytes]:
         """Ids of each long word."""
