@@ -26,8 +26,12 @@ def shuffle_key(seed: int, *parts) -> Column:
 
 def uniform(seed: int, *parts, word: int = 0) -> Column:
     """Uniform double in [0, 1); ``word`` picks one of the four 32-bit words of the digest."""
-    hexed = F.substring(F.md5(_text(seed, parts)), 8 * word + 1, 8)
-    return F.conv(hexed, 16, 10).cast("double") / F.lit(_SPAN)
+    return draw(shuffle_key(seed, *parts), word)
+
+
+def draw(digest: Column, word: int) -> Column:
+    """The uniform double in one of the four words of a digest."""
+    return F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("double") / F.lit(_SPAN)
 
 
 def uniforms(seed: int, *parts) -> tuple[float, float, float, float]:

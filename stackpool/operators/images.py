@@ -17,12 +17,12 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackpool.functions import pixels as X
-from stackpool.functions.draws import uniforms
+from stackpool.functions.draws import draw, shuffle_key, uniforms
 
 # Pictures handed back to Spark per Arrow batch.
 BATCH = 32
@@ -143,22 +143,66 @@ def crop_box(row: Row, shape, boxes=None, area=(0.05, 1.0), aspect=(0.75, 1.33))
 
 
 def random_crop(df: DataFrame, boxes=None, area=(0.05, 1.0), aspect=(0.75, 1.33), **kw) -> DataFrame:
-    return apply(df, lambda i, r: X.crop(i, *crop_box(r, i.shape, boxes, area, aspect)), **kw)
+    """A random window of each picture; ``boxes`` is one list for all pictures or a column with a list for each."""
+    if not isinstance(boxes, str):
+        return apply(df, lambda i, r: X.crop(i, *crop_box(r, i.shape, boxes, area, aspect)), **kw)
+    kw["keep"] = [*kw.get("keep", ()), boxes]
+    return apply(df, lambda i, r: X.crop(i, *crop_box(r, i.shape, r.extra[boxes], area, aspect)), **kw)
 
 
-def crop_boxes(df: DataFrame, seed: int = 0, boxes=None, area=(0.05, 1.0), aspect=(0.75, 1.33)) -> DataFrame:
-    """The windows :func:`random_crop` cuts, from picture sizes alone."""
-    has_replica = "replica" in df.columns
+#: Attempts at a window; the first few nearly always hold one, the others are only made where they do not.
+ATTEMPTS, FIRST_ATTEMPTS, COVERED = 100, 4, 0.1
 
-    def run(batches):
-        for pdf in batches:
-            replicas = pdf["replica"] if has_replica else [0] * len(pdf)
-            found = [(i, k, *crop_box(Row(i, k, seed, {}), (h, w), boxes, area, aspect))
-                     for i, k, h, w in zip(pdf["image"], replicas, pdf["height"], pdf["width"])]
-            yield pd.DataFrame(found, columns=["image", "replica", "top", "left", "crop_height", "crop_width"])
-    cols = ["image", *(["replica"] if has_replica else []), "height", "width"]
-    return df.select(*cols).mapInPandas(
-        run, "image string, replica int, top int, left int, crop_height int, crop_width int")
+
+def crop_window(boxes: Column, seed: int = 0, replica: Column | None = None, area=(0.05, 1.0), aspect=(0.75, 1.33)) -> Column:
+    """Struct (top, left, crop_height, crop_width): the window :func:`random_crop` cuts, as an expression.
+
+    ``boxes`` is an array of (ymin, xmin, ymax, xmax) arrays in 0..1; null or
+    empty stands for the whole picture.  The first attempt that fits the picture
+    and holds enough of a box counts, else it is the whole picture.
+    """
+    height, width = F.col("height"), F.col("width")
+    replica = F.lit(0) if replica is None else replica
+    whole = F.array(F.array(*[F.lit(x) for x in (0.0, 0.0, 1.0, 1.0)]))
+    targets = F.when(F.size(boxes) > 0, boxes).otherwise(whole)
+
+    def window(digest: Column) -> Column:
+        u_area, u_aspect, u_top, u_left = (draw(digest, w) for w in range(4))
+        size = (F.lit(area[0]) + F.lit(area[1] - area[0]) * u_area) * height * width
+        ratio = F.lit(aspect[0]) + F.lit(aspect[1] - aspect[0]) * u_aspect
+        h, w = F.floor(F.sqrt(size / ratio) + 0.5).cast("int"), F.floor(F.sqrt(size * ratio) + 0.5).cast("int")
+        return F.struct((u_top * (height - h + 1)).cast("int").alias("top"), (u_left * (width - w + 1)).cast("int").alias("left"),
+                        h.alias("crop_height"), w.alias("crop_width"))
+
+    def covers(at: Column) -> Callable:
+        def enough(box: Column) -> Column:
+            ymin, xmin, ymax, xmax = (box[i] for i in range(4))
+            tall = F.least(at["top"] + at["crop_height"], ymax * height) - F.greatest(at["top"], ymin * height)
+            wide = F.least(at["left"] + at["crop_width"], xmax * width) - F.greatest(at["left"], xmin * width)
+            all_of_it = (ymax - ymin) * height * (xmax - xmin) * width
+            return (all_of_it > 0) & (F.greatest(tall, F.lit(0.0)) * F.greatest(wide, F.lit(0.0)) >= all_of_it * COVERED)
+        return enough
+
+    def counts(at: Column) -> Column:
+        fits = at["crop_height"].between(1, height) & at["crop_width"].between(1, width)
+        return fits & F.exists(targets, covers(at))
+
+    def first(start: int, stop: int) -> Column:
+        digests = F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda a: shuffle_key(seed, "image", replica, F.lit("box"), a))
+        return F.get(F.filter(F.transform(digests, window), counts), F.lit(0))
+    everything = F.struct(F.lit(0).alias("top"), F.lit(0).alias("left"), height.cast("int").alias("crop_height"), width.cast("int").alias("crop_width"))
+    return F.coalesce(first(0, 1), first(1, FIRST_ATTEMPTS), first(FIRST_ATTEMPTS, ATTEMPTS), everything)
+
+
+def crop_boxes(df: DataFrame, seed: int = 0, boxes=None, area=(0.05, 1.0), aspect=(0.75, 1.33)) -> DataFrame:
+    """The windows :func:`random_crop` cuts, from picture sizes and ``boxes`` (a list for all pictures or a column) alone."""
+    if isinstance(boxes, str):
+        given = F.col(boxes).cast("array<array<double>>")
+    else:
+        given = F.array(*[F.array(*[F.lit(float(x)) for x in box]) for box in (() if boxes is None else boxes)]).cast("array<array<double>>")
+    replica = F.col("replica").cast("int") if "replica" in df.columns else F.lit(0)
+    found = crop_window(given, seed, replica, area, aspect)
+    return df.select("image", replica.alias("replica"), found.alias("_window")).select("image", "replica", "_window.*")
 
 
 def distort_color(df: DataFrame, fast: bool = True, **kw) -> DataFrame:

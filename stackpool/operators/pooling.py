@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -21,6 +26,10 @@ def _check(mode: str, allowed: tuple[str, ...], what: str) -> None:
         raise ValueError(f"{what} must be one of {' '.join(allowed)}, got {mode!r}")
 
 
+#: Orders of rows lie below this.
+ORDERS = 1 << 62
+
+
 def extreme(value: Column, size: Column, order: Column) -> Column:
     """Aggregate: the value of greatest ``size``, the earliest by ``order`` on ties."""
     return F.max_by(value, F.struct(size, -order))
@@ -83,7 +92,7 @@ def pool_both(df: DataFrame, ids: list[str], logits: str, features: str, score_m
                         S.softmax(logits, n_classes).alias("probabilities"))
         return out.withColumn("prediction", S.argmax("probabilities"))
     if feature_mode == "xtrm":
-        # works per position, so the scored rows are needed twice
+        # two reductions, so the scored rows are needed twice
         stored = materialise(df.select(*ids, replica, logits, features), "scored")
         return pool_features(stored, ids, features, feature_mode, replica).join(
             pool_scores(stored, ids, logits, score_mode, n_classes, replica), ids)
@@ -98,7 +107,8 @@ def pool_features(df: DataFrame, ids: list[str], features: str, mode: str,
     """Pool feature vectors of any width over the replicas of an image.
 
     Average and maximum use the vector summarizer: one buffer of the vector's
-    width per image, combined map-side.  The signed extreme works per position.
+    width per image, combined map-side.  The signed extreme is reduced in the tasks
+    before and after the shuffle.
     """
     _check(mode, FEATURE_MODES, "pool_features")
     if mode == "none":
@@ -108,11 +118,73 @@ def pool_features(df: DataFrame, ids: list[str], features: str, mode: str,
         stat = Summarizer.mean if mode == "avg" else Summarizer.max
         return (df.groupBy(*ids).agg(*keep, stat(array_to_vector(F.col(features))).alias("_v"))
                 .select(*ids, *carry, vector_to_array("_v").alias(features)))
-    flat = df.select(*ids, *carry, F.col(replica).alias("_r"), F.posexplode(features).alias("_pos", "_x"))
-    per_pos = flat.groupBy(*ids, "_pos").agg(*keep, extreme(F.col("_x"), F.abs("_x"), F.col("_r")).alias("_x"))
-    # as many rows per image as the vector is wide
-    return per_pos.groupBy(*ids).agg(
-        *keep, F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda s: s["_x"]).alias(features))
+    return _extreme_vectors(df, ids, features, replica, carry)
+
+
+def _extremes_by_key(n_keys: int) -> Callable:
+    """A mapInArrow function: rows (keys, carried columns, orders, vectors) to one row for each key of a batch.
+
+    The last key of a batch waits for the next one, so of sorted rows every key
+    gives one row.  Nothing but a batch and one vector is held.
+    """
+    def matrix(column: pa.Array, rows: int) -> np.ndarray:
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        if pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
+            raise ValueError("feature vectors of one table must be equally wide")
+        return flat.reshape(rows, -1)
+
+    def furthest(x: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.where(np.isnan(x), np.inf, np.abs(x))
+        at = np.where(size == size.max(axis=0), order, ORDERS).argmin(axis=0), np.arange(x.shape[1])
+        return x[at], order[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, row, held = None, None, None
+
+        def result(rows: list, found: list) -> pa.RecordBatch:
+            plain = pa.Table.from_batches(rows).combine_chunks().to_batches()[0].columns[:-2]
+            return pa.RecordBatch.from_arrays([*plain, pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                                               pa.array([f[0] for f in found], pa.list_(pa.float64()))], names=rows[0].schema.names)
+        for batch in batches:
+            if not (n := batch.num_rows):
+                continue
+            places: dict = {}
+            for i, k in enumerate(zip(*[c.to_pylist() for c in batch.columns[:n_keys]])):
+                places.setdefault(k, []).append(i)
+            x = matrix(batch.columns[-1], n)
+            order = matrix(batch.columns[-2], n)
+            order = np.broadcast_to(order, x.shape)
+            rows, found = [], []
+            if key is not None and key not in places:
+                rows, found = [row], [held]
+            for k, at in places.items():
+                mine, when = x[at], order[at]
+                if k == key:
+                    mine, when = np.vstack([held[0], mine]), np.vstack([held[1], when])
+                found.append(furthest(mine, when))
+                rows.append(batch.slice(at[0], 1))
+            key, row, held = k, rows.pop(), found.pop()
+            if rows:
+                yield result(rows, found)
+        if key is not None:
+            yield result([row], [held])
+    return run
+
+
+def _extreme_vectors(df: DataFrame, ids: list[str], features: str, replica: str, carry: list[str]) -> DataFrame:
+    """Per position the value furthest from zero, the earliest replica on ties.
+
+    Vectors are reduced where they lie, one for each image and batch, and again
+    after the shuffle from sorted rows; no image is held as a whole, whatever
+    its number of replicas.  Images without any vector give no row.
+    """
+    kind = df.schema[features].dataType
+    rows = df.filter(F.size(features) > 0).select(*ids, *carry, F.array(F.col(replica).cast("long")).alias("_order"),
+                                                  F.col(features).cast("array<double>").alias(features))
+    reduce = _extremes_by_key(len(ids))
+    partial = rows.mapInArrow(reduce, rows.schema)
+    whole = partial.repartition(*[F.col(c) for c in ids]).sortWithinPartitions(*ids).mapInArrow(reduce, rows.schema)
+    return whole.select(*ids, *carry, F.col(features).cast(kind).alias(features))
 
 
 def aggregate_replicas(df: DataFrame, id_col: str, label: str, features: str, idx: str,

@@ -148,6 +148,26 @@ def img_crop_boxes(spark, sf):
     return I.crop_boxes(pictures(spark, sf), area=(0.2, 1.0)).drop("replica")
 
 
+_KEY = "'0:box:' || cast(a as varchar)"
+_USER_BOXES = "[[0.0, 0.0, 0.25, 0.25], [0.5, 0.25 + (width % 3) / 4.0, 1.0, 1.0]]"
+
+
+@query("img_crop_boxes_user", duck(f"""with k as (select image, height, width, a, cast({_USER_BOXES} as double[][]) as boxes,
+        (0.05::double + (1.0::double - 0.05::double)*{u(_KEY)})*height*width as size, 0.75::double + (1.33::double - 0.75::double)*{u(_KEY, 1)} as ratio,
+        {u(_KEY, 2)} as ut, {u(_KEY, 3)} as ul from v_picture_size, (select unnest(generate_series(0,99)) as a)),
+      h as (select *, cast(floor(sqrt(size/ratio)+0.5) as int) as ch, cast(floor(sqrt(size*ratio)+0.5) as int) as cw from k),
+      t as (select *, trunc(ut*(height-ch+1))::int as top, trunc(ul*(width-cw+1))::int as lft from h where ch between 1 and height and cw between 1 and width),
+      e as (select *, unnest(boxes) as box from t),
+      w as (select image, arg_min({{'t': top, 'l': lft, 'h': ch, 'w': cw}}, a) as w from e where greatest(least(top+ch, box[3]*height) - greatest(top, box[1]*height), 0)
+        * greatest(least(lft+cw, box[4]*width) - greatest(lft, box[2]*width), 0) >= 0.1::double*((box[3]-box[1])*height*(box[4]-box[2])*width) group by image)
+      select p.image, coalesce(n.w.t, 0) as top, coalesce(n.w.l, 0) as left, coalesce(n.w.h, height) as crop_height, coalesce(n.w.w, width) as crop_width
+        from v_picture_size p left join w n on n.image = p.image""", V1))
+def img_crop_boxes_user(spark, sf):
+    # two boxes a picture, the second depends on its width
+    boxes = F.expr("array(array(0.0D, 0.0D, 0.25D, 0.25D), array(0.5D, 0.25D + (width % 3) / 4.0D, 1.0D, 1.0D))")
+    return I.crop_boxes(pictures(spark, sf).withColumn("boxes", boxes), boxes="boxes").drop("replica")
+
+
 @query("img_flip", duck(sql(f"case when {u(chr(39) + '0:flip' + chr(39))} < 0.5 then {duck_sample('y', 'width-1-x', 'c')} else {PX} end/255"), V1))
 def img_flip(spark, sf):
     return long(I.random_flip(pictures(spark, sf), **KW))

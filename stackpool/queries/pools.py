@@ -10,6 +10,8 @@ from stackpool.queries.registry import d6, query, r6
 from stackpool.queries.scalars import ARGMAX, BITS
 from stackpool.queries.scalars import P as PROBS
 from stackpool.queries.views import duck, view
+from stackpool.session import scratch_path
+from stackpool.sources import tables
 
 
 def logits(spark, sf):
@@ -154,6 +156,16 @@ _assembly("assemble_meta_probs", "PROBS", False)
 _assembly("assemble_meta_all_probs", "ALL_PROBS", False)
 
 
+@query("assemble_ordered", duck(f"""select *, row_number() over (order by image, comb_id) - 1 as position from
+    ({_assembly_sql("PROBS", False)})""", "v_components"))
+def assemble_ordered(spark, sf):
+    # written in order of image and combination, read back without a sort
+    folder = scratch_path(spark, "ordered")
+    comps = view(spark, sf, "v_components").withColumnRenamed("vec_id", "image")
+    tables.write_ordered(E.assemble(comps, "PROBS", "image"), folder, ["image", "comb_id"])
+    return tables.read_ordered(spark, folder).select("image", "comb_id", "label", *[r6(F.col("features")[i], f"f{i}") for i in range(14)], "position")
+
+
 _GAPS = "not (feature_set = 0 and replica = 1 and p_m < 0.45) and not (feature_set = 3 and p_k > 0.55)"
 
 

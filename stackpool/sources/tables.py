@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackpool import schemas
@@ -134,6 +134,34 @@ def write_features(rows: DataFrame, folder: str, feature_size: int, options: dic
      .write.parquet(f"{folder}/header"))
 
 
+def write_ordered(rows: DataFrame, folder: str, order: list[str]) -> None:
+    """Rows in the order of the columns ``order``: sorted files that follow each other, and beside them which file is which.
+
+    One range shuffle.  ``files`` has file_no, name, rows and start (rows in the
+    files before), a row for each file.
+    """
+    rows.orderBy(*order).write.parquet(f"{folder}/rows")
+    spark = rows.sparkSession
+    name = F.col("_metadata.file_name")
+    written = spark.read.parquet(f"{folder}/rows").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    # a task's number, then that of its files; one row a file
+    number = [F.regexp_extract("name", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"c(\d+)\.[^/]*$")]
+    by_file = Window.orderBy("_part", "_piece")
+    numbered = written.withColumns({"_part": number[0], "_piece": number[1]})
+    (numbered.select((F.row_number().over(by_file) - 1).alias("file_no"), "name", "rows",
+                     F.coalesce(F.sum("rows").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+     .write.parquet(f"{folder}/files"))
+
+
+def read_ordered(spark: SparkSession, folder: str, position: str = "position") -> DataFrame:
+    """Rows that ``write_ordered`` wrote, each with its place in the order; nothing is sorted or shuffled."""
+    rows = spark.read.parquet(f"{folder}/rows")
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_row"))
+    starts = spark.read.parquet(f"{folder}/files").select(F.col("name").alias("_name"), F.col("start").alias("_start"))
+    # bounded: one row per written file
+    return placed.join(F.broadcast(starts), "_name").withColumn(position, F.col("_start") + F.col("_row")).drop("_name", "_row", "_start")
+
+
 def write_submission(rows: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """Headerless id, p_m, p_k lines."""
     rows.select("image", "p_m", "p_k").write.mode(mode).option("header", False).csv(folder)

@@ -234,3 +234,25 @@ def test_components_read_the_pictures_once(spark):
     models = {f"m{i}": (None, "dermatologic", 4, 4, {}) for i in range(21)}
     text = I.score_models(pics, models, 3, 2)._jdf.queryExecution().executedPlan().toString()
     assert text.count("MapInPandas") == 1
+
+
+def test_crop_windows_as_columns_equal_the_kernel(spark):
+    boxes = [None, [], [[0.0, 0.0, 0.2, 0.2]], [[0.4, 0.4, 0.4, 0.9], [0.7, 0.1, 1.0, 0.6]], [[0.0, 0.0, 0.0, 0.0]]]
+    rows = [(f"p{k}", 3 + 11 * k % 90, 4 + 17 * k % 130, k % 3, boxes[k % 5]) for k in range(300)]
+    df = spark.createDataFrame(rows, "image string, height int, width int, replica int, boxes array<array<double>>")
+    out = I.crop_boxes(df, seed=5, boxes="boxes", area=(0.02, 0.6))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["image"]: tuple(r)[2:] for r in out.collect()}
+    assert got == {i: X.sample_box(h, w, lambda a: uniforms(5, i, r, "box", a), b, area=(0.02, 0.6)) for i, h, w, r, b in rows}
+    # one list for all pictures
+    every = {r["image"]: tuple(r)[2:] for r in I.crop_boxes(df, boxes=[(0.0, 0.0, 0.5, 0.5)]).collect()}
+    assert every == {i: X.sample_box(h, w, lambda a: uniforms(0, i, r, "box", a), [(0.0, 0.0, 0.5, 0.5)]) for i, h, w, r, _ in rows}
+
+
+def test_random_crop_takes_boxes_of_each_picture(spark):
+    pics = {f"p{k}": mesh(12 + k, 17) for k in range(6)}
+    df = table(spark, pics).withColumn("boxes", F.when(F.col("image") != "p0", F.array(F.array(*[F.lit(x) for x in (0.5, 0.5, 1.0, 1.0)]))))
+    windows = {r["image"]: tuple(r)[2:] for r in I.crop_boxes(df, boxes="boxes").collect()}
+    cut = arrays(I.random_crop(df, boxes="boxes", scale=1.0, dtype="double"))
+    for k, (top, left, h, w) in windows.items():
+        assert np.array_equal(cut[k], pics[k][top:top + h, left:left + w])

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from stackpool.functions import scores as S
 from stackpool.operators import ensemble as E
 from stackpool.operators import pooling as P
 from stackpool.plans import stack as K
+from stackpool.sources import tables
 
 
 def replicas(spark):
@@ -33,6 +35,38 @@ def test_feature_extreme_works_for_any_width(spark):
     assert out["a"] == [1.0, -3.0, 0.5] * 3
 
 
+def test_wide_extremes_equal_a_loop_whatever_the_batches(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k % 5 or None, k // 5, "t", [float(x) for x in rng.integers(-3, 4, 9)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, replica int, truth string, f array<float>").repartition(4)
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {k: [max((r for r in rows if r[0] == k), key=lambda r: (abs(r[3][i]), -r[1]))[3][i] for i in range(9)] for k in (None, 1, 2, 3, 4)}
+    try:
+        for size in ("3", most):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            out = P.pool_features(df, ["id"], "f", "xtrm", carry=["truth"])
+            assert out.columns == ["id", "truth", "f"] and out.schema["f"].dataType == df.schema["f"].dataType
+            assert {r["id"]: r["f"] for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    # vectors are reduced before the one shuffle, and no row is made for an element
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") >= 2 and "Generate" not in text
+    assert P.pool_features(df.limit(0), ["id"], "f", "xtrm").count() == 0
+
+
+def test_ordered_output_is_read_back_without_a_sort(spark, tmp_path):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 37 % 1009).alias("image"), F.col("id").alias("comb_id"))
+    tables.write_ordered(rows, str(tmp_path / "o"), ["image", "comb_id"])
+    back = tables.read_ordered(spark, str(tmp_path / "o"))
+    text = back._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in text and "Exchange hash" not in text and "Exchange range" not in text
+    got = sorted((r["position"], r["image"], r["comb_id"]) for r in back.collect())
+    assert got == [(k, *r) for k, r in enumerate(sorted((r["image"], r["comb_id"]) for r in rows.collect()))]
+    tables.write_ordered(rows.limit(0), str(tmp_path / "none"), ["image", "comb_id"])
+    assert tables.read_ordered(spark, str(tmp_path / "none")).count() == 0
+
+
 @pytest.mark.parametrize("modes", [("avg", "avg"), ("max", "max"), ("xtrm_logits", "xtrm"), ("none", "none"), ("avg_logits", "xtrm")])
 def test_pooling_both_equals_pooling_each(spark, modes):
     df = replicas(spark).withColumn("f", F.transform("logits", lambda x: x * 2))
