@@ -5,7 +5,10 @@ non-negative unbiased risk
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
 of trusted positives p and unlabelled documents u; where the second term falls
 below zero, a step goes back on it.  It is fitted on a bounded sample of both, by
-least hash of the key; the prior counts all labels of the training fold.
+least hash of the key.  The class prior is estimated from the same two samples and
+needs no negative label: at a threshold above which a share a of the positives and
+b of the unlabelled rows lies, b / a bounds it, and the bound is near where few
+negatives score as high.
 """
 
 from __future__ import annotations
@@ -92,6 +95,32 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w.astype(np.float64), b)
 
 
+#: Parts of the samples that the prior is estimated on in turn, by models of the others; and chance that sampling errors of a bound are larger than allowed for.
+FOLDS, DELTA = 4, 0.1
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = FOLDS, delta: float = DELTA) -> float:
+    """Share of positives among the unlabelled rows, kept within 0.01 and 0.99; 0.5 where a fold would be empty.
+
+    Every row is scored by a model that did not see its fold.  Of all thresholds
+    the one counts whose bound, sampling errors added, is least.
+    """
+    if min(len(positive), len(unlabelled)) < folds:
+        return 0.5
+    scored = [np.zeros(len(rows)) for rows in (positive, unlabelled)]
+    for fold in range(folds):
+        mine = [np.arange(len(rows)) % folds == fold for rows in (positive, unlabelled)]
+        model = fit(positive[~mine[0]], unlabelled[~mine[1]], 0.5)
+        for rows, at, out in zip((positive, unlabelled), mine, scored):
+            out[at] = model.scores(rows[at])
+    p, u = (np.sort(x) for x in scored)
+    above_p = (len(p) - np.searchsorted(p, p)) / len(p)
+    above_u = (len(u) - np.searchsorted(u, p)) / len(u)
+    error = np.sqrt(np.log(4 / delta) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = int(np.argmin((above_u + error) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
 def _featured(rows: DataFrame) -> DataFrame:
     """(positive, features as bytes of 32-bit numbers) of (doc_id, text, positive) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,25 +134,24 @@ def _featured(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 11) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), both of the training fold.
 
-    The prior is the share of quality 1 among the labelled documents (0.5 without
-    labels), kept within 0.01 and 0.99.  Unlabelled rows are drawn from all
-    documents, whatever their labels.
+    Trusted positives are documents of quality 1; other labels are not read.
+    Unlabelled rows are drawn from all documents, whatever their labels.
     """
-    judged = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
-    counted = judged.agg(F.avg("good").alias("prior")).first()["prior"]
-    prior = 0.5 if counted is None else min(max(float(counted), 0.01), 0.99)
+    judged = labels.filter("doc_id is not null and quality = 1").select("doc_id").distinct()
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
     ids = docs.select("doc_id").filter("doc_id is not null")
-    good = judged.filter("good = 1").select("doc_id").join(ids.distinct(), "doc_id").orderBy(*order).limit(positives).withColumn("positive", F.lit(True))
+    good = judged.join(ids.distinct(), "doc_id").orderBy(*order).limit(positives).withColumn("positive", F.lit(True))
     some = ids.distinct().orderBy(*order).limit(unlabelled).withColumn("positive", F.lit(False))
     # at most positives + unlabelled keys
     chosen = F.broadcast(good.unionByName(some))
     taken = _featured(docs.join(chosen, "doc_id").select("doc_id", "text", "positive")).toArrow()
     sides = []
     for wanted in (True, False):
-        rows = taken.filter(pa.compute.equal(taken["positive"], wanted))["features"].to_pylist()
+        # in an order of their own, whatever tasks sent them
+        rows = sorted(taken.filter(pa.compute.equal(taken["positive"], wanted))["features"].to_pylist())
+        rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
         sides.append(np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), N_FEATURES))
-    return fit(*sides, prior)
+    return fit(*sides, estimate_prior(*sides))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
