@@ -177,7 +177,7 @@ def cluster(bigrams: DataFrame, n_units: int, classes: int = CLASSES, rounds: in
 class Model:
     """What scoring needs besides the counts of rare words; its size does not depend on the input."""
 
-    def __init__(self, tokens: int, words: int, units: Units, classes: np.ndarray, counts: np.ndarray, discount: float, distinct: np.ndarray):
+    def __init__(self, tokens: int, words: int, units: Units, classes: np.ndarray, counts: np.ndarray, discount: float, distinct: np.ndarray, unseen_types: float):
         self.tokens, self.words, self.units, self.classes = tokens, words, units, classes
         size = len(counts)
         out, into = counts.sum(axis=1), counts.sum(axis=0)
@@ -189,7 +189,9 @@ class Model:
         self.discount = np.where(open_, discount, 0.0)
         total = np.maximum(into, 1.0)
         self.log_total = np.log10(total)
-        unseen = np.where(distinct > 0, self.discount * distinct / total, 1.0)
+        # what is discounted goes to the words not seen, as many in a class as it has of the seen ones
+        self.unseen_types = np.maximum(unseen_types * distinct / max(distinct[open_].sum(), 1), 1.0)
+        unseen = np.where(distinct > 0, self.discount * distinct / total, 1.0) / self.unseen_types
         self.unseen = np.log10(np.maximum(unseen, 1e-300))
         self.base_norm = float(np.log10(tokens + words + 1))
 
@@ -225,7 +227,9 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     parts = counts.filter(F.col("word") != END).select("word").mapInArrow(distinct, "n binary").collect()  # one small row a task
     words = sum((np.frombuffer(r["n"], dtype=np.int64) for r in parts), np.zeros(classes, dtype=np.int64))
     discount = total["n1"] / (total["n1"] + 2 * total["n2"]) if total["n1"] and total["n2"] else 0.5
-    return Model(n, total["v"], units, groups, table, discount, words), counts, heavy
+    # at least so many words are left to see, by those seen once and twice
+    unseen = total["n1"] ** 2 / (2 * total["n2"]) if total["n2"] else total["n1"] * (total["n1"] - 1) / 2
+    return Model(n, total["v"], units, groups, table, discount, words, max(unseen, 1.0)), counts, heavy
 
 
 _SCORED = ("row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>, rare_class array<int>, rare_n array<int>")
@@ -272,8 +276,8 @@ def score_texts(docs: DataFrame, training: DataFrame, classes: int = CLASSES, ro
     """Score every text by a model of the training texts: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words, A-Z lowered, then one end.  base_score adds log10((c+1) / (N+V+1));
-    score is the model's log10 probability.  In its class an unseen word has the
-    discounted mass of the class.  An empty or null text is one end.  One row per
+    score is the model's log10 probability.  In its class an unseen word has its
+    share of the discounted mass of the class, by an estimate of the words not seen.  An empty or null text is one end.  One row per
     input row, also for repeated ones.  Without training texts both scores are
     n_tokens * log10(1 / 1) = 0.
     """
