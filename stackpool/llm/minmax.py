@@ -349,13 +349,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WORDS, id_c
     return out.select("doc_id", F.col("n").alias("n_shingles"), reached.alias("component_id"), F.coalesce(F.col("doc_id") == reached, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = 80, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of the least doc_id of each group of near duplicates.
 
     Of rows that repeat one doc_id and text one stays.  Rows without doc_id all stay.
     """
     mine, copy, at = (next(f"{n}{k}" for k in range(len(docs.columns) + 1) if f"{n}{k}" not in docs.columns) for n in ("_kept", "_copies", "_once"))
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias(mine)).distinct()
+    kept = near_duplicates(docs, percent, width, id_col=id_col, text_col=text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias(mine)).distinct()
     rows = docs.join(kept, F.col(id_col).cast("long") == F.col(mine), "left_semi")
     # only ids that occur twice can have rows that repeat: their texts alone are compared
     twice = materialise(docs.groupBy(F.col(id_col).cast("long").alias(mine)).agg(F.count(F.lit(1)).alias(copy)).filter(F.col(copy) > 1).select(mine), "twice")

@@ -134,7 +134,7 @@ def test_emissions_and_transitions_are_distributions(spark):
     kinds = model.classes[model.units.of(pa.array([w for w, _ in words]))]
     mass = np.bincount(kinds, weights=10 ** model.emission(np.array([c for _, c in words]), kinds), minlength=8)
     for k in set(kinds.tolist()):
-        unseen = 10 ** model.unseen[k] if model.discount[k] > 0 else 0.0
+        unseen = model.unseen_types[k] * 10 ** model.unseen[k] if model.discount[k] > 0 else 0.0
         assert mass[k] + unseen == pytest.approx(1.0, abs=1e-9)
 
 
@@ -357,13 +357,13 @@ def test_long_words_equal_the_library(monkeypatch):
 
 # --- near duplicates ----------------------------------------------------------------------------
 
-def shingles(text):
+def shingles(text, width=4):
     w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i:i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i:i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def least_reached(texts):
-    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+def least_reached(texts, width=4):
+    sets, label = [shingles(t, width) for t in texts], list(range(len(texts)))
 
     def root(x):
         while label[x] != x:
@@ -551,6 +551,17 @@ def test_classifier_with_one_long_blank_and_one_long_word(spark):
     assert all(0 <= r["score"] <= 1 for r in quality.score(docs.select("doc_id", "text"), fitted).collect())
 
 
+@pytest.mark.parametrize("prior", [0.15, 0.5, 0.85])
+def test_prior_needs_no_negative_labels(prior):
+    rng = np.random.default_rng(4)
+    both = [rng.normal(0, 1, (n, 20)) for n in (1500, 4000)]
+    both[0][:, 0] += 6
+    truly = rng.random(4000) < prior
+    both[1][truly, 0] += 6
+    assert quality.estimate_prior(*both) == pytest.approx(truly.mean(), abs=0.03)
+    assert quality.estimate_prior(both[0][:3], both[1]) == 0.5
+
+
 def test_features_count_the_whole_text():
     texts = ["", "ab ab cd\n", "x" * 5000 + "|"]
     rows = quality.features(pa.array(texts))

@@ -34,7 +34,7 @@ def test_stages_follow_each_other(spark, folder):
     # what the classifier kept, one of each group stays
     before = {r["doc_id"]: r["text"] for r in seen[second].collect()}
     ids = sorted(before)
-    _, label = least_reached([before[i] for i in ids])
+    _, label = least_reached([before[i] for i in ids], corpus_pipeline.WIDTH)
     assert sorted(r["doc_id"] for r in seen[third].collect()) == [i for k, i in enumerate(ids) if label[k] == k]
     # no document is lost and no secret stays
     clean = {r["doc_id"]: r["text"] for r in seen[last].collect()}
