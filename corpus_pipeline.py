@@ -14,6 +14,8 @@ from stackpool.llm.common import small_batches
 from stackpool.session import materialise, ship_package
 
 CAPACITY = 2048
+#: Words of a shingle of near_dedup.
+WIDTH = 5
 
 
 def _prepare(spark: SparkSession) -> None:
@@ -28,9 +30,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: 0.8 or more of their shingles of WIDTH words in common."""
     _prepare(spark)
-    return minmax.keep_first(docs)
+    return minmax.keep_first(docs, width=WIDTH)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
