@@ -188,17 +188,19 @@ def _extreme_vectors(df: DataFrame, ids: list[str], features: str, replica: str,
 
 
 def aggregate_replicas(df: DataFrame, id_col: str, label: str, features: str, idx: str,
-                       group_rows: int = 50) -> DataFrame:
+                       group_rows: int = 50, short: bool = False) -> DataFrame:
     """Mean feature vector of every ``group_rows`` contiguous rows of one id.
 
     The query fails if a group is incomplete or mixes ids; the label is that
-    of the first row of the group.
+    of the first row of the group.  With ``short`` a group of fewer rows, such as
+    the last one, is the mean of the rows it has.
     """
     grouped = (df.groupBy(F.floor(F.col(idx) / F.lit(group_rows)).alias("grp"))
                .agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias(id_col), F.max(id_col).alias("_last"),
                     F.min_by(label, idx).alias(label),
                     Summarizer.mean(array_to_vector(F.col(features))).alias("_v")))
-    bad = (F.col("_n") != group_rows) | (F.col(id_col) != F.col("_last"))
+    size = F.col("_n") > group_rows if short else F.col("_n") != group_rows
+    bad = size | (F.col(id_col) != F.col("_last"))
     message = F.concat(F.lit(f"aggregation needs groups of {group_rows} contiguous records of one id; see group "),
                        F.col("grp").cast("string"))
     checked = F.when(bad, F.raise_error(message)).otherwise(vector_to_array("_v"))

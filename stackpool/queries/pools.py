@@ -85,7 +85,8 @@ for _m, _agg in (("avg", "avg(x)"), ("max", "max(x)"), ("xtrm", "arg_max(x, {'a'
 def aggregate_replicas(spark, sf):
     rows = view(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("id"), "vec_id", "label",
                                                 F.col("embedding").cast("array<double>").alias("features"))
-    out = P.aggregate_replicas(rows, "id", "label", "features", "vec_id", group_rows=5)
+    # the number of vectors need not be a multiple of five
+    out = P.aggregate_replicas(rows, "id", "label", "features", "vec_id", group_rows=5, short=True)
     return out.select("id", "grp", "label", F.posexplode("features").alias("pos", "x")).withColumn("x", r6("x"))
 
 

@@ -102,6 +102,21 @@ def test_aggregate_replicas_refuses_broken_groups(spark, ids):
         P.aggregate_replicas(groups(spark, ids), "id", "label", "features", "idx", 3).collect()
 
 
+def test_aggregate_replicas_takes_short_groups_if_told(spark):
+    out = sorted(P.aggregate_replicas(groups(spark, "aaabb"), "id", "label", "features", "idx", 3, short=True).collect())
+    assert [tuple(r) for r in out] == [("a", 0, 0, [1.0, 1.0]), ("b", 1, 1, [3.5, 1.0])]
+    with pytest.raises(Exception, match="contiguous records"):
+        P.aggregate_replicas(groups(spark, "aab"), "id", "label", "features", "idx", 3, short=True).collect()
+
+
+def test_aggregate_replicas_query_keeps_the_last_vectors(spark, tmp_path):
+    from stackpool.queries.pools import aggregate_replicas
+    rows = [(i, [float(i * (k + 1)) for k in range(64)], i % 3) for i in range(7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["id"], r["grp"], r["label"], r["pos"], r["x"]) for r in aggregate_replicas(spark, str(tmp_path)).collect()}
+    assert got == {(g, g, first, k, mean * (k + 1)) for g, first, mean in ((0, 0, 2.0), (1, 2, 5.5)) for k in range(64)}
+
+
 def test_extreme_probability_counts_certainty_as_infinite(spark):
     rows = [(0, "a", 0.5), (1, "a", 0.999), (2, "a", 0.0), (3, "a", 1.0), (4, "b", 0.25), (5, "b", 0.75), (6, "a", 0.4)]
     df = spark.createDataFrame(rows, "idx long, id string, p double")
