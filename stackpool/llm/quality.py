@@ -72,9 +72,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         # nothing to learn from: every text gets the prior
         d = N_FEATURES
         return Model(np.zeros(d), np.ones(d), np.zeros(d), float(np.log(prior / (1 - prior))))
-    both = np.concatenate([positive, unlabelled]).astype(np.float32)
-    mean, scale = both.mean(axis=0, dtype=np.float64), both.std(axis=0, dtype=np.float64) + 1e-3
-    p, u = np.split(np.clip((both - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8), [len(positive)])
+    return _descend(np.concatenate([positive, unlabelled], dtype=np.float32), len(positive), prior, steps, rate, decay)
+
+
+def _descend(both: np.ndarray, many: int, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = WEIGHT_DECAY) -> Model:
+    """``fit`` of rows whose first ``many`` are the positives; scales ``both`` in place, no second copy stands beside it."""
+    mean = both.mean(axis=0, dtype=np.float64)
+    # some columns at a time: squares are as wide as doubles
+    scale = np.concatenate([both[:, at:at + 64].std(axis=0, dtype=np.float64) for at in range(0, both.shape[1], 64)]) + 1e-3
+    both -= mean.astype(np.float32)
+    both /= scale.astype(np.float32)
+    p, u = np.split(np.clip(both, -8, 8, out=both), [many])
     w, b = np.zeros(p.shape[1], dtype=np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -110,7 +118,9 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = FO
     scored = [np.zeros(len(rows)) for rows in (positive, unlabelled)]
     for fold in range(folds):
         mine = [np.arange(len(rows)) % folds == fold for rows in (positive, unlabelled)]
-        model = fit(positive[~mine[0]], unlabelled[~mine[1]], 0.5)
+        others = np.concatenate([positive[~mine[0]], unlabelled[~mine[1]]], dtype=np.float32)
+        model = _descend(others, int((~mine[0]).sum()), 0.5)
+        del others
         for rows, at, out in zip((positive, unlabelled), mine, scored):
             out[at] = model.scores(rows[at])
     p, u = (np.sort(x) for x in scored)
@@ -147,10 +157,17 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     taken = _featured(docs.join(chosen, "doc_id").select("doc_id", "text", "positive")).toArrow()
     sides = []
     for wanted in (True, False):
-        # in an order of their own, whatever tasks sent them
-        rows = sorted(taken.filter(pa.compute.equal(taken["positive"], wanted))["features"].to_pylist())
-        rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
-        sides.append(np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), N_FEATURES))
+        found = taken.filter(pa.compute.equal(taken["positive"], wanted))["features"]
+        rows = np.empty((len(found), N_FEATURES), dtype=np.float32)
+        for i, row in enumerate(found):
+            rows[i] = np.frombuffer(row.as_buffer(), dtype=np.float32)
+        # in an order of their own, whatever tasks sent them: that of their bytes, then shuffled
+        order = np.argsort(rows.view(f"S{4 * N_FEATURES}").ravel())
+        sides.append(rows[order[np.random.default_rng(seed).permutation(len(rows))]])
+        del found, rows
+    # the driver's memory is bounded: what the tasks sent goes before the fits
+    del taken
+    pa.default_memory_pool().release_unused()
     return fit(*sides, estimate_prior(*sides))
 
 

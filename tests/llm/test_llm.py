@@ -568,3 +568,18 @@ def test_features_count_the_whole_text():
     assert rows.shape == (3, quality.N_FEATURES) and np.isfinite(rows).all()
     assert rows[2, ord("|")] == pytest.approx(math.sqrt(1 / 5001)) and rows[1, ord("a")] == pytest.approx(math.sqrt(2 / 9))
     assert rows[1, -6] == pytest.approx(2 / 3) and rows[1, -5] == pytest.approx(1 / 3)
+
+
+def test_fits_hold_their_rows_about_once():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    one, two = (rng.random((n, quality.N_FEATURES), dtype=np.float32) for n in (500, 1000))
+    kept = one.copy(), two.copy()
+    for call in (lambda: quality.fit(one, two, 0.5, steps=3), lambda: quality.estimate_prior(one, two)):
+        tracemalloc.start()
+        call()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # the driver does this beside its JVM
+        assert most < 2 * (one.nbytes + two.nbytes)
+    assert (one == kept[0]).all() and (two == kept[1]).all()
