@@ -258,11 +258,8 @@ def stream_checkpoints(spark, sf):
     index = docs.select(F.concat(F.lit("model.ckpt-"), "doc_id", F.lit(".index")).alias("name"), F.col("lang").cast("binary").alias("content"))
     data = docs.select(F.concat(F.lit("model.ckpt-"), "doc_id", F.lit(".data")).alias("name"), F.col("source").cast("binary").alias("content"))
     out = scratch_path(spark, "checkpoints-seen")
-    found = L.checkpoint_stream(spark, files.one_file_each(index.unionByName(data), "checkpoints"))
-    job = found.select("name", "length").writeStream.format("parquet").option("path", f"{out}/rows") \
-        .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    L.run_checkpoints(spark, files.files_in_folders(index.unionByName(data), "checkpoints"), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").select("name", "length")
 
 
 _MODEL = "concat('m', cast(vec_id % 3 as string))"

@@ -22,10 +22,15 @@ def text_folder(df: DataFrame, tag: str, header: bool = True, sep: str = ",", bl
     return path
 
 
-def one_file_each(df: DataFrame, tag: str) -> str:
+#: Files of one folder, about, where there may be very many.
+FOLDER_FILES = 1 << 15
+
+
+def one_file_each(df: DataFrame, tag: str, below: int = 0) -> str:
     """One file per row (name, content) in the shared folder, written inside the tasks.
 
-    A repeated task writes the same names and bytes again.
+    A repeated task writes the same names and bytes again.  Names may lead into
+    the folders 0 to ``below`` - 1.
     """
     spark = df.sparkSession
     folder = scratch_path(spark, tag)
@@ -34,7 +39,8 @@ def one_file_each(df: DataFrame, tag: str) -> str:
         from pyarrow import fs
         system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:")
                                               else "file://" + folder)
-        system.create_dir(root, recursive=True)
+        for at in [root, *(f"{root}/{k}" for k in range(below))]:
+            system.create_dir(at, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):
                 with system.open_output_stream(f"{root}/{name}") as out:
@@ -44,6 +50,14 @@ def one_file_each(df: DataFrame, tag: str) -> str:
     return folder
 
 
+def files_in_folders(df: DataFrame, tag: str, most: int = FOLDER_FILES) -> list[str]:
+    """``one_file_each`` over as many folders as leave each about ``most`` files; rows of one name meet in one folder."""
+    folders = max(-(-df.count() // most), 1)
+    at = F.pmod(F.xxhash64("name"), F.lit(folders)).cast("string")
+    root = one_file_each(df.withColumn("name", F.concat(at, F.lit("/"), "name")), tag, folders)
+    return [f"{root}/{k}" for k in range(folders)]
+
+
 def png(data: bytes, height: int, width: int, channels: int = 3) -> bytes:
     """Minimal 8-bit PNG (RGB or grey)."""
     rows = np.frombuffer(data, np.uint8).reshape(height, width * channels)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,14 +47,52 @@ def score_stream(spark: SparkSession, folder: str, max_files: int | None = None,
     return reader.load(folder)
 
 
-def checkpoint_stream(spark: SparkSession, folder: str, pattern: str = r".*\.ckpt-[0-9]*\.index$") -> DataFrame:
+#: Paths of checkpoint index files, and the names that can be among them.
+INDEX, INDEX_GLOB = r".*\.ckpt-[0-9]*\.index$", "*.ckpt-*.index"
+
+
+def checkpoint_stream(spark: SparkSession, folder: str, pattern: str = INDEX, max_files: int | None = None) -> DataFrame:
     """Checkpoint index files as they appear, with name and modification time; contents are not kept."""
-    files = (spark.readStream.format("binaryFile")
-             .schema("path string, modificationTime timestamp, length long, content binary").load(folder))
-    return (files.filter(F.col("path").rlike(pattern))
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    if pattern == INDEX:
+        # other files are listed, but neither remembered nor looked at
+        reader = reader.option("pathGlobFilter", INDEX_GLOB)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return (reader.load(folder).filter(F.col("path").rlike(pattern))
             .select(F.substring_index("path", "/", -1).alias("name"), "modificationTime", "length"))
 
 
+def run_checkpoints(spark: SparkSession, folders: list[str], seen: str, state: str, max_files: int = 1 << 14) -> None:
+    """Append the checkpoint index files that are new in ``folders`` to ``seen``: name, modificationTime, length.
+
+    The file source keeps the listing of its folder and the names it has handed out
+    with the driver.  So each folder (a model's own, say) is a stream with a state of
+    its own, one after the other, and the driver holds one folder at a time.  A later
+    call handles what has come since.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    # else each file of a batch is looked up by a task of its own, and every few are a partition: nothing but their names is read
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(tasks), "spark.sql.files.openCostInBytes": str(1 << 12)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for folder in folders:
+        mine = f"folder=f{hashlib.md5(folder.encode()).hexdigest()}"
+
+        def store(batch: DataFrame, batch_id: int, to: str = f"{seen}/{mine}") -> None:
+            # a repeated batch overwrites its own folder
+            batch.coalesce(tasks).write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
+        writer = checkpoint_stream(spark, folder, max_files=max_files).writeStream.option("checkpointLocation", f"{state}/{mine}").foreachBatch(store)
+        # the stream takes over the settings it starts with
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        try:
+            job = writer.trigger(availableNow=True).start()
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
+        job.awaitTermination()
+
+
 def advanced(batch: DataFrame, known: DataFrame | None) -> DataFrame:
     """:func:`improvements` of a micro-batch that goes on from the best score of each model before it (model, best).
 

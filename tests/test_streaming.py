@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from stackpool.streaming import selection as L
@@ -44,6 +46,39 @@ def test_newest_checkpoint_and_best(spark):
     assert L.best_score(files.withColumn("score", F.col("t") * 1.0)).first()["best"] == 3.0
 
 
+def test_checkpoints_of_many_folders_are_seen_once(spark, tmp_path):
+    folders, seen, state = [tmp_path / "a", tmp_path / "b"], str(tmp_path / "seen"), str(tmp_path / "state")
+
+    def put(folder, *names):
+        folder.mkdir(exist_ok=True)
+        for n in names:
+            (folder / n).write_bytes(n.encode())
+
+    put(folders[0], *(f"m.ckpt-{i}.index" for i in range(5)), "m.ckpt-1.data", "m.ckpt-x.index", "other.index")
+    put(folders[1], "m.ckpt-7.index", "notes")
+    for late in ((), ("m.ckpt-9.index", "m.ckpt-9.data")):
+        put(folders[1], *late)
+        L.run_checkpoints(spark, [str(f) for f in folders], seen, state, max_files=2)
+    want = [f"m.ckpt-{i}.index" for i in (0, 1, 2, 3, 4, 7, 9)]
+    assert sorted((r["name"], r["length"]) for r in spark.read.parquet(seen).collect()) == [(n, len(n)) for n in want]
+    # the setting of the streams does not stay
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_checkpoints_query_keeps_folders_small(spark, tmp_path, monkeypatch):
+    from stackpool.queries import files
+    from stackpool.queries.evaluation import stream_checkpoints
+    monkeypatch.setattr(files.files_in_folders, "__defaults__", (16,))
+    made = []
+    whole = files.one_file_each
+    monkeypatch.setattr(files, "one_file_each", lambda *a: made.append(whole(*a)) or made[-1])
+    spark.range(50).selectExpr("id as doc_id", "repeat('x', cast(id % 3 + 1 as int)) as lang", "'s' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, stream_checkpoints(spark, str(tmp_path)).collect()))
+    assert got == sorted((f"model.ckpt-{i}.index", i % 3 + 1) for i in range(50))
+    sizes = [len(names) for _, _, names in os.walk(made[0])]
+    assert sum(sizes) == 100 and sizes[0] == 0 and max(sizes) <= 40
+
+
 def test_a_hot_model_is_spread_over_chunks(spark, tmp_path, monkeypatch):
     from stackpool.operators import order
     monkeypatch.setattr(order.running_before, "__defaults__", (64,))
