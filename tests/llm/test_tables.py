@@ -241,3 +241,27 @@ def test_copies_of_an_id_take_one_place(spark):
     far = {i: min(np.linalg.norm(x[0] - np.array(v)) for j, v in rows if j == i) for i in range(1, 60)}
     near = rpforest.nearest(df, asked, 10).orderBy("rank").collect()
     assert [r["vec_id"] for r in near] == [i for i, _ in sorted(far.items(), key=lambda r: (r[1], r[0]))[:10]]
+
+
+def test_forest_grows_in_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4 + i % 2).tolist()) for i in range(900)] + [(7, [9.0, 9.0, 9.0, 9.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    brought, kind = [], type(df)
+    for name in ("toArrow", "collect", "first", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda self, f=getattr(kind, name): (x := f(self), brought.append(len(x) if hasattr(x, "num_rows") or isinstance(x, list) else 1))[0])
+    found = rpforest.fit(df, sample=600, trees=3, leaf=16)
+    # two lengths, three trees each, and where the sample ends
+    assert sum(brought) <= 2 * 3 + 2
+    monkeypatch.undo()
+    taken = rpforest._sample(df, 600, 7).collect()
+    assert len(taken) == 600 and [(r["hash"], r["vec_id"]) for r in taken] == sorted((r["hash"], r["vec_id"]) for r in taken)
+    least = df.withColumn("hash", F.xxhash64("vec_id", F.lit(7))).orderBy("hash", "vec_id").limit(600).collect()
+    assert [r["vec_id"] for r in taken] == [r["vec_id"] for r in least]
+    for d, forest in found.items():
+        points = np.array([r["vector"] for r in taken if len(r["vector"]) == d])
+        assert len(forest.cuts) == 3 and all(len(c) >= len(points) // 32 for c in forest.cuts)
+        for t in range(3):
+            # a row at a threshold may round to its other side
+            assert np.bincount(forest.route(points)[:, t]).max() <= 20
+    assert set(found) == {4, 5} and rpforest.fit(df.limit(0)) == {}
