@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackpool.session import scratch_path
+from stackpool.session import make_folder, scratch_path
 
 
 def text_folder(df: DataFrame, tag: str, header: bool = True, sep: str = ",", blank: str = " ") -> str:
@@ -34,13 +34,13 @@ def one_file_each(df: DataFrame, tag: str, below: int = 0) -> str:
     """
     spark = df.sparkSession
     folder = scratch_path(spark, tag)
+    for at in [folder, *(f"{folder}/{k}" for k in range(below))]:
+        make_folder(spark, at)
 
     def write(batches):
         from pyarrow import fs
         system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:")
                                               else "file://" + folder)
-        for at in [root, *(f"{root}/{k}" for k in range(below))]:
-            system.create_dir(at, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):
                 with system.open_output_stream(f"{root}/{name}") as out:
@@ -51,10 +51,15 @@ def one_file_each(df: DataFrame, tag: str, below: int = 0) -> str:
 
 
 def files_in_folders(df: DataFrame, tag: str, most: int = FOLDER_FILES) -> list[str]:
-    """``one_file_each`` over as many folders as leave each about ``most`` files; rows of one name meet in one folder."""
+    """``one_file_each`` over as many folders as leave each about ``most`` files; rows of one name meet in one folder.
+
+    A folder is written by one task: many writers of one folder wait for each other.
+    """
     folders = max(-(-df.count() // most), 1)
-    at = F.pmod(F.xxhash64("name"), F.lit(folders)).cast("string")
-    root = one_file_each(df.withColumn("name", F.concat(at, F.lit("/"), "name")), tag, folders)
+    # a row without name gives the file that one_file_each gives it
+    placed = df.select(F.coalesce("name", F.lit("None")).alias("name"), "content").withColumn("at", F.pmod(F.xxhash64("name"), F.lit(folders)))
+    placed = placed.repartition(folders, "at").withColumn("name", F.concat(F.col("at").cast("string"), F.lit("/"), "name"))
+    root = one_file_each(placed, tag, folders)
     return [f"{root}/{k}" for k in range(folders)]
 
 

@@ -93,6 +93,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder and those above it, where they are not there yet."""
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of this library's own, if it is there."""
     fs, at = _hadoop(spark, path)
@@ -122,5 +128,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return stored
 
 
+def small_files_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark``, with its settings, for folders of very many small files.
+
+    Files are listed by a task for each core instead of one for each file, a task
+    takes many files, and listings are not kept.
+    """
+    own = spark.newSession()
+    tasks = spark.sparkContext.defaultParallelism
+    few = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(tasks), "spark.sql.files.openCostInBytes": str(1 << 12),
+           "spark.sql.hive.filesourcePartitionFileCacheSize": "0"}
+    for key, value in {**spark.conf.getAll, **few}.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)

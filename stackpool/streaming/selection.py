@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from stackpool import schemas
 from stackpool.operators.metrics import curve_metrics
 from stackpool.operators.order import curve_of_counts, running_before, score_counts
-from stackpool.session import remove
+from stackpool.session import remove, small_files_session
 from stackpool.sources.tables import exists
 
 # Fixed value: a score must beat the best one before it by this factor.
@@ -63,34 +64,40 @@ def checkpoint_stream(spark: SparkSession, folder: str, pattern: str = INDEX, ma
             .select(F.substring_index("path", "/", -1).alias("name"), "modificationTime", "length"))
 
 
-def run_checkpoints(spark: SparkSession, folders: list[str], seen: str, state: str, max_files: int = 1 << 14) -> None:
+def run_checkpoints(spark: SparkSession, folders: list[str], seen: str, state: str, max_files: int = 1 << 15, together: int = 4) -> None:
     """Append the checkpoint index files that are new in ``folders`` to ``seen``: name, modificationTime, length.
 
     The file source keeps the listing of its folder and the names it has handed out
     with the driver.  So each folder (a model's own, say) is a stream with a state of
-    its own, one after the other, and the driver holds one folder at a time.  A later
-    call handles what has come since.
+    its own, and the driver holds the ``together`` folders that are followed at a time.
+    A later call handles what has come since.
     """
     tasks = spark.sparkContext.defaultParallelism
-    # else each file of a batch is looked up by a task of its own, and every few are a partition: nothing but their names is read
-    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(tasks), "spark.sql.files.openCostInBytes": str(1 << 12)}
-    before = {key: spark.conf.get(key) for key in wanted}
-    for folder in folders:
+    # a source lists its batches in the session it was made in
+    own = small_files_session(spark)
+
+    def start(folder: str):
         mine = f"folder=f{hashlib.md5(folder.encode()).hexdigest()}"
 
-        def store(batch: DataFrame, batch_id: int, to: str = f"{seen}/{mine}") -> None:
+        def store(batch: DataFrame, batch_id: int) -> None:
             # a repeated batch overwrites its own folder
-            batch.coalesce(tasks).write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
-        writer = checkpoint_stream(spark, folder, max_files=max_files).writeStream.option("checkpointLocation", f"{state}/{mine}").foreachBatch(store)
-        # the stream takes over the settings it starts with
-        for key, value in wanted.items():
-            spark.conf.set(key, value)
-        try:
-            job = writer.trigger(availableNow=True).start()
-        finally:
-            for key, value in before.items():
-                spark.conf.set(key, value)
-        job.awaitTermination()
+            batch.coalesce(tasks).write.mode("overwrite").parquet(f"{seen}/{mine}/batch={batch_id}")
+        writer = checkpoint_stream(own, folder, max_files=max_files).writeStream.option("checkpointLocation", f"{state}/{mine}").foreachBatch(store)
+        return writer.trigger(availableNow=True).start()
+
+    running = []
+    try:
+        for k, folder in enumerate(folders):
+            if len(running) >= together:
+                running.pop(0).awaitTermination()
+            if k % together == 0:
+                gc.collect()  # ended streams are in cycles; until Python drops them, the JVM keeps their listings
+            running.append(start(folder))
+        while running:
+            running.pop(0).awaitTermination()
+    finally:
+        for job in running:
+            job.stop()
 
 
 def advanced(batch: DataFrame, known: DataFrame | None) -> DataFrame:

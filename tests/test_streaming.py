@@ -79,6 +79,39 @@ def test_checkpoints_query_keeps_folders_small(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 100 and sizes[0] == 0 and max(sizes) <= 40
 
 
+def test_checkpoint_streams_run_together_and_list_in_few_tasks(spark, tmp_path, monkeypatch):
+    import pytest
+    folders, seen, state = [str(tmp_path / f"f{k}") for k in range(5)], str(tmp_path / "seen"), str(tmp_path / "state")
+    for k, folder in enumerate(folders):
+        os.mkdir(folder)
+        for i in range(40):
+            with open(f"{folder}/m{k}.ckpt-{i}.index", "w") as f:
+                f.write("x")
+    sessions, whole = [], L.checkpoint_stream
+    monkeypatch.setattr(L, "checkpoint_stream", lambda s, *a, **k: sessions.append(s) or whole(s, *a, **k))
+    L.run_checkpoints(spark, folders, seen, state, together=2)
+    assert spark.read.parquet(seen).select("name").distinct().count() == 200
+    tasks = str(spark.sparkContext.defaultParallelism)
+    assert {s.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") for s in sessions} == {tasks}
+    assert {s.conf.get("spark.sql.shuffle.partitions") for s in sessions} == {spark.conf.get("spark.sql.shuffle.partitions")}
+    # a stream that fails ends the others
+    with pytest.raises(Exception, match="nowhere"):
+        L.run_checkpoints(spark, [*folders[:1], str(tmp_path / "nowhere"), *folders[1:]], seen, state)
+    assert not any(s.streams.active for s in sessions)
+
+
+def test_a_folder_is_written_by_one_task(spark, monkeypatch):
+    from stackpool.queries import files
+    placed, whole = [], files.one_file_each
+    monkeypatch.setattr(files, "one_file_each", lambda df, *a: placed.append(df) or whole(df, *a))
+    rows = spark.range(0, 300, 1, 6).selectExpr("concat('n', id) as name", "cast('x' as binary) as content")
+    folders = files.files_in_folders(rows.unionByName(rows.limit(1).withColumn("name", F.lit(None))), "t", 40)
+    at = placed[0].select(F.substring_index("name", "/", 1).alias("at"), F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(folders) == 8 and len(at) == len({r["at"] for r in at}) == 8
+    found = [n for f in folders for n in os.listdir(f.removeprefix("file://"))]
+    assert sorted(found) == sorted(["None", *(f"n{i}" for i in range(300))])
+
+
 def test_a_hot_model_is_spread_over_chunks(spark, tmp_path, monkeypatch):
     from stackpool.operators import order
     monkeypatch.setattr(order.running_before, "__defaults__", (64,))
