@@ -74,7 +74,7 @@ def scan_json_meta(spark, sf):
         F.when(F.col("n_chars") % 11 != 0, F.to_json(F.struct(F.struct(clinical.alias("clinical")).alias("meta"))))
         .when(F.col("n_chars") % 7 != 0, F.to_json(F.struct(F.struct(F.struct(F.col("lang").alias("benign_malignant")).alias("clinical")).alias("meta"))))
         .otherwise('{"meta": {}}').cast("binary").alias("content"))
-    return T.scan_clinical(spark, files.one_file_each(docs, "json"))
+    return T.scan_clinical(spark, files.files_in_folders(docs, "json"))
 
 
 @query("filter_masks", "select page_id, url from pages where not regexp_matches(url, 'en|superpixel')")

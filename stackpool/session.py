@@ -8,11 +8,15 @@ nothing is configured *and* Spark runs in local mode (tests, laptops).
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
@@ -144,5 +148,25 @@ def small_files_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+def materialise_each(spark: SparkSession, parts: list[str], read: Callable[[SparkSession, str], DataFrame], tag: str, together: int = 4) -> DataFrame:
+    """``materialise`` of ``read(session, part)`` for every part, as one table, ``together`` parts at a time.
+
+    For folders of very many files: the driver plans a read file by file, and so
+    holds the files of these parts only.
+    """
+    path, own, schemas = scratch_path(spark, tag), small_files_session(spark), []
+
+    def store(k: int) -> None:
+        df = read(own, parts[k])
+        df.write.parquet(f"{path}/{k}")
+        schemas.append(df.schema)
+
+    with ThreadPoolExecutor(together) as pool:
+        for k, _ in enumerate(pool.map(inheritable_thread_target(spark)(store), range(len(parts)))):
+            if k % together == 0:
+                gc.collect()  # read frames are in cycles; until Python drops them, the JVM keeps their listings
+    return spark.read.schema(schemas[0]).parquet(*[f"{path}/{k}" for k in range(len(parts))])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)

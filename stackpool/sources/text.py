@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackpool import schemas
+from stackpool.session import materialise_each
 
 
 def _number_lines(df: DataFrame, name: str) -> DataFrame:
@@ -71,8 +72,13 @@ def scan_key_values(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("image").agg(F.max_by("case_id", "line_no").alias("case_id"))
 
 
-def scan_clinical(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per file; the id is the file name up to its first dot."""
+def scan_clinical(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One JSON document per file; the id is the file name up to its first dot.
+
+    Of several folders the driver holds the listings of a few at a time.
+    """
+    if not isinstance(path, str):
+        return materialise_each(spark, path, scan_clinical, "clinical")
     raw = spark.read.schema(schemas.CLINICAL).option("multiLine", True).json(path)
     return raw.select(F.substring_index(F.col("_metadata.file_name"), ".", 1).alias("image"),
                       *[F.col(f"meta.clinical.{f}").alias(f) for f in schemas.CLINICAL_FIELDS])

@@ -1,6 +1,9 @@
+import os
+
 import pytest
 
 from stackpool import schemas
+from stackpool import session as S
 from stackpool.operators import normalise as N
 from stackpool.plans import metadata as G
 from stackpool.sources import text as T
@@ -143,3 +146,38 @@ def test_test_metadata_keeps_and_flags_repeats(spark):
 def test_masks_are_left_out(spark):
     df = spark.createDataFrame([("x/a.jpg",), ("x/a_superpixels.png",), ("x/b_mask.png",)], "path string")
     assert [r[0] for r in T.drop_masks(df).collect()] == ["x/a.jpg"]
+
+
+def test_clinical_folders_are_read_a_few_at_a_time(spark, tmp_path):
+    folders = [str(tmp_path / f"f{k}") for k in range(5)]
+    for k, folder in enumerate(folders):
+        os.mkdir(folder)
+        for i in range(7):
+            with open(f"{folder}/D{k}_{i}.v1.json", "w") as f:
+                f.write(('{"meta": {"clinical": {"diagnosis": "d%d", "age_approx": %d}}}' % (k, i), '{"meta": {}}', "no json", "[]", "", "[{}, {}]", "{}{}")[i])
+    whole = T.scan_clinical(spark, f"{tmp_path}/f*").orderBy("image")
+    apart = T.scan_clinical(spark, folders).orderBy("image")
+    assert apart.dtypes == whole.dtypes and apart.collect() == whole.collect()
+    reads = []
+    made = S.materialise_each(spark, folders, lambda s, f: reads.append(s) or T.scan_clinical(s, f), "t", together=2)
+    # in a session of its own, and what is left is a stored table
+    assert len(reads) == 5 and not any(s is spark for s in reads) and made.count() == whole.count()
+    assert not any(".json" in f for f in made.inputFiles())
+    with pytest.raises(Exception, match="nowhere"):
+        T.scan_clinical(spark, [*folders, f"{tmp_path}/nowhere"])
+
+
+def test_json_query_reads_folder_by_folder(spark, tmp_path, monkeypatch):
+    from stackpool.queries import files
+    from stackpool.queries import metadata as Q
+    monkeypatch.setattr(files.files_in_folders, "__defaults__", (16,))
+    given, whole = [], T.scan_clinical
+    monkeypatch.setattr(T, "scan_clinical", lambda s, path: given.append(path) or whole(s, path))
+    spark.range(100).selectExpr("id as doc_id", "concat('l', id % 3) as lang", "concat('s', id % 4) as source", "id as n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["image"]: r for r in Q.scan_json_meta(spark, str(tmp_path)).collect()}
+    assert len(given[0]) == 7 and max(len(os.listdir(f.removeprefix("file://"))) for f in given[0]) <= 40
+    assert set(got) == {f"D{i}" for i in range(100)}
+    for i in range(100):
+        r = got[f"D{i}"]
+        assert r["benign_malignant"] == (f"l{i % 3}" if i % 7 else None) and r["diagnosis"] == (f"s{i % 4}" if i % 11 else None)
+        assert r["age_approx"] == (str(i % 90) if i % 11 else None)
