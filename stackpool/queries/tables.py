@@ -187,4 +187,4 @@ def run_log(spark, sf):
 @query("list_files", "select concat('D', cast(doc_id as varchar), '.v1') as image from documents")
 def list_files(spark, sf):
     docs = view(spark, sf, "documents").select(F.concat(F.lit("D"), "doc_id", F.lit(".v1.jpg")).alias("name"), F.col("lang").cast("binary").alias("content"))
-    return list_pictures(spark, files.one_file_each(docs, "listing"), "*.jpg").select("image")
+    return list_pictures(spark, files.files_in_folders(docs, "listing"), "*.jpg").select("image")

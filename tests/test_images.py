@@ -256,3 +256,19 @@ def test_random_crop_takes_boxes_of_each_picture(spark):
     cut = arrays(I.random_crop(df, boxes="boxes", scale=1.0, dtype="double"))
     for k, (top, left, h, w) in windows.items():
         assert np.array_equal(cut[k], pics[k][top:top + h, left:left + w])
+
+
+def test_listing_goes_folder_by_folder(spark, tmp_path, monkeypatch):
+    from stackpool.queries import files
+    from stackpool.queries import tables as Q
+    monkeypatch.setattr(files.files_in_folders, "__defaults__", (16,))
+    given, whole = [], Q.list_pictures
+    monkeypatch.setattr(Q, "list_pictures", lambda s, path, glob: given.append(path) or whole(s, path, glob))
+    spark.range(100).selectExpr("id as doc_id", "'en' as lang").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Q.list_files(spark, str(tmp_path))
+    assert sorted(r["image"] for r in got.collect()) == sorted(f"D{i}.v1" for i in range(100))
+    folders = given[0]
+    assert len(folders) == 7 and not any(".jpg" in f for f in got.inputFiles())
+    # as one read of all of them gives it, and with the glob
+    root = folders[0].rpartition("/")[0]
+    assert sorted(map(tuple, list_files(spark, folders, "*5.v1.jpg").collect())) == sorted(map(tuple, list_files(spark, root, "*5.v1.jpg").collect()))
